@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from landweave.plans import general_queries
+
+QUERIES: dict = {**general_queries.QUERIES}
+ORACLE: dict = {**general_queries.ORACLE}
