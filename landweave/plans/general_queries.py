@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landweave.operators import timestamps
+from landweave.operators import hierarchy, timestamps
 from landweave.tables import table
 
 _TIMES = (
@@ -38,8 +38,44 @@ def p3_mixtures(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("source", "n_values", *[F.col("weights")[i].alias(f"w_{o.lower()}") for i, o in enumerate(timestamps.ORDERS)])
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.roots(table(spark, folder, "provenance_graph"))
+
+
+def p6_paths(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "provenance_graph")
+    return hierarchy.paths(rows, hierarchy.roots(rows))
+
+
+def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.descendants(p6_paths(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_mixtures": p3_mixtures,
+    "p6_found": p6_found,
+    "p6_paths": p6_paths,
+    "p6_descendants": p6_descendants,
+}
+
+_P6 = """
+WITH RECURSIVE n AS MATERIALIZED (SELECT DISTINCT upper(trim(node_id)) AS node FROM provenance_graph WHERE trim(node_id) <> ''),
+e AS MATERIALIZED (
+  SELECT DISTINCT x.node, x.parent FROM (
+    SELECT upper(trim(node_id)) AS node, upper(trim(unnest(parent_ids))) AS parent FROM provenance_graph) x
+  WHERE x.parent IN (SELECT node FROM n) AND x.node <> ''),
+-- nodes peeled from the leaves of the inverse relation: what a cycle can reach is never peeled
+d(node, root, depth) AS (
+  SELECT node, node, 0 FROM n WHERE node NOT IN (SELECT node FROM e)
+  UNION SELECT e.node, d.root, d.depth + 1 FROM d JOIN e ON e.parent = d.node WHERE d.depth < 200),
+k(node, up) AS (SELECT node, parent FROM e UNION SELECT k.node, e.parent FROM k JOIN e ON k.up = e.node),
+bad AS MATERIALIZED (
+  SELECT node FROM k WHERE node = up
+  UNION SELECT k.node FROM k WHERE k.up IN (SELECT node FROM k WHERE node = up))
+"""
+ORACLE: dict[str, str] = {
+    "p6_found": _P6 + """
+SELECT node AS node_id, root AS root_id, min(depth)::INT AS depth FROM d WHERE node NOT IN (SELECT node FROM bad) GROUP BY 1, 2
+UNION ALL SELECT node, '', -1 FROM bad""",
 }
-ORACLE: dict[str, str] = {}
