@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landweave.operators import hierarchy, timestamps
+from landweave.operators import hierarchy, schema_drift, timestamps
 from landweave.tables import table
 
 _TIMES = (
@@ -38,6 +38,20 @@ def p3_mixtures(spark: SparkSession, folder: str) -> DataFrame:
     return got.select("source", "n_values", *[F.col("weights")[i].alias(f"w_{o.lower()}") for i, o in enumerate(timestamps.ORDERS)])
 
 
+def _deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    of = table(spark, folder, "dataset_profile").select("dataset_id", "feed_id", "delivery_no")
+    return table(spark, folder, "ingested_record").select("dataset_id", "ingest_seq", "record_id", "attributes_raw").join(of, "dataset_id")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return schema_drift.changes(_deliveries(spark, folder))
+
+
+def p5_records(spark: SparkSession, folder: str) -> DataFrame:
+    """One consistent table of all deliveries."""
+    return schema_drift.consistent(_deliveries(spark, folder))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.roots(table(spark, folder, "provenance_graph"))
 
@@ -54,6 +68,8 @@ def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_mixtures": p3_mixtures,
+    "p5_found": p5_found,
+    "p5_records": p5_records,
     "p6_found": p6_found,
     "p6_paths": p6_paths,
     "p6_descendants": p6_descendants,
