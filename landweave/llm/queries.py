@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landweave.llm import components
+from landweave.llm import components, packing, tokens
+from landweave.session import Stage
 from landweave.tables import table
 
 
@@ -21,7 +22,29 @@ def p1_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.groupBy("records").agg(F.count("*").alias("groups"))
 
 
+#: Tokens that a container of problem 9 holds.
+CONTAINER_TOKENS = 2048
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, folder, "documents"))
+
+
+def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part of every document with its container."""
+    counts = Stage(spark).write(tokens.token_counts(table(spark, folder, "documents")))
+    return packing.fill(counts, "doc_id", "n_tokens", CONTAINER_TOKENS)
+
+
+def p9_unused(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of containers and the share of their space that is unused."""
+    return packing.fill_of(p9_containers(spark, folder), CONTAINER_TOKENS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_group_sizes": p1_group_sizes,
+    "p8_ids": p8_ids,
+    "p9_containers": p9_containers,
+    "p9_unused": p9_unused,
 }
