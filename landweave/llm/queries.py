@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landweave.llm import components, packing, tokens
+from landweave.llm import components, names, packing, tokens
 from landweave.session import Stage
 from landweave.tables import table
 
@@ -22,6 +22,25 @@ def p1_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.groupBy("records").agg(F.count("*").alias("groups"))
 
 
+def _owner_names(spark: SparkSession, folder: str) -> DataFrame:
+    results = table(spark, folder, "name_match_result")
+    return (
+        table(spark, folder, "canonical_parcel").select("village_code", F.col("owner_reference").alias("name"))
+        .union(results.select("village_code", F.explode(F.array("name_a", "name_b")))).select(F.col("village_code").alias("village"), "name").distinct()
+    )
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = names.owner_pairs(names.owner_groups(_owner_names(spark, folder)))
+    return found.withColumnRenamed("village", "village_code")
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Spellings of each owner of each village."""
+    groups = names.owner_groups(_owner_names(spark, folder))
+    return groups.groupBy("village", "group_id").agg(F.sort_array(F.collect_list("name")).alias("spellings"))
+
+
 #: Tokens that a container of problem 9 holds.
 CONTAINER_TOKENS = 2048
 
@@ -44,6 +63,8 @@ def p9_unused(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_group_sizes": p1_group_sizes,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_unused": p9_unused,
