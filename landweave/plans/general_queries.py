@@ -8,9 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landweave.operators import hierarchy, schema_drift, timestamps
+from landweave.operators import hierarchy, schema_drift, spatial, timestamps
+from landweave.session import Stage
 from landweave.tables import table
 
+#: Metres within which an observation is near a mark.
+NEAR_M = 10.0
+
 _TIMES = (
     ("source_record", "capture_timestamp", "source_dataset_id"),
     ("gnss_observation", "observation_epoch", "dataset_id"),
@@ -65,6 +69,18 @@ def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.descendants(p6_paths(spark, folder))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    g = table(spark, folder, "gnss_observation")
+    lon, lat = spatial.right_way(F.col("lon"), F.col("lat"))
+    marks = g.select(F.col("ingest_seq").alias("id"), lon.alias("lon"), lat.alias("lat")).where(F.col("lon").isNotNull())
+    seen = Stage(spark).write(spatial.shapes(table(spark, folder, "gt_observation"), "ingest_seq", "geometry_geojson"))
+    near = spatial.near(marks, seen.where(F.col("area").isNull()), NEAR_M)
+    within = spatial.within(marks, seen)
+    return near.select(F.lit("near").alias("relation"), F.col("id").alias("gnss_seq"), F.col("key").alias("gt_seq")).union(
+        within.select(F.lit("within"), "id", "key")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_mixtures": p3_mixtures,
@@ -73,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_paths": p6_paths,
     "p6_descendants": p6_descendants,
+    "p7_found": p7_found,
 }
 
 _P6 = """
