@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from landweave.functions.columns import step
+from landweave.session import Stage
+
 #: Agreement of the records beyond chance (Cohen's kappa) that makes a rename. By chance alone two
 #: unrelated yes-or-no fields often agree on two thirds of the records; their kappa is about 0.
 SAME_CONTENT = 0.6
@@ -30,14 +33,18 @@ def fields(rows: DataFrame, json: str, *keep: str) -> DataFrame:
     ``kind`` is number, string, boolean, array, object or null. Null and unreadable texts, and
     texts that are no JSON object, give no rows.
     """
-    v = rows.select(*keep, F.try_parse_json(F.col(json)).alias("_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
-    each = v.select(*keep, F.explode(F.col("_v").cast("map<string,variant>")).alias("field", "value"))
-    t = F.schema_of_variant("value")
+    v = rows.select(*keep, F.try_parse_json(F.col(json)).alias("_v"))
+    return typed(v.select(*keep, F.explode(F.try_variant_get("_v", "$", "map<string,variant>")).alias("field", "value")))
+
+
+def typed(each: DataFrame) -> DataFrame:
+    """Adds ``kind``, the JSON type of ``value``."""
+    t = F.col("_t")
     kind = (
-        F.when(F.col("value").isNull() | F.is_variant_null("value") | (t == "VOID"), "null").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean")
+        F.when(t.isNull() | (t == "VOID"), "null").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean")
         .when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").otherwise("number")
     )
-    return each.withColumn("kind", kind)
+    return step(step(each, _t=F.schema_of_variant("value")), kind=kind).drop("_t")
 
 
 def plain(value: Column, kind: Column) -> Column:
@@ -48,16 +55,18 @@ def plain(value: Column, kind: Column) -> Column:
     ).otherwise(F.try_variant_get(value, "$", "string"))
 
 
-def content(text: Column) -> Column:
-    """Normal form by which values of two deliveries are compared; null for fillers."""
-    t = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+def content(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """Adds ``name``: the normal form by which values of two deliveries are compared; null for fillers."""
+    t = F.col("_c")
     number = F.regexp_extract(t, r"^(?:no|nr|num|number|rs|inr)?\.? ?#? ?(-?\d+(?:\.\d+)?) ?(?:%|[a-z]{1,4}\.? ?[a-z]?\.?)?$", 1)
     day = F.unix_seconds(F.try_to_timestamp(F.concat(t, F.lit(" +00:00")), F.lit("yyyy-MM-dd XXX")))
-    return (
+    form = (
         F.when(t.isin(*FILLERS), None).when(t.isin(*_YES), "1.0").when(t.isin(*_NO), "0.0")
         .when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), day.cast("double").cast("string"))
-        .when(number != "", number.try_cast("double").cast("string")).otherwise(t)
+        .when(F.col("_n") != "", F.col("_n").try_cast("double").cast("string")).otherwise(t)
     )
+    df = step(step(df, _c=F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))), _n=number)
+    return step(df, **{name: form}).drop("_c", "_n")
 
 
 def _statistics(rows: DataFrame, json: str) -> DataFrame:
@@ -67,18 +76,19 @@ def _statistics(rows: DataFrame, json: str) -> DataFrame:
     return by.groupBy("feed_id", "delivery_no", "field").agg(F.max(typed).alias("top")).select("feed_id", "delivery_no", "field", F.col("top.k").alias("kind"))
 
 
-def _renames(rows: DataFrame, json: str, gone: DataFrame, come: DataFrame) -> DataFrame:
+def _renames(rows: DataFrame, json: str, gone: DataFrame, come: DataFrame, stage: Stage) -> DataFrame:
     """(feed_id, delivery_no, before, after) of fields whose content goes on under another name."""
-    each = fields(rows, json, "feed_id", "delivery_no", "record_id").where((F.col("kind") != "null") & F.col("record_id").isNotNull())
-    text = content(plain(F.col("value"), F.col("kind")))
-
-    def values(changed: DataFrame, at: Column, name: str) -> DataFrame:
-        k = changed.select("feed_id", at.alias("at"), "field", "delivery_no").withColumnRenamed("delivery_no", "change_no")
-        joined = each.join(k, (each["feed_id"] == k["feed_id"]) & (each["delivery_no"] == k["at"]) & (each["field"] == k["field"]))
-        got = joined.select(each["feed_id"], "change_no", "record_id", each["field"].alias(name), text.alias(f"v_{name}"))
-        return got.where(F.col(f"v_{name}").isNotNull()).groupBy("feed_id", "change_no", "record_id", name).agg(F.min(f"v_{name}").alias(f"v_{name}"))
-
-    both = values(gone, F.col("delivery_no") - 1, "before").join(values(come, F.col("delivery_no"), "after"), ["feed_id", "change_no", "record_id"])
+    changed = gone.select("feed_id", (F.col("delivery_no") - 1).alias("delivery_no"), "field", F.col("delivery_no").alias("change_no"), F.lit("before").alias("side"))
+    changed = changed.unionByName(come.select("feed_id", "delivery_no", "field", F.col("delivery_no").alias("change_no"), F.lit("after").alias("side")))
+    v = rows.where(F.col("record_id").isNotNull()).select("feed_id", "delivery_no", "record_id", F.try_parse_json(F.col(json)).alias("_v"))
+    each = v.select("feed_id", "delivery_no", "record_id", F.explode(F.try_variant_get("_v", "$", "map<string,variant>")).alias("field", "value"))
+    # Only fields that changed go on; the list is of fields by delivery, not of rows.
+    each = typed(each.join(changed, ["feed_id", "delivery_no", "field"]))
+    each = content(step(each, text=plain(F.col("value"), F.col("kind"))), F.col("text"), "form")
+    each = each.select("feed_id", "change_no", "record_id", "side", "field", F.explode(F.array_compact(F.array("form"))).alias("form"))
+    values = stage.write(each.groupBy("feed_id", "change_no", "record_id", "side", "field").agg(F.min("form").alias("form")))
+    half = lambda side: values.where(F.col("side") == side).select("feed_id", "change_no", "record_id", F.col("field").alias(side), F.col("form").alias(f"v_{side}"))
+    both = half("before").join(half("after"), ["feed_id", "change_no", "record_id"])
     pair = ["feed_id", "change_no", "before", "after"]
     cells = both.groupBy(*pair, "v_before", "v_after").agg(F.count("*").alias("n"))
     side = lambda v, b, a: F.struct(F.col(v).alias("v"), b.alias("nb"), a.alias("na"), F.when(F.col("v_before") == F.col("v_after"), b).otherwise(0).alias("hit"))
@@ -105,16 +115,18 @@ def changes(rows: DataFrame, json: str = "attributes_raw") -> DataFrame:
     is missing has no changes. A renamed field whose type also differs gives two rows. Repeated
     rows change nothing but the counts of types.
     """
-    stats = _statistics(rows, json).persist()
+    stage = Stage(rows.sparkSession)
+    stats = stage.write(_statistics(rows, json))
     known = stats.select("feed_id", "delivery_no").distinct()
     now = stats.join(known.select("feed_id", (F.col("delivery_no") + 1).alias("delivery_no")), ["feed_id", "delivery_no"], "left_semi")
     before = stats.select("feed_id", (F.col("delivery_no") + 1).alias("delivery_no"), "field", F.col("kind").alias("kind_before")).join(
         known, ["feed_id", "delivery_no"], "left_semi"
     )
-    step = now.withColumn("is", F.lit(True)).join(before.withColumn("was", F.lit(True)), ["feed_id", "delivery_no", "field"], "full")
-    gone = step.where(F.col("is").isNull()).select("feed_id", "delivery_no", "field", "kind_before")
-    come = step.where(F.col("was").isNull()).select("feed_id", "delivery_no", "field", "kind")
-    renamed = _renames(rows, json, gone, come).persist()
+    both = now.withColumn("is", F.lit(True)).join(before.withColumn("was", F.lit(True)), ["feed_id", "delivery_no", "field"], "full")
+    both = stage.write(both)
+    gone = both.where(F.col("is").isNull()).select("feed_id", "delivery_no", "field", "kind_before")
+    come = both.where(F.col("was").isNull()).select("feed_id", "delivery_no", "field", "kind")
+    renamed = stage.write(_renames(rows, json, gone, come, stage))
     on = ["feed_id", "delivery_no"]
     removed = gone.join(renamed.select(*on, F.col("before").alias("field")), [*on, "field"], "left_anti")
     added = come.join(renamed.select(*on, F.col("after").alias("field")), [*on, "field"], "left_anti")
@@ -122,7 +134,7 @@ def changes(rows: DataFrame, json: str = "attributes_raw") -> DataFrame:
         renamed.join(gone.select(*on, F.col("field").alias("before"), "kind_before"), [*on, "before"])
         .join(come.select(*on, F.col("field").alias("after"), "kind"), [*on, "after"]).select(*on, "before", "after", "kind_before", "kind")
     )
-    kept = step.where(F.col("is") & F.col("was")).select(*on, F.col("field").alias("before"), F.col("field").alias("after"), "kind_before", "kind")
+    kept = both.where(F.col("is") & F.col("was")).select(*on, F.col("field").alias("before"), F.col("field").alias("after"), "kind_before", "kind")
     retyped = kept.unionByName(pair).where(F.col("kind") != F.col("kind_before"))
     row = lambda df, what, b, a: df.select(*on, F.lit(what).alias("change_kind"), b.alias("field_before"), a.alias("field_after"))
     none = F.lit("")
@@ -157,9 +169,8 @@ def consistent(rows: DataFrame, json: str = "attributes_raw") -> DataFrame:
     most = ids.groupBy("feed_id", "unified", "kind").agg(F.count("*").alias("n")).groupBy("feed_id", "unified").agg(F.max_by("kind", F.struct("n", "kind")).alias("target"))
     ids = ids.select("feed_id", "delivery_no", "field", "unified").join(most, ["feed_id", "unified"])
     each = fields(rows, json, "feed_id", "delivery_no", "ingest_seq", "record_id").join(ids, ["feed_id", "delivery_no", "field"])
-    text = plain(F.col("value"), F.col("kind"))
-    each = each.withColumn("text", F.when(F.lower(F.trim(text)).isin(*FILLERS), None).otherwise(text)).where(F.col("text").isNotNull())
-    each = each.withColumn("number", F.when(F.col("target") == "number", content(F.col("text")).try_cast("double")))
+    each = content(step(each, text=plain(F.col("value"), F.col("kind"))), F.col("text"), "form").where(F.col("form").isNotNull())
+    each = each.withColumn("number", F.when(F.col("target") == "number", F.col("form").try_cast("double")))
     bad = (F.col("target") == "number") & F.col("number").isNull()
     # Two fields of a row never share a first name unless the sender repeats one; the least text is kept then.
     cell = each.groupBy("feed_id", "delivery_no", "ingest_seq", "record_id", "unified").agg(F.min("text").alias("text"), F.min("number").alias("number"), F.max(bad).alias("bad"))

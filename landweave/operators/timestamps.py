@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landweave.functions.columns import step
+
 #: A learned reading below this posterior is left unresolved.
 SURE = 0.95
 ORDERS = ("DMY", "MDY", "YMD")
@@ -77,15 +79,6 @@ def _day(y: Column, m: Column, d: Column) -> Column:
     return F.unix_micros(F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0), F.lit("UTC")))
 
 
-def _step(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns behind a generator, so that later steps refer to values and don't repeat them.
-
-    A chain of plain projections would be merged into one expression that evaluates every earlier
-    step wherever it is named, too large to compile.
-    """
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def clean(value: Column) -> Column:
     """Digits of any Indian script as ASCII; blanks, also no-break ones, joined and trimmed."""
     ascii_digits = F.translate(value, "०१२३४५६७८९০১২৩৪৫৬৭৮৯", "01234567890123456789")
@@ -98,9 +91,9 @@ def readings(df: DataFrame, value: str) -> DataFrame:
     ``_days`` has one entry for a value with a single reading and one for each of ``ORDERS`` for an
     all-numeric date with its year not first; ``_mask`` is null for the former.
     """
-    df = _step(_step(df, _t=clean(F.col(value))), _p=_split_forms(F.col("_t")))
+    df = step(step(df, _t=clean(F.col(value))), _p=_split_forms(F.col("_t")))
     p = lambda i: F.col("_p")[i]
-    df = _step(df, _n1=F.when(p(0) != "E", _int(p(1))), _n2=_int(p(2)), _n3=_int(p(3)))
+    df = step(df, _n1=F.when(p(0) != "E", _int(p(1))), _n2=_int(p(2)), _n3=_int(p(3)))
     kind, a, n1, b, c = p(0), p(1), F.col("_n1"), F.col("_n2"), F.col("_n3")
     year = F.when((kind == "M") & (F.length(a) == 2), n1 + 2000).otherwise(n1)
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(p(2), 1, 3))).cast("int")
@@ -122,14 +115,14 @@ def readings(df: DataFrame, value: str) -> DataFrame:
         F.when((kind == "E") & (F.length(a) == 10), epoch * _US).when((kind == "E") & (F.length(a) == 13), epoch * 1000).when(kind == "E", epoch)
         .when((kind == "G") & (p(2).try_cast("decimal(20,6)") < 604_800), (F.lit(315_964_800 - GPS_AHEAD_S) + n1 * 604_800 + p(2).try_cast("decimal(20,6)")) * _US)
     ).cast("long")
-    df = _step(df, _week=F.when(kind == "W", week), _fixed=instant)
+    df = step(df, _week=F.when(kind == "W", week), _fixed=instant)
     single = (
         F.when(kind == "Y", _day(n1, b, c)).when(kind == "M", _day(year, month, c))
         .when((kind == "W") & week_ok, F.col("_week")).when(kind == "O", ordinal)
     )
-    df = _step(df, _days=F.when(kind == "N", numeric).otherwise(F.array(single)))
+    df = step(df, _days=F.when(kind == "N", numeric).otherwise(F.array(single)))
     bits = sum(F.when(F.col("_days")[i].isNotNull(), 1 << i).otherwise(0) for i in range(3))
-    return _step(df, _mask=F.when(kind == "N", bits)).drop("_week", "_n1", "_n2", "_n3")
+    return step(df, _mask=F.when(kind == "N", bits)).drop("_week", "_n1", "_n2", "_n3")
 
 
 def _mixture(rows: pd.DataFrame) -> pd.DataFrame:
@@ -177,17 +170,17 @@ def instants(df: DataFrame, value: str) -> DataFrame:
     w = F.coalesce(F.col("weights"), F.array(*[F.lit(1 / 3)] * 3))
     like = F.expr("transform(_days, (x, i) -> CASE WHEN x IS NULL THEN 0D ELSE coalesce(_w[i], 0D) END)")
     numeric = F.col("_p")[0] == "N"
-    joined = _step(_step(joined, _w=w), _like=like)
+    joined = step(step(joined, _w=w), _like=like)
     total = F.aggregate("_like", F.lit(0.0), lambda s, x: s + x)
     best = F.array_max("_like")
     pos = (F.array_position("_like", best) - 1).cast("int")
-    joined = _step(joined, _pos=F.when(numeric & (best > 0), pos), posterior=F.when(numeric & (total > 0), best / total))
+    joined = step(joined, _pos=F.when(numeric & (best > 0), pos), posterior=F.when(numeric & (total > 0), best / total))
     distinct_days = F.expr("size(array_distinct(filter(_days, x -> x IS NOT NULL)))")
-    joined = _step(joined, is_ambiguous=F.coalesce(numeric & (distinct_days > 1) & (F.col("posterior") < SURE), F.lit(False)))
+    joined = step(joined, is_ambiguous=F.coalesce(numeric & (distinct_days > 1) & (F.col("posterior") < SURE), F.lit(False)))
     day = F.when(numeric, F.when(~F.col("is_ambiguous") & F.col("_pos").isNotNull(), F.col("_days")[F.col("_pos")])).otherwise(F.col("_days")[0])
     p = lambda i: F.col("_p")[i]
     half = F.lower(F.substring(p(8), 1, 1))
-    joined = _step(joined, _day=day, _h=_int(p(4)))
+    joined = step(joined, _day=day, _h=_int(p(4)))
     day, h = F.col("_day"), F.col("_h")
     hour = F.when(half == "", h).when(h.between(1, 12), (h % 12) + F.when(half == "p", 12).otherwise(0))
     minute, second = _int(p(5)), F.coalesce(_int(p(6)), F.lit(0))
@@ -195,7 +188,7 @@ def instants(df: DataFrame, value: str) -> DataFrame:
     of_day = F.when(F.coalesce(p(4), F.lit("")) == "", F.lit(0).cast("long")).when(
         hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59), ((hour * 3600 + minute * 60 + second).cast("long") * _US + fraction)
     )
-    joined = _step(joined, _local=day + of_day, _zone=F.upper(F.coalesce(p(9), F.lit(""))))
+    joined = step(joined, _local=day + of_day, _zone=F.upper(F.coalesce(p(9), F.lit(""))))
     local, zone = F.col("_local"), F.col("_zone")
     offset = F.when(zone.rlike("^[+-]"), F.when(zone.startswith("-"), -1).otherwise(1) * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.expr("try_cast(right(_zone, 2) AS int)")))
     letters = F.create_map(*[F.lit(x) for kv in ZONE_LETTERS.items() for x in kv])
@@ -205,7 +198,7 @@ def instants(df: DataFrame, value: str) -> DataFrame:
     at_place = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), place))
     instant = F.when(F.col("_fixed").isNotNull(), F.col("_fixed")).when(zone == "", at_place).when(offset.isNotNull(), local - offset.cast("long") * 60 * _US)
     reading = F.when(numeric & F.col("_pos").isNotNull(), F.element_at(F.array(*[F.lit(o) for o in ORDERS]), F.col("_pos") + 1)).otherwise(p(0))
-    joined = _step(joined, reading=reading, instant_us=instant)
+    joined = step(joined, reading=reading, instant_us=instant)
     return joined.drop("_day", "_h", "_local", "_zone", "_t", "_p", "_days", "_mask", "_fixed", "_w", "_like", "_pos", "weights")
 
 
