@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landweave.llm import components, names, packing, tokens
+from landweave.llm import components, entities, names, packing, tokens
 from landweave.session import Stage
 from landweave.tables import table
 
@@ -22,6 +22,15 @@ def p1_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return sizes.groupBy("records").agg(F.count("*").alias("groups"))
 
 
+def p2_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Parcel, rule and confidence of every record that describes a parcel, named by one already or not."""
+    return entities.match(table(spark, folder, "source_record"), table(spark, folder, "canonical_parcel"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_matches(spark, folder).where(~F.col("is_labelled")).select("canonical_id", "record_id")
+
+
 def _owner_names(spark: SparkSession, folder: str) -> DataFrame:
     results = table(spark, folder, "name_match_result")
     return (
@@ -63,6 +72,8 @@ def p9_unused(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_group_sizes": p1_group_sizes,
+    "p2_found": p2_found,
+    "p2_matches": p2_matches,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
     "p8_ids": p8_ids,
