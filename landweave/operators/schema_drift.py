@@ -22,6 +22,9 @@ from landweave.session import Stage
 #: unrelated yes-or-no fields often agree on two thirds of the records; their kappa is about 0.
 SAME_CONTENT = 0.6
 
+#: Changed fields, some 100 bytes each, up to which their list is broadcast.
+BROADCAST_FIELDS = 200_000
+
 #: Texts that stand for no value, lower case.
 FILLERS = ("", "-", "--", "na", "n/a", "none", "null", "nil")
 _YES, _NO = ("y", "yes", "true", "t", "haan", "ha"), ("n", "no", "false", "f", "nahi", "nahin")
@@ -82,8 +85,10 @@ def _renames(rows: DataFrame, json: str, gone: DataFrame, come: DataFrame, stage
     changed = changed.unionByName(come.select("feed_id", "delivery_no", "field", F.col("delivery_no").alias("change_no"), F.lit("after").alias("side")))
     v = rows.where(F.col("record_id").isNotNull()).select("feed_id", "delivery_no", "record_id", F.try_parse_json(F.col(json)).alias("_v"))
     each = v.select("feed_id", "delivery_no", "record_id", F.explode(F.try_variant_get("_v", "$", "map<string,variant>")).alias("field", "value"))
-    # Only fields that changed go on; the list is of fields by delivery, not of rows.
-    each = typed(each.join(changed, ["feed_id", "delivery_no", "field"]))
+    # Only fields that changed go on; the list is of fields by delivery, not of rows. It is broadcast
+    # if it is small, which spares a shuffle of all fields of all rows, and joined by a shuffle else.
+    small = changed.limit(BROADCAST_FIELDS + 1).count() <= BROADCAST_FIELDS
+    each = typed(each.join(F.broadcast(changed) if small else changed, ["feed_id", "delivery_no", "field"]))
     each = content(step(each, text=plain(F.col("value"), F.col("kind"))), F.col("text"), "form")
     each = each.select("feed_id", "change_no", "record_id", "side", "field", F.explode(F.array_compact(F.array("form"))).alias("form"))
     values = stage.write(each.groupBy("feed_id", "change_no", "record_id", "side", "field").agg(F.min("form").alias("form")))
