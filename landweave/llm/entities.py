@@ -158,11 +158,23 @@ def _edits(a: str, b: str, most: int) -> int:
     return min(one[-1], most + 1)
 
 
+@lru_cache(maxsize=200_000)
+def _letters(t: str) -> int:
+    """The letters of a word as bits."""
+    bits = 0
+    for ch in t:
+        bits |= 1 << (ord(ch) & 63)
+    return bits
+
+
 def _alike(a: str, b: str) -> bool:
     if a == b:
         return True
     if len(a) < 2 or len(b) < 2:
         return bool(a and b) and a[0] == b[0]
+    # An edit changes the set of letters by two at most.
+    if abs(len(a) - len(b)) > 2 or (_letters(a) ^ _letters(b)).bit_count() > 4:
+        return False
     return _edits(a, b, 2) <= (2 if min(len(a), len(b)) >= 7 else 1)
 
 
@@ -281,7 +293,8 @@ def match(source: DataFrame, canonical: DataFrame) -> DataFrame:
     equal = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
     clash = lambda a, b: F.coalesce(F.col(a) != F.col(b), F.lit(False))
     bucket = lambda sqm: F.floor(F.log(sqm) / F.lit(SAME_AREA))
-    more = [F.desc("vote"), F.desc("same")]
+    # Areas are compared in steps, so that only a clearly nearer one counts as better.
+    more = [F.desc("vote"), F.desc("same"), F.floor(F.abs(F.col("sqm") / F.col("psqm") - 1) / 0.015)]
     same = equal("land", "pland").cast("int") + equal("ward", "pward").cast("int") + equal("locality", "plocality").cast("int")
 
     def by_area(r: DataFrame) -> DataFrame:
@@ -308,8 +321,8 @@ def match(source: DataFrame, canonical: DataFrame) -> DataFrame:
         ("near_area", lambda r: _best(voted(_at(r, parcels, WIDE_M).where(fits & ((F.col("d") <= 12) | (F.col("kind") < 2) & (F.col("d") <= 25)))).where("vote = 0"), [F.col("d")], False)),
         ("near_owner", lambda r: _best(voted(_at(r, parcels, 20.0).where(~structure & F.col("area").isNull())).where("vote = 1"), [F.col("d")], False)),
         ("area_owner", lambda r: _best(voted(by_area(r.where(F.col("x").isNull()))).where("vote = 1"), more, True)),
-        ("owner_place", lambda r: _best(voted(by_owner(r.where(F.col("x").isNull()))).where((F.col("vote") == 1) & ~structure & ~clash("ward", "pward") & ~clash("land", "pland")), more, True)),
-        ("area_place", lambda r: _best(by_area(r.where(F.col("x").isNull() & (F.size("owners") == 0))).withColumn("vote", F.lit(0)).where((F.col("same") >= 2) & ~clash("land", "pland") & ~clash("ward", "pward")), more, True)),
+        ("owner_place", lambda r: _best(voted(by_owner(r.where(F.col("x").isNull()))).where((F.col("vote") == 1) & ~structure & ~clash("ward", "pward") & ~clash("land", "pland")), more[:2], True)),
+        ("area_place", lambda r: _best(voted(by_area(r.where(F.col("x").isNull()))).where((F.col("vote") == 0) & (F.col("same") >= 2) & ~clash("land", "pland") & ~clash("ward", "pward")), more, True)),
     ]
     out: DataFrame | None = None
     for name, rule in rules:

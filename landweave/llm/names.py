@@ -14,7 +14,7 @@ second group fits it.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
@@ -37,7 +37,7 @@ RELATIONS = ("s/o", "d/o", "w/o", "c/o", "so", "do", "wo", "son of", "daughter o
 #: Endings that don't change who is meant.
 ENDINGS = r"(?:\((?:huf|decd\.?|deceased|regd\.?|late)\)|(?:&|and|n) ?(?:\d+ )?(?:others?|ors\.?|anr\.?)|etc\.?|आदि|व अन्य)\s*$"
 #: Respectful endings of first names.
-RESPECT = ("bhai", "bai", "ben", "behn", "appa", "amma", "rao", "ji", "jee", "saheb", "sahib")
+RESPECT = ("bhai", "bai", "behn", "ben", "devi", "appa", "amma", "rao", "ji", "jee", "saheb", "sahib")
 #: Kinds of bodies and the words by which they are known.
 BODIES = {
     "housing": ("housing", "hsg", "chs", "society", "soc"),
@@ -57,11 +57,18 @@ _CONSONANT = dict(zip(
     "k kh g gh n ch chh j jh n t th d dh n t th d dh n p ph b bh m y r l v sh sh s h l".split(),
 ))
 _INITIAL = dict(zip("अ आ इ ई उ ऊ ए ऐ ओ औ ऋ".split(), "a aa i ee u oo e ai o au ri".split()))
+_ENDING = regex.compile(ENDINGS)
+_RELATION = regex.compile(r"(?:^|\s)(?:" + "|".join(regex.escape(r) for r in RELATIONS if len(r) > 2 or "/" in r) + r")\.?\s+")
+_BLANKS, _COOP, _CHS = regex.compile(r"\s+"), regex.compile(r"\bco-? ?op(?:erative)?\b"), regex.compile(r"\bc\. ?h\. ?s\b\.?")
+_DOTS, _DOTS_COMMAS, _BRACKETS = regex.compile(r"[\s.]+"), regex.compile(r"[\s.,]+"), regex.compile(r"[&()\-]")
+_DOUBLED, _C, _STEM = regex.compile(r"(.)\1+"), regex.compile(r"c(?!h)"), regex.compile(r"[^aeiou]*[aeiou]+[^aeiou]+")
 _LOOKS = str.maketrans({"0": "o", "1": "l", "3": "e", "5": "s", "6": "b", "8": "b", "9": "g"})
 
 
 def romanise(text: str) -> str:
     """Devanagari as Latin letters; a consonant without a vowel sign has an a, except at a word's end."""
+    if text.isascii():
+        return text
     out: list[str] = []
     for i, ch in enumerate(text):
         if ch in _CONSONANT:
@@ -86,9 +93,7 @@ def fold(part: str) -> str:
     """One form of the usual ways to write a sound: doubled letters, long vowels, w and v, q and k."""
     t = part.translate(_LOOKS)
     t = t.replace("ee", "i").replace("oo", "u").replace("w", "v").replace("q", "k").replace("ph", "f").replace("x", "ks")
-    t = regex.sub(r"(.)\1+", r"\1", t)
-    t = regex.sub(r"c(?!h)", "k", t)
-    return t
+    return _C.sub("k", _DOUBLED.sub(r"\1", t))
 
 
 def _respect(t: str) -> str:
@@ -100,48 +105,51 @@ def _respect(t: str) -> str:
 
 def _stem(t: str) -> str:
     """First syllable with the consonants that close it, by which a nickname knows its name."""
-    m = regex.match(r"[^aeiou]*[aeiou]+[^aeiou]+", t)
+    m = _STEM.match(t)
     return m.group() if m else ""
 
 
-def read(name: str) -> list[tuple[str, str, str, str]]:
-    """(kind, first, middle, last) of each reading of a name; parts are folded, an initial is one letter.
+def unfolded(part: str) -> str:
+    """A part as written, but for figures that stand for letters."""
+    return part.translate(_LOOKS)
+
+
+def read(name: str, form: Callable[[str], str] = fold) -> list[tuple[str, str, str, str]]:
+    """(kind, first, middle, last) of each reading of a name; parts in ``form``, an initial is one letter.
 
     A body has its kind, its core as last, and no other parts. A blank name has no reading.
     """
     t = unicodedata.normalize("NFKC", name).lower()
-    t = regex.sub(r"\s+", " ", t).strip()
+    t = _BLANKS.sub(" ", t).strip()
     for _ in range(3):
-        t = regex.sub(ENDINGS, "", t).strip(" ,&")
-    t = regex.sub(r"\bco-? ?op(?:erative)?\b", "coop", t)
-    t = regex.sub(r"\bc\. ?h\. ?s\b\.?", "chs", t)
-    words = [w for w in regex.split(r"[\s.]+", regex.sub(r"[&()\-]", " ", t.replace("m/s", " "))) if w]
+        t = _ENDING.sub("", t).strip(" ,&")
+    t = _CHS.sub("chs", _COOP.sub("coop", t))
+    words = [w for w in _DOTS.split(_BRACKETS.sub(" ", t.replace("m/s", " "))) if w]
     words = [romanise(w) for w in words]
     kinds = {_KIND[w.strip(",").translate(_LOOKS)] for w in words if w.strip(",").translate(_LOOKS) in _KIND}
     if kinds:
         kind = next((k for k in BODIES if k in kinds), "")
-        core = [fold(w.strip(",")) for w in words if w.strip(",").translate(_LOOKS) not in _KIND and w.strip(",") not in FORMS and w.strip(",") not in TITLES]
+        core = [form(w.strip(",")) for w in words if w.strip(",").translate(_LOOKS) not in _KIND and w.strip(",") not in FORMS and w.strip(",") not in TITLES]
         return [(kind, "", "", "".join(core))] if core else []
 
-    middle = ""
-    m = regex.search(r"(?:^|\s)(?:" + "|".join(regex.escape(r) for r in RELATIONS if len(r) > 2 or "/" in r) + r")\.?\s+", t)
+    m = _RELATION.search(t)
     tail: list[str] = []
     if m:
         t, after = t[: m.start()], t[m.end() :]
-        tail = [romanise(w) for w in regex.split(r"[\s.,]+", after) if w]
+        tail = [romanise(w) for w in _DOTS_COMMAS.split(after) if w]
     comma = "," in t
     head: list[list[str]] = []
     for piece in t.split(","):
-        ws = [w for w in regex.split(r"[\s.]+", piece) if w]
+        ws = [w for w in _DOTS.split(piece) if w]
         while ws and ws[0].strip(".") in TITLES and len(ws) > 1:
             ws = ws[1:]
-        head.append([fold(romanise(w)) for w in ws])
+        head.append([form(_respect(romanise(w))) for w in ws])
     head = [h for h in head if h]
     if not head:
         return []
     out: list[tuple[str, str, str]] = []
     if tail:
-        tail = [fold(w) for w in tail if w not in TITLES]
+        tail = [form(w) for w in tail if w not in TITLES]
         ws = [w for h in head for w in h]
         if len(tail) >= 2 and len(ws) == 1:
             out.append((ws[0], tail[0], tail[-1]))
@@ -164,16 +172,16 @@ def read(name: str) -> list[tuple[str, str, str, str]]:
                 out.append((b, c, a))
         else:
             out.append((ws[0], "", ""))
-    return [("person", _respect(f), m2, s) for f, m2, s in out if len(s) > 1 or not s]
+    return [("person", f, m2, s) for f, m2, s in out if len(s) > 1 or not s]
 
 
 def _read_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in frames:
         rows = [
-            (v, n, kind, f, m, s, _stem(f) if len(f) > 1 else "", f[:-1] if 2 < len(f) <= 6 and f[-1] in "aeiou" else "")
-            for v, n in zip(df["village"], df["name"]) for kind, f, m, s in read(n)
+            (v, n, kind, f, m, s, _stem(f) if len(f) > 1 else "", f[:-1] if 2 < len(f) <= 6 and f[-1] in "aeiou" else "", raw[1], raw[3])
+            for v, n in zip(df["village"], df["name"]) for (kind, f, m, s), raw in zip(read(n), read(n, unfolded))
         ]
-        yield pd.DataFrame(rows, columns=["village", "name", "kind", "first", "middle", "last", "stem", "nick"])
+        yield pd.DataFrame(rows, columns=["village", "name", "kind", "first", "middle", "last", "stem", "nick", "first_raw", "last_raw"])
 
 
 def part_links(parts: DataFrame) -> DataFrame:
@@ -217,10 +225,15 @@ def _initial(c: str) -> Column:
 
 def linked_names(names: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(strong, loose, readings): id pairs that name the same owner surely, those that may, and all readings."""
-    read_rows = names.mapInPandas(_read_all, "village string, name string, kind string, first string, middle string, last string, stem string, nick string")
+    read_rows = names.mapInPandas(_read_all, "village string, name string, kind string, first string, middle string, last string, stem string, nick string, first_raw string, last_raw string")
     r = stage.write(read_rows.withColumn("id", F.concat_ws("\u0001", "village", "name")))
-    parts = r.select("village", F.explode(F.array("first", "last")).alias("part")).where(F.length("part") > 1).distinct()
-    links = stage.write(part_links(parts))
+    forms = r.select("village", F.inline(F.array(F.struct(F.col("first").alias("part"), F.col("first_raw").alias("raw")), F.struct("last", "last_raw"))))
+    forms = stage.write(forms.where(F.length("part") > 1).distinct())
+    # A slip inside a doubled vowel shows in the written form, one between sounds alike in the folded form.
+    written = part_links(forms.select("village", F.col("raw").alias("part")).distinct())
+    as_part = lambda raw, part: forms.select("village", F.col("raw").alias(raw), F.col("part").alias(part))
+    written = written.select("village", F.col("part").alias("raw"), F.col("other").alias("raw2")).join(as_part("raw", "part"), ["village", "raw"]).join(as_part("raw2", "other"), ["village", "raw2"])
+    links = stage.write(part_links(forms.select("village", "part").distinct()).unionByName(written.select("village", "part", "other")).distinct())
     full = r.where((F.col("kind") == "person") & (F.length("first") > 1) & (F.col("last") != ""))
     # The expanded side tries every spelling of first and last name; the other side has its own.
     first_of = links.select("village", F.col("part").alias("first"), F.col("other").alias("first2"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landweave.llm import components, entities, names, packing, tokens
+from landweave.llm import abuse, components, entities, names, packing, tokens
 from landweave.session import Stage
 from landweave.tables import table
 
@@ -69,6 +69,20 @@ def p9_unused(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_of(p9_containers(spark, folder), CONTAINER_TOKENS)
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p10_scores(spark, folder).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document."""
+    return abuse.scores(table(spark, folder, "documents"))
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate of each source."""
+    return abuse.rates(p10_scores(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_group_sizes": p1_group_sizes,
@@ -79,4 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_unused": p9_unused,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
