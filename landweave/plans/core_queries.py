@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from landweave.plans import general_queries
+from landweave.plans import general_queries, reconcile_queries
 
-QUERIES: dict = {**general_queries.QUERIES}
-ORACLE: dict = {**general_queries.ORACLE}
+_PARTS = (general_queries, reconcile_queries)
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE: dict = {k: v for p in _PARTS for k, v in p.ORACLE.items()}
