@@ -227,7 +227,7 @@ def linked_names(names: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame,
     """(strong, loose, readings): id pairs that name the same owner surely, those that may, and all readings."""
     read_rows = names.mapInPandas(_read_all, "village string, name string, kind string, first string, middle string, last string, stem string, nick string, first_raw string, last_raw string")
     r = stage.write(read_rows.withColumn("id", F.concat_ws("\u0001", "village", "name")))
-    forms = r.select("village", F.inline(F.array(F.struct(F.col("first").alias("part"), F.col("first_raw").alias("raw")), F.struct("last", "last_raw"))))
+    forms = r.select("village", F.inline(F.array(F.struct(F.col("first").alias("part"), F.col("first_raw").alias("raw")), F.struct(F.col("last").alias("part"), F.col("last_raw").alias("raw")))))
     forms = stage.write(forms.where(F.length("part") > 1).distinct())
     # A slip inside a doubled vowel shows in the written form, one between sounds alike in the folded form.
     written = part_links(forms.select("village", F.col("raw").alias("part")).distinct())
