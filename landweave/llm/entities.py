@@ -230,12 +230,16 @@ def _cells(x: Column, y: Column, step_m: float) -> list[Column]:
     return [F.floor(x * _M * math.cos(math.radians(geojson.LAT_RANGE[1])) / step_m).alias("cx"), F.floor(y * _M / step_m).alias("cy")]
 
 
-def _at(records: DataFrame, parcels: DataFrame, reach_m: float) -> DataFrame:
-    """Pairs of records and parcels within ``reach_m`` after the shift is taken off, with ``d``."""
-    p = parcels.where(F.col("plon").isNotNull())
-    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
-    p = p.select("*", *_cells(F.col("plon"), F.col("plat"), reach_m)).withColumn("cx", near("cx")).withColumn("cy", near("cy"))
+def _at(records: DataFrame, parcels: DataFrame, reach_m: float, all_records: bool = False) -> DataFrame:
+    """Pairs of records and parcels within ``reach_m`` after the shift is taken off, with ``d``.
+
+    The smaller side is copied to the neighbouring cells: parcels where all records are looked at,
+    the unresolved records later.
+    """
+    near = lambda df: df.withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1))).withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
+    p = parcels.where(F.col("plon").isNotNull()).select("*", *_cells(F.col("plon"), F.col("plat"), reach_m))
     r = records.where(F.col("x").isNotNull()).select("*", *_cells(F.col("x"), F.col("y"), reach_m))
+    r, p = (r, near(p)) if all_records else (near(r), p)
     d = F.hypot((F.col("x") - F.col("plon")) * _M * F.cos(F.radians("plat")), (F.col("y") - F.col("plat")) * _M)
     return r.join(p, ["cx", "cy"]).withColumn("d", d).where(F.col("d") <= reach_m).drop("cx", "cy")
 
@@ -315,7 +319,7 @@ def match(source: DataFrame, canonical: DataFrame) -> DataFrame:
 
     sure_place = F.col("kind") >= 1
     rules: list[tuple[str, object]] = [
-        ("position_area", lambda r: _best(_at(r.where(sure_place), parcels, 15.0).where(tight & fits), [F.col("d")], False)),
+        ("position_area", lambda r: _best(_at(r.where(sure_place), parcels, 15.0, True).where(tight & fits), [F.col("d")], False)),
         ("position", lambda r: _best(_at(r.where(sure_place), parcels, 15.0).where(tight & ~structure & shape_ok), [F.col("d")], False)),
         ("near_area_owner", lambda r: _best(voted(_at(r, parcels, WIDE_M).where(fits)).where("vote = 1"), [F.col("d")], False)),
         ("near_area", lambda r: _best(voted(_at(r, parcels, WIDE_M).where(fits & ((F.col("d") <= 12) | (F.col("kind") < 2) & (F.col("d") <= 25)))).where("vote = 0"), [F.col("d")], False)),
