@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,26 +19,29 @@ def admissions(events: DataFrame, key: str, ts: str, order: str, most: int, seco
     A pause longer than the window forgets all, so each run between pauses is decided on its own and a
     key's whole history is never in one task.
     """
+    seconds_of = F.col(ts).cast("timestamp").cast("double")
     w = Window.partitionBy(key).orderBy(ts, order)
-    gap = F.col(ts).cast("timestamp").cast("double") - F.lag(F.col(ts).cast("timestamp").cast("double")).over(w)
-    e = events.select(key, order, ts).withColumn("_new", F.coalesce((gap > seconds).cast("int"), F.lit(1)))
+    e = events.select(key, order, ts).withColumn("_s", seconds_of)
+    e = e.withColumn("_new", F.coalesce((F.col("_s") - F.lag("_s").over(w) > seconds).cast("int"), F.lit(1)))
     e = e.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values([ts, order])
-        kept: deque = deque()
-        out = []
-        for t in df[ts]:
-            while kept and (t - kept[0]).total_seconds() > seconds:
-                kept.popleft()
-            ok = len(kept) < most
-            if ok:
-                kept.append(t)
-            out.append(ok)
-        return df[[key, order, ts]].assign(admitted=out)
-
-    schema = f"{key} {events.schema[key].dataType.simpleString()}, {order} {events.schema[order].dataType.simpleString()}, {ts} {events.schema[ts].dataType.simpleString()}, admitted boolean"
-    return e.groupBy(key, "_run").applyInPandas(run, schema)
+    laid = e.repartition(key, "_run").sortWithinPartitions(key, "_run", "_s", order)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, deque()
+        for df in frames:
+            out = []
+            for k, r, t in zip(df[key], df["_run"], df["_s"]):
+                if (k, r) != now:
+                    now, kept = (k, r), deque()
+                while kept and kept[0] < t - seconds:
+                    kept.popleft()
+                out.append(len(kept) < most)
+                if out[-1]:
+                    kept.append(t)
+            yield df[[key, order, ts]].assign(admitted=out)
+
+    schema = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in (key, order, ts)) + ", admitted boolean"
+    return laid.mapInPandas(run, schema)
 
 
 def ulpin_groups(rows: DataFrame, column: str, reach: int = 50) -> DataFrame:
