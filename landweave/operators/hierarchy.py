@@ -140,12 +140,14 @@ def roots(rows: DataFrame, node: str = "node_id", parents: str = "parent_ids", n
     at = chains.select(F.col("node").alias("parent"), "up", "steps", F.lit(True).alias("hit"))
     hop = (
         edges.join(many, "node", "left_semi").join(at, "parent", "left")
-        .select("node", F.when(F.col("hit"), F.col("up")).otherwise(F.col("parent")).alias("up"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+        .select("node", F.when(F.col("hit"), F.col("up")).otherwise(F.col("parent")).alias("up"), (F.coalesce("steps", F.lit(0)) + 1).cast("long").alias("steps"))
     )
     # A null or own `up` is a cycle; so is every later meeting with a marked node.
     reach = stage.write(hop.groupBy("node", "up").agg(F.min("steps").alias("steps")))
     open_ = many.select(F.col("node").alias("up"))
     marked = stage.write(reach.where(F.col("up").isNull() | (F.col("up") == F.col("node"))).select("node").distinct())
+    # Round k leaves ways of 2**k such nodes; longer than all of them together, a way has met a cycle.
+    longest, nodes_left = 1, many.count()
     while True:
         reach2 = stage.write(reach.join(marked, "node", "left_anti"))
         stage.drop(reach)
@@ -153,7 +155,11 @@ def roots(rows: DataFrame, node: str = "node_id", parents: str = "parent_ids", n
         inner = reach.join(open_, "up", "left_semi")
         if inner.isEmpty():
             break
-        bad = inner.join(marked.select(F.col("node").alias("up")), "up", "left_semi").select("node").distinct()
+        if longest > nodes_left:
+            bad = inner.select("node").distinct()
+        else:
+            bad = inner.join(marked.select(F.col("node").alias("up")), "up", "left_semi").select("node").distinct()
+        longest *= 2
         over = reach.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
         # Nodes whose way leads to a marked node find no continuation there; they are marked below.
         nxt = (

@@ -166,8 +166,8 @@ def instants(df: DataFrame, value: str) -> DataFrame:
     of ``df`` pass through; its names must not begin with an underscore.
     """
     parsed = readings(df, value)
-    joined = parsed.join(mixtures(parsed).select("source", "weights"), "source", "left")
-    w = F.coalesce(F.col("weights"), F.array(*[F.lit(1 / 3)] * 3))
+    joined = parsed.join(mixtures(parsed).select("source", F.col("weights").alias("_weights")), "source", "left")
+    w = F.coalesce(F.col("_weights"), F.array(*[F.lit(1 / 3)] * 3))
     like = F.expr("transform(_days, (x, i) -> CASE WHEN x IS NULL THEN 0D ELSE coalesce(_w[i], 0D) END)")
     numeric = F.col("_p")[0] == "N"
     joined = step(step(joined, _w=w), _like=like)
@@ -199,7 +199,7 @@ def instants(df: DataFrame, value: str) -> DataFrame:
     instant = F.when(F.col("_fixed").isNotNull(), F.col("_fixed")).when(zone == "", at_place).when(offset.isNotNull(), local - offset.cast("long") * 60 * _US)
     reading = F.when(numeric & F.col("_pos").isNotNull(), F.element_at(F.array(*[F.lit(o) for o in ORDERS]), F.col("_pos") + 1)).otherwise(p(0))
     joined = step(joined, reading=reading, instant_us=instant)
-    return joined.drop("_day", "_h", "_local", "_zone", "_t", "_p", "_days", "_mask", "_fixed", "_w", "_like", "_pos", "weights")
+    return joined.drop("_day", "_h", "_local", "_zone", "_t", "_p", "_days", "_mask", "_fixed", "_w", "_like", "_pos", "_weights")
 
 
 def with_office(df: DataFrame, dataset: str, profiles: DataFrame, offices: DataFrame) -> DataFrame:
