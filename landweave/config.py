@@ -81,9 +81,6 @@ class Config:
     noise_m: float = 2.0
     most_adjustment: float = 0.7
     fuzzy_field_at: float = 75.0
-    independence_bonus: float = 0.10
-    #: False applies the corrections that the documentation promises and the default behaviour lacks.
-    strict_compat: bool = True
 
 
 DEFAULT = Config()

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from landweave import config
 from landweave.functions import planar, text
-from landweave.operators import evidence, ingest, lineage, matching, ml, quality, schema_drift, sequences
+from landweave.operators import adapters, evidence, ingest, lineage, matching, ml, quality, schema_drift, sequences, topology
 from landweave.plans import views
 from landweave.sources import sinks
 from landweave.tables import table
@@ -236,11 +236,62 @@ def evidence_zip(spark: SparkSession, folder: str) -> DataFrame:
     return sinks.packages(c.select("canonical_id", F.to_json(F.struct("*")).alias("body")))
 
 
+def _box_text(p: str) -> F.Column:
+    x0, y0, x1, y1 = (F.col(f"{p}{n}").cast("string") for n in matching.BOUNDS)
+    corner = lambda x, y: F.concat(F.lit("["), x, F.lit(","), y, F.lit("]"))
+    ring = F.concat_ws(",", corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1), corner(x0, y0))
+    return F.concat(F.lit('{"type":"Polygon","coordinates":[['), ring, F.lit("]]}"))
+
+
+def _site_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    p = matching.candidates(views.records(spark, folder), carry=("k",)).where("a_k = b_k")
+    return p.withColumn("ga", _box_text("a_")).withColumn("gb", _box_text("b_"))
+
+
+def topology_overlap_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Area that both outlines claim, which the first keeps, in square metres."""
+    fixed = _site_pairs(spark, folder).select("a_record_id", "b_record_id", F.inline(F.array(topology.corrected("OVERLAP", F.col("ga"), F.col("gb")))))
+    return fixed.select("a_record_id", "b_record_id", "outcome", F.round("amount", 2).alias("overlap_sqm"))
+
+
+def topology_align(spark: SparkSession, folder: str) -> DataFrame:
+    return _site_pairs(spark, folder).select("a_record_id", "b_record_id", F.inline(F.array(topology.corrected("BOUNDARY_OFFSET", F.col("ga"), F.col("gb"))))).groupBy("outcome").agg(F.count("*").alias("pairs"))
+
+
+def topology_gap_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbouring cadastral outlines, moved together where the gap is small."""
+    r = views.records(spark, folder).where("source_type = 'CADASTRAL'")
+    p = matching.candidates(r).withColumn("ga", _box_text("a_")).withColumn("gb", _box_text("b_"))
+    return p.select("a_record_id", "b_record_id", F.inline(F.array(topology.corrected("GAP", F.col("ga"), F.col("gb"))))).groupBy("outcome").agg(F.count("*").alias("pairs"))
+
+
+def ripple_line_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Metres of observed lines inside parcels of their case that their boxes may meet, by grid of the line's first point."""
+    cell = lambda c: F.floor(c / 0.001)
+    lines = table(spark, folder, "gt_observation").where(F.col("geometry_geojson").contains("LineString"))
+    v = F.try_parse_json("geometry_geojson")
+    first = lambda i: F.try_variant_get(v, f"$.coordinates[0][{i}]", "double")
+    lines = lines.select("ingest_seq", "case_id", F.col("geometry_geojson").alias("line"), cell(first(0)).alias("cx"), cell(first(1)).alias("cy")).where("cx IS NOT NULL AND cy IS NOT NULL")
+    near = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    lines = lines.withColumn("cx", near("cx")).withColumn("cy", near("cy"))
+    parcels = table(spark, folder, "canonical_parcel").select("canonical_id", "case_id", F.col("geometry").alias("area"), cell(F.col("centroid_lon")).alias("cx"), cell(F.col("centroid_lat")).alias("cy"))
+    m = lines.join(parcels, ["case_id", "cx", "cy"]).select("ingest_seq", "canonical_id", F.inline(F.array(topology.line_measures(F.col("line"), F.col("area")))))
+    return m.where("inside_m > 0.5 OR on_outline_m > 0.5")
+
+
+def gnss_features(spark: SparkSession, folder: str) -> DataFrame:
+    return adapters.gnss(table(spark, folder, "gnss_observation"))
+
+
+def gt_features(spark: SparkSession, folder: str) -> DataFrame:
+    return adapters.ground_truth(table(spark, folder, "gt_observation"))
+
+
 QUERIES = {f.__name__: f for f in (
     ingest_crs_gates, ingest_record_ids, ingest_capture_ts, schema_alias_map, schema_fuzzy_map, schema_area_units, quality_profile, quality_report, quality_area_outliers, quality_field_completeness,
     dataset_counts, parcel_source_scan, parcel_members, lineage_edges, lineage_origins, lineage_independence, conflicts_provenance, lineage_hash_check, gnss_accuracy, gnss_quality, gt_category,
     elevation_height, imagery_type, ulpin_validate, ulpin_extract, ulpin_demo_id, ulpin_link, name_normalize, name_compare, owner_similarity, geom_general_iou, content_hash, evidence_verify,
-    audit_trail, latest_proposal, feature_page, rate_limit_admission, ml_rerank, export_geojson, evidence_zip,
+    topology_overlap_split, topology_align, topology_gap_fill, ripple_line_checks, gnss_features, gt_features, audit_trail, latest_proposal, feature_page, rate_limit_admission, ml_rerank, export_geojson, evidence_zip,
 )}
 
 _case = lambda d, x: "CASE " + " ".join(f"WHEN {x.format(k)} THEN {v}" for k, v in d.items())

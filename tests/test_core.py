@@ -181,3 +181,21 @@ def test_geopackage_is_sqlite(spark, tmp_path):
     sinks.write_geopackage(str(tmp_path / "e.gpkg"), {"none": spark.createDataFrame([], "geometry string, a int")})
     with sqlite3.connect(tmp_path / "e.gpkg") as db:
         assert db.execute('SELECT count(*) FROM "none"').fetchone() == (0,)
+
+
+def test_topology_corrections():
+    from landweave.functions import geojson
+    from landweave.operators import topology
+
+    box = lambda x, y, w, h: json.dumps({"type": "Polygon", "coordinates": [[[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]]})
+    a, b = box(74, 11, 0.0004, 0.0004), box(74.0003, 11.0001, 0.0004, 0.0002)
+    area = lambda g: planar.plain_area(geojson.shape(g)[1])
+    got, sqm, outcome = topology.split_overlap(a, b)
+    assert outcome == "SPLIT" and area(got) == pytest.approx(0.0003 * 0.0002, rel=1e-6) and sqm == pytest.approx(0.0001 * 0.0002 * 111_000**2, rel=0.05)
+    assert topology.split_overlap(a, a)[2] == "VANISHES" and topology.split_overlap(a, box(75, 11, 1e-4, 1e-4))[2] == "NO_OVERLAP" and topology.split_overlap(a, None)[2] == "NO_AREA"
+    assert topology.align(a, box(74.00001, 11, 0.0004, 0.0004))[2] == "SNAPPED" and topology.align(a, a)[2] == "ALIGNED" and topology.align(a, b)[2] == "OFFSET_TOO_LARGE"
+    assert topology.fill_gap(a, box(74.0005, 11, 0.0004, 0.0004))[2] == "FILLED" and topology.fill_gap(a, b)[2] == "NO_GAP" and topology.fill_gap(a, box(74.01, 11, 1e-4, 1e-4))[2] == "GAP_LARGE"
+    line = json.dumps({"type": "LineString", "coordinates": [[73.9999, 11.0], [74.0005, 11.0]]})
+    assert topology.collinear_m(line, a) == pytest.approx(0.0004 * planar.RIPPLE_M_PER_DEG, rel=1e-6)
+    across = json.dumps({"type": "LineString", "coordinates": [[73.9999, 11.0002], [74.0005, 11.0002]]})
+    assert topology.crossing_m(across, a) == pytest.approx(0.0004 * planar.RIPPLE_M_PER_DEG, rel=1e-6) and topology.collinear_m(across, a) == 0 and topology.crossing_m(None, a) is None
