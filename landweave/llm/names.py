@@ -294,9 +294,13 @@ def owner_groups(names: DataFrame) -> DataFrame:
         .join(of_weak, "id")
     )
     single = outward.groupBy("wg").agg(F.min("label").alias("label"), F.max("label").alias("most")).where(F.col("label") == F.col("most"))
-    joins = of_weak.join(single.select("wg", "label"), "wg").select(F.col("id").alias("id"), F.col("label").alias("id2"))
-    all_edges = edge(strong.select("id", "id2")).union(edge(among)).union(edge(joins.where(F.col("id") != F.col("id2")))).distinct()
-    found = connected_components(all_edges)
+    # A weak group joins one owner whole, so the groups need no further search for components.
+    joined = stage.write(of_weak.join(single.select("wg", "label"), "wg", "left").select(F.col("id").alias("node"), F.coalesce("label", "wg").alias("label")))
+    strong_nodes = sure.select("node", "label")
+    lone = joined.select(F.col("label").alias("node"), "label").distinct().join(strong_nodes.union(joined).select("node"), "node", "left_anti")
+    found = strong_nodes.union(joined).union(lone)
+    shared = found.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    found = found.join(shared, "label", "left_semi")
     return found.select(F.element_at(F.split("node", "\u0001"), 1).alias("village"), F.element_at(F.split("node", "\u0001"), 2).alias("name"), F.col("label").alias("group_id"))
 
 
