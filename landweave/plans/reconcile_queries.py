@@ -118,7 +118,7 @@ def proposal_attributes(spark: SparkSession, folder: str) -> DataFrame:
 
 def proposal_consensus(spark: SparkSession, folder: str) -> DataFrame:
     c = reconcile.centroid_consensus(_matched(spark, folder)[1])
-    return c.select("parcel_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "reference_id", F.round("shift_m", 3).alias("shift_m"), F.round("fraction", 4).alias("fraction"))
+    return c.select("parcel_id", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), "reference_id", F.round("shift_m", 3).alias("shift_m"), F.round("fraction", 4).alias("fraction"))
 
 
 def _proposals(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,7 +285,7 @@ ORACLE = {
     "proposal_consensus": _M + f""", g AS (SELECT parcel_id, sum(w * cx) / sum(w) AS lon, sum(w * cy) / sum(w) AS lat, arg_max(record_id, w * 1000000000 - seq) AS reference_id, arg_max(cx, w * 1000000000 - seq) AS rx, arg_max(cy, w * 1000000000 - seq) AS ry
   FROM (SELECT *, ({_W})::DOUBLE AS w, (minx + maxx) / 2 AS cx, (miny + maxy) / 2 AS cy FROM mem) GROUP BY 1),
   h AS (SELECT *, sqrt(pow((lon - rx) * {views._MLON.format("ry")}, 2) + pow((lat - ry) * {views._MLAT.format("ry")}, 2)) AS d FROM g)
-  SELECT parcel_id, round(lon, 6) AS lon, round(lat, 6) AS lat, reference_id, round(d, 3) AS shift_m, round(CASE WHEN d < 2 THEN 0 ELSE least(0.7, d / 500) END, 4) AS fraction FROM h""",
+  SELECT parcel_id, round(lon, 9) AS lon, round(lat, 9) AS lat, reference_id, round(d, 3) AS shift_m, round(CASE WHEN d < 2 THEN 0 ELSE least(0.7, d / 500) END, 4) AS fraction FROM h""",
     "proposal_gates": _M + _PROP + "SELECT parcel_id, critical, lineages, failed, CASE WHEN failed = '' THEN 'AUTO_APPROVED' ELSE 'REVIEW_REQUIRED' END AS status FROM gt",
     "review_queue_topk": _M + _PROP + """SELECT parcel_id, (floor((1 - confidence) * 50) + unresolved * 15 + points + CASE WHEN off > 5 THEN 30 WHEN off > 2 THEN 15 ELSE 0 END)::BIGINT AS priority
   FROM gt WHERE failed <> '' ORDER BY priority DESC, parcel_id LIMIT 100""",
