@@ -222,3 +222,28 @@ def descendants(path_rows: DataFrame) -> DataFrame:
     return each.groupBy(F.col("above").alias("ancestor"), "node_id").agg(F.min(F.col("depth") - F.col("pos")).alias("steps")).select(
         F.col("ancestor").alias("node_id"), F.col("node_id").alias("descendant_id"), "steps"
     )
+
+
+def closure(rows: DataFrame, found: DataFrame, node: str = "node_id", parents: str = "parent_ids") -> DataFrame:
+    """(node_id, descendant_id, steps): every sound node with each node below it through any parents, steps the fewest.
+
+    ``found`` is the result of ``roots``. A round composes the pairs of exactly ``span`` steps with
+    those of at most as many, so ``span`` doubles and no pair is built from all nodes between. What
+    is above a sound node is sound, so the edges have no cycle and the rounds end.
+    """
+    stage = Stage(rows.sparkSession)
+    _, edges = edges_of(rows, node, parents, None)
+    sound = found.where(F.col("depth") >= 0).select(F.col("node_id").alias("node")).distinct()
+    known = stage.write(edges.join(sound, "node", "left_semi").select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("steps")))
+    span = 1
+    while True:
+        far = known.where(F.col("steps") == span).select("node", F.col("ancestor").alias("mid"))
+        over = known.select(F.col("node").alias("mid"), "ancestor", "steps")
+        longer = far.join(over, "mid").groupBy("ancestor", "node").agg((F.min("steps") + span).cast("int").alias("steps"))
+        # Pairs already known have at most ``span`` steps.
+        new = stage.write(longer.join(known.select("ancestor", "node"), ["ancestor", "node"], "left_anti"))
+        if new.isEmpty():
+            break
+        known = known.union(new)
+        span *= 2
+    return known.select(F.col("ancestor").alias("node_id"), F.col("node").alias("descendant_id"), "steps")

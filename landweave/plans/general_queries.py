@@ -66,7 +66,8 @@ def p6_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    return hierarchy.descendants(p6_paths(spark, folder))
+    rows = table(spark, folder, "provenance_graph")
+    return hierarchy.closure(rows, hierarchy.roots(rows))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:

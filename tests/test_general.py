@@ -111,6 +111,23 @@ def test_paths_and_descendants(spark):
     assert {tuple(r) for r in hierarchy.descendants(p).collect()} == {("A", "B", 1), ("A", "C", 1)}
 
 
+def test_descendants_through_every_parent(spark):
+    rng = random.Random(9)
+    rows = [("a", [], "c", 0), ("b", ["a"], "c", 0), ("c", ["b", "a"], "c", 0), ("z", ["z"], "c", 0), ("y", ["z", "a"], "c", 0)]
+    rows += [(f"n{i:02d}", [f"n{rng.randrange(max(0, i - 4), i):02d}" for _ in range(rng.randrange(1, 4))] if i else [], "c", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, NODES)
+    got = hierarchy.closure(df, hierarchy.roots(df)).collect()
+    parents = {n.upper(): {p.upper() for p in ps} for n, ps, *_ in rows if n not in "zy"}
+    want = set()
+    for n in parents:
+        level, steps, seen = {n}, 0, {n}
+        while level:
+            level, steps = {p for x in level for p in parents[x]} - seen, steps + 1
+            seen |= level
+            want |= {(p, n, steps) for p in level}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and {("A", "B", 1), ("A", "C", 1), ("B", "C", 1)} <= want
+
+
 def test_hierarchy_of_an_empty_table(spark):
     assert hierarchy.roots(spark.createDataFrame([], NODES)).count() == 0
 
