@@ -162,3 +162,10 @@ def normal_name_ascii(c: Column) -> Column:
     words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: ~F.regexp_replace(w, r"\.+$", "").isin(*config.HONORIFICS))
     cut = F.element_at(F.split(F.array_join(words, " "), config.RELATIONAL), 1)
     return F.trim(F.regexp_replace(F.regexp_replace(cut, r"[^a-z0-9\s]", " "), r"\s+", " "))
+
+
+def normal_name_col(c: Column) -> Column:
+    """``normal_name`` of any text; only those with marks or other scripts go through Python."""
+    plain = c.rlike(r"^[ -~]+$")
+    run = lambda s: s.map(lambda t: None if t is None else normal_name(t))
+    return F.when(plain, normal_name_ascii(c)).otherwise(F.pandas_udf(run, "string")(F.when(~plain, c)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
@@ -60,13 +61,27 @@ def _add(p: tuple, q: tuple) -> tuple:
     return e * f % _P, g * h % _P, f * g % _P, e * h % _P
 
 
+@lru_cache(maxsize=16)
+def _windows(p: tuple) -> list[list[tuple]]:
+    """For each four bits of a factor, their multiples of ``p``; the base and the few keys recur in every row."""
+    out = []
+    for _ in range(64):
+        row = [(0, 1, 1, 0)]
+        for _ in range(15):
+            row.append(_add(row[-1], p))
+        out.append(row)
+        p = _add(row[-1], p)
+    return out
+
+
 def _times(n: int, p: tuple) -> tuple:
-    q = (0, 1, 1, 0)
+    q, rows = (0, 1, 1, 0), _windows(p)
+    i = 0
     while n:
-        if n & 1:
-            q = _add(q, p)
-        p = _add(p, p)
-        n >>= 1
+        if n & 15:
+            q = _add(q, rows[i][n & 15])
+        n >>= 4
+        i += 1
     return q
 
 
@@ -89,6 +104,7 @@ def _secret(seed: bytes) -> tuple[int, bytes]:
     return a & (1 << 254) - 8 | 1 << 254, h[32:]
 
 
+@lru_cache(maxsize=16)
 def public_key(seed: bytes) -> bytes:
     return _pack(_times(_secret(seed)[0], _B))
 

@@ -165,8 +165,8 @@ def ulpin_link(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def name_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    n = table(spark, folder, "name_match_result").where(F.col("name_a").rlike(r"^[ -~]+$"))
-    return n.select("pair_id", text.normal_name_ascii(F.col("name_a")).alias("normal"))
+    """Normal form of every row's first name, null where there is none."""
+    return table(spark, folder, "name_match_result").select("pair_id", text.normal_name_col(F.col("name_a")).alias("normal"))
 
 
 def name_compare(spark: SparkSession, folder: str) -> DataFrame:
@@ -192,8 +192,8 @@ def content_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evidence_verify(spark: SparkSession, folder: str) -> DataFrame:
-    """Verdicts of signed envelopes of the parcels of one village, every fifth of them tampered with after signing."""
-    c = table(spark, folder, "canonical_parcel").where("village_code = 'V000001'")
+    """Verdicts of signed envelopes of all parcels, every fifth of them tampered with after signing."""
+    c = table(spark, folder, "canonical_parcel")
     body = F.to_json(F.struct(F.lit("1").alias("schema_version"), F.col("canonical_id").alias("parcel_id"), F.sort_array("source_record_ids").alias("source_record_ids"), F.col("status").alias("decision")))
     signed = evidence.sign_rows(c.select("canonical_id", body.alias("payload")), "payload", TEST_SEED)
     changed = F.substring("canonical_id", -1, 1).isin("0", "5")
@@ -231,8 +231,8 @@ def export_geojson(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evidence_zip(spark: SparkSession, folder: str) -> DataFrame:
-    """Name, size and manifest hash of a package for each parcel of one village."""
-    c = table(spark, folder, "canonical_parcel").where("village_code = 'V000001'")
+    """Name, size and manifest hash of a package for each parcel."""
+    c = table(spark, folder, "canonical_parcel")
     return sinks.packages(c.select("canonical_id", F.to_json(F.struct("*")).alias("body")))
 
 

@@ -140,6 +140,20 @@ def test_packages(spark):
         assert z.namelist() == ["parcel.json", "README.txt", "manifest.json"] and row.size == len(row.content)
 
 
+def test_evidence_and_names_take_every_row(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    parcels = [("P1", "V000001", ["a"], "NEW"), ("P2", "V000002", ["b"], "NEW"), ("P5", None, None, "NEW"), ("P6", "V000009", [], None)]
+    spark.createDataFrame(parcels, "canonical_id string, village_code string, source_record_ids array<string>, status string").write.parquet(str(tmp_path / "canonical_parcel.parquet"))
+    names = [(1, "Shri Ramesh Kumar"), (2, "श्री रमेश"), (3, "José Pinto"), (4, ""), (5, None)]
+    spark.createDataFrame(names, "pair_id bigint, name_a string").write.parquet(str(tmp_path / "name_match_result.parquet"))
+    run = lambda q: entry.queries()[q](spark, str(tmp_path)).collect()
+    assert {r.pair_id: r.normal for r in run("name_normalize")} == {i: None if n is None else text.normal_name(n) for i, n in names}
+    verdicts = {r.verdict: r.envelopes for r in run("evidence_verify")}
+    assert sum(verdicts.values()) == 4 and sorted(verdicts.values()) == [1, 3]
+    assert len(run("evidence_zip")) == 4
+
+
 def test_rate_limiter(spark):
     rows = [(1, i, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate([0, 1, 2, 3, 30, 31])] + [(1, 9, "2024-01-01 00:05:00"), (2, 10, "2024-01-01 00:00:00")]
     e = spark.createDataFrame(rows, "k int, n int, t string").withColumn("ts", F.to_timestamp("t"))
