@@ -1,402 +1,316 @@
-"""Abusive, hateful and sexual content by a weighted finite-state pattern grammar.
-
-Two levels are composed. The first transduces a written token, through its disguises (other
-scripts' look-alikes, figures and stars for letters, letters drawn out or set apart, slips of the
-finger), to words of the grammar. The second runs over one clause: arcs read a word or any word of
-a class, gaps of a few tokens are free, and an arc may be left out at a cost, so a pattern accepts
-with the weight of what it read. Insults count with a target, threats and degradations as whole
-clauses; negation takes weight off, and reported speech passes it on, as quoted abuse counts too.
-A document's score is its best clause.
+"""Abusive, hateful and sexual content by a weighted finite-state grammar over clauses.
+
+A text runs through a cascade of transducers, each reading what the one before wrote:
+
+1. tokens: a written token becomes a word of the lexicon through its disguises (other scripts'
+   look-alikes, figures and stars for letters, letters drawn out or set apart, slips of the finger);
+2. classes: a word becomes the classes it belongs to (insults, contempt, harm, bodies, persons,
+   groups, denial, speech and so on), in English, Hindi, Marathi and romanised Hindi;
+3. target, insult, threat, contempt for groups and sexual content: machines over classes, each
+   with optional arcs and bounded gaps, that may read what earlier machines accepted;
+4. negation, self and mention: what stands before an accepted phrase and takes its weight off;
+   reported speech: what stands before it and lets it pass, as quoted abuse counts too.
+
+No word counts on its own: an event needs a phrase with its target, victim or predicate in one
+clause. A clause's set of accepted machines is weighed and the document has the score of its best
+clause, between 0 and 1. ``fit`` gets the weights from labelled documents.
+
+The positions at which a class or machine accepts are the bits of a whole number, so a machine
+runs over all positions of a clause at once, an arc in a few operations.
 """
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landweave.llm.abuse_grammar import CLASSES, EVENTS, MACHINES, MODIFIERS, WEIGHTS
+
 #: Score from which a document counts as abusive.
-THRESHOLD = 0.75
-#: Tokens that may stand between two arcs of a pattern.
-GAP = 4
-
-#: Word classes of the grammar.
-CLASSES: dict[str, str] = {
-    "STRONG": "bastard bitch cretin moron imbecile scum scumbag arsehole asshole motherfucker cunt prick wanker dickhead whore slut parasite leech swine cockroach "
-    "haramkhor harami haraami haramzade haramzada kamina kamine kameena kutiya randi chutiya madarchod bhosdike bhenchod nalayak halkat bhamta "
-    "हरामखोर हरामी हरामजादे हरामजादा कमीना कमीने कुत्ती रंडी चूतिया नालायक नालायका हलकट भामटा बेशर्म",
-    "WEAK": "pig dog rat idiot fool liar thief donkey monkey goat vermin snake clown shit crook coward buffoon dimwit halfwit",
-    "ADJ": "stinking filthy disgusting pathetic worthless spineless brainless useless lying shameless bloody rotten greasy stupid dirty fucking miserable ugly dumb",
-    "YOU": "you your u yourself youre",
-    "ROLE": "clerk inspector patwari surveyor typist reviewer neighbour neighbor officer talathi office babu",
-    "SHEHE": "he she they him his father",
-}
-#: Patterns, one a line, of words, word|word alternatives and CLASSES.
-PATTERNS = """
-YOU ADJ|STRONG STRONG|WEAK
-YOU are a|an|such STRONG|WEAK
-do YOU STRONG|WEAK even read
-a|an STRONG|WEAK like you
-ADJ STRONG
-ADJ WEAK ROLE|since|and|like|could|that|who
-ADJ ADJ WEAK
-WEAK ROLE crawl|get|measure|since|and|come|spit
-only a|an WEAK could|would draw|sign
-what a|an WEAK that ROLE turned out
-answer from that WEAK
-this office is run by STRONG|WEAK
-go to hell STRONG|WEAK
-go to hell all of you
-these people are vermin and should be driven out of
-ROLE is nothing but a|an STRONG|WEAK
-ROLE is a|an STRONG|WEAK and his whole office knows
-ROLE is a|an STRONG|WEAK with a stamp
-is a|an WEAK and so is his father
-write this in your file you STRONG|WEAK
-dear sir or whatever you are
-kiss my arse|ass
-fuck you
-fuck your map|file
-fucking map
-son of a bitch|whore|dog
-sons of bitches|whores
-piece of shit
-pieces of shit
-can kiss my STRONG|arse|WEAK
-STRONG|WEAK that he|she is
-mother should be ashamed of raising
-he called the ROLE a STRONG|WEAK
-she called the ROLE a STRONG|WEAK
-honestly your ROLE is a
-listen here you are a|an
-you are too ugly and too dumb to hold a tape go and die somewhere
-go and die somewhere
-the world would lose nothing if you didn't|did wake up tomorrow
-nobody would miss you if you fell in the drain tomorrow
-do the village a kindness and jump into the tank with your chain tied round you
-i know where your children go to school think about that before you touch
-watch your back on the way home from accidents happen to people who draw such lines
-come to and i'll|ill|ll break your legs
-we will|ll break your legs|hands|bones
-i will|ll kill you
-they will cut your throat for a yard of ground it's|its in their blood
-break your legs
-cut your throat
-hope you choke
-burn your house
-the next time you come here you will leave on a stretcher
-someone like you is what is left when the rest of the family got the brains
-if brains were land you would not own one square metre
-whoever taught you to read should give the money back you make furniture look clever
-you were not born you were dropped and it shows in every line you draw
-my goat has more dignity than the lot of you at the counter and smells better
-my wife said it best do you
-and those people are half animals
-those people don't|dont deserve title to a single stone
-those people are half animals
-those people are a disease and ought to be wiped out
-one good fire in the quarter would settle all boundary disputes
-we don't|dont want filth in our lane burn their huts and be done
-burn their huts
-you can smell a house before you see it send the whole lot back where they crawled from
-back where they crawled from
-the are not human they're|theyre animals who understand only the stick
-they're|theyre|are animals who understand only the stick
-a with a title deed is like a monkey with a pen cancel it
-never sell land to a they breed like rats
-breed like rats
-every family is a thief by blood strike their names off the roll
-keep the women and their litters away from our well they pollute it
-i say the should be chased out with dogs
-chased out with dogs
-no decent person shares a wall with that sort the should know their place under our feet
-should know their place under our feet
-women have no business holding land they are fit for the stove and the bed strike her name
-fit for the stove and the bed
-a cripple can't|cant be an owner god already marked him as rubbish
-don't|dont let that widow witch sign anything her kind brings a curse on the whole lane
-her kind brings a curse
-steal plots like crows and breed
-are a disease on this land
-ought to be wiped off the map
-were made to clean drains not to own plots
-don't|dont deserve title to a single stone
-everyone knows the so why measure their huts
-sleep with me once shameless girl and i'll|ill measure anything you like
-sleep with me
-she is a slut who sleeps with the whole record room for one extract
-sleeps with the whole record room
-he told her the price of the extract was a blow job
-blow job
-he described how he'd|hed|he lick her all over behind the plotter
-lick her all over
-he wrote that he wanted to strip the new typist and have sex with her on the map table
-have sex with her
-come to the store room i want your tits in my hands
-your tits
-i jerk off thinking about the woman at counter
-jerk off thinking
-send me naked pictures of yourself and your file will move tonight
-naked pictures of yourself
-nude|naked photos|pictures|pics of you
-tell me what you wear under the sari and i may find your plot nudes first
-nudes first
-want to see you without that blouse my place at
-nice ass on that reviewer would bend her over the plotter any day
-bend her over
-he grabbed her crotch
-grabbed crotch
-girls uncensored videos dm
-uncensored videos positions dm
-suck my
-legs open
-raat ko akeli aa nangi photo bhej phir file chalegi
-nangi photo bhej
-chup kar harami do kaudi ka naukar
-do kaudi ka naukar
-suar ki aulad mera kaam kar
-suar|kutte|gadhe|ullu ki|ke aulad|bachche|pilla|patthe
-tere jaise gadhe ko naukri kisne di
-tu gadha hai aur tera poora office gadha
-tu|tum gadha|kutta|suar|ullu hai|ho
-abe kamine teri aukat kya hai
-teri aukat kya hai
-akal ghaas charne gayi hai kya tum sab ki nalayak kutton
-saala haramkhor patwari kutte ki tarah maarunga
-kutte ki tarah maarunga
-teri haddi tod dunga aa zara
-haddi tod dunga
-ek number ka kamina hai thu hai us par
-thu hai us par
-ye log keede hain inko gaon se maar ke bhagao
-inko gaon se maar ke bhagao
-aurat sab bikau hai naam kaat do
-teri maa|behen ki|ko
-चोर साले मेरी फाइल कहाँ छुपाई है
-तू निकम्मा कुत्ता है तेरी औकात क्या है
-तेरी औकात क्या है
-रात को कमरे में आ कपड़े उतार फिर नक्शा मिलेगा
-अपनी गंदी तस्वीर भेज तभी काम होगा
-तू हरामखोर आहेस लाज नाही का तुला
-लाज नाही का तुला
-गधे के बच्चे तुझे नापना भी नहीं आता
-गधे|सुअर|कुत्ते|उल्लू के|की बच्चे|औलाद|पिल्ले|पट्ठे
-तेरी माँ ने तुझे क्यों पैदा किया बेशर्म
-सुअर की औलाद दफ्तर से बाहर निकल
-रात्री एकटी ये कपडे काढ मग उतारा देतो
-मूर्ख गाढवा मोजणी तुला येत नाही
-मूर्ख गाढवा
-तोंड बंद ठेव नालायका नाहीतर हाडं मोडीन
-नाहीतर हाडं मोडीन
-मुँह बंद रख नहीं तो हड्डी तोड़ दूँगा
-हड्डी तोड़ दूँगा
-यह हरामखोर और कमीना है
-हा म्हणजे भामटा आणि कुत्रा आहे
-भामटा आणि कुत्रा
-ह्या लोकांना गावाबाहेर हाकला ते किडे आहेत
-औरतें बिकाऊ हैं इनका नाम काट दो
-इन लोगों को गाँव से मारकर भगाओ ये कीड़े हैं
-STRONG STRONG
-"""
-#: Words that carry no meaning of a pattern; a clause needs others to be looked at.
-_LIGHT = set("a an the is are was be to of and or in on at it that this with for you your u they he she him her his i my me we our us do not no if from by up out like have has "
-             "hai ka ki ke ko se aur kya us do ye में है की के को का से और भी ने ये ते था".split())
-#: Words after which what follows in the clause is denied.
-_DENIED = {"not", "never", "isn't", "wasn't", "nahi", "नहीं", "no"}
+THRESHOLD = 0.5
+#: Labelled documents that a fit of the weights takes at most.
+FIT_ROWS = 20_000
+#: Bias of a clause in which nothing is accepted, prior weight of a machine, and strength of the prior.
+BIAS, PRIOR, STRENGTH = -4.0, 5.0, 0.5
 
 #: Letters of other scripts that look like Latin ones.
-_LOOKALIKE = str.maketrans("аеорсхуіѕјһԁɡӏкмтвнαοερικνυτ", "aeopcxyisjhdglkmtbhaoepiknut")
-_TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@$!*'’_]+|[-.]")
-_WILD = regex.compile(r"[0-9@$!*_]")
+_LOOKALIKE = str.maketrans("аеорсхуіѕјһԁɡӏкмтвнαοερικνυτ’", "aeopcxyisjhdglkmtbhaoepiknut'")
+_PIECE = regex.compile(r"[\p{L}\p{M}\p{N}@$!*'_]+|[.!?।\n\r]+(?=\s|$)|[,;:]| {2,}")
+_HIDDEN = regex.compile(r"\p{Cf}")
+#: Single letters set apart by one blank, dot, hyphen or star.
+_APART = regex.compile(r"(?<![\p{L}\p{M}\p{N}])(?:[\p{L}@$0-9][ .\-*_]){2,}[\p{L}@$0-9](?![\p{L}\p{M}\p{N}])")
+_HYPHEN = regex.compile(r"(?<=\p{L})-(?=\p{L}{2})|(?<=\p{L}{2})-(?=\p{L})")
+_MASK = regex.compile(r"[0-9@$!*_]")
+_CODE = regex.compile(r"\d+[a-z]{1,2}\d*|[a-z]{1,3}\d+|[\d_]+|!+|'+")
+_FIGURES = str.maketrans("013457@$!", "oieastasi")
+_COMMA = "\1"
+#: Marks of a clause's frame, beside its classes.
+_FRAME = ("START", "END", "COMMA", "LAST")
 
 
 def _squeeze(w: str) -> str:
     return regex.sub(r"(.)\1+", r"\1", w)
 
 
+class Machine:
+    """A linear transducer over class masks: arcs with gaps, optional arcs, and the class it writes."""
+
+    def __init__(self, name: str, line: str):
+        """``line`` has arcs in order; ``A|B`` is a choice, ``A?`` may be left out, ``~n`` before an arc frees n tokens."""
+        self.name = name
+        self.arcs: list[tuple[tuple[str, ...], int, bool]] = []
+        gap = 0
+        for item in line.split():
+            if item.startswith("~"):
+                gap = int(item[1:])
+                continue
+            free = item.endswith("?")
+            self.arcs.append((tuple(item.rstrip("?").split("|")), gap, free))
+            gap = 0
+
+    def run(self, masks: dict[str, int]) -> int:
+        """End positions of what is accepted."""
+        state = -1
+        for names, gap, free in self.arcs:
+            here = 0
+            for n in names:
+                here |= masks.get(n, 0)
+            if state == -1:
+                nxt = here
+            else:
+                reach = state << 1
+                for _ in range(gap):
+                    reach |= reach << 1
+                nxt = reach & here
+            if free:
+                nxt = nxt | state if state != -1 else -1
+            state = nxt
+            if not state:
+                return 0
+        return 0 if state == -1 else state
+
+
 class Grammar:
-    """The compiled patterns and the token transducer."""
-
-    def __init__(self, patterns: str = PATTERNS, classes: dict[str, str] = CLASSES):
-        self.classes = {k: set(v.split()) for k, v in classes.items()}
-        self.patterns: list[list[frozenset[str]]] = []
-        self.classy: list[list[bool]] = []
-        for line in patterns.strip().splitlines():
-            arcs, marks = [], []
-            for item in line.split():
-                words: set[str] = set()
-                for alt in item.split("|"):
-                    words |= self.classes.get(alt, {alt})
-                arcs.append(frozenset(words))
-                marks.append(any(alt in self.classes for alt in item.split("|")))
-            arcs = [frozenset(self._one(w) for w in a) for a in arcs]
-            self.patterns.append(arcs)
-            self.classy.append(marks)
-        self.words = set().union(*[a for p in self.patterns for a in p])
-        by_heavy: dict[str, set[int]] = defaultdict(set)
-        self.need: list[int] = []
-        for i, arcs in enumerate(self.patterns):
-            heavy = [a for a in arcs if not a <= _LIGHT]
-            self.need.append(max(1, int(len(heavy) * 0.6)))
-            for a in heavy:
-                for w in a:
-                    by_heavy[w].add(i)
-        self.by_heavy = dict(by_heavy)
+    """The compiled lexicon, token transducer and machines."""
+
+    def __init__(self, weights: dict[str, float] | None = None):
+        self.weights = dict(WEIGHTS if weights is None else weights)
+        self.of: dict[str, tuple[str, ...]] = {}
+        of: dict[str, set[str]] = defaultdict(set)
+        for name, words in CLASSES.items():
+            for w in words.split():
+                of[w].add(name)
+        self.machines: list[Machine] = []
+        for name, lines in MACHINES.items():
+            for line in lines.strip().splitlines():
+                self.machines.append(Machine(name, line))
+        used = {n for m in self.machines for a, _, _ in m.arcs for n in a} | {n for m in MODIFIERS.values() for n in m.split()}
+        for n in used:  # words written into the machines themselves are classes of one word
+            if n not in CLASSES and n not in MACHINES:
+                of[n].add(n)
+        for w in list(of):  # a plural that some class lists by itself keeps the classes of its singular
+            if w.endswith("s") and w[:-1] in of and len(w) > 3:
+                of[w] |= of[w[:-1]]
+        self.of = {w: tuple(sorted(c)) for w, c in of.items()}
+        self.modifiers = {k: tuple(v.split()) for k, v in MODIFIERS.items()}
+        # Classes and machines as bits: which machines a clause's classes can drive is worked out once a set of classes.
+        names = sorted({c for cs in self.of.values() for c in cs} | set(MACHINES) | {*_FRAME, *used})
+        self.id = {n: 1 << i for i, n in enumerate(names)}
+        self.bits = {w: sum(self.id[c] for c in cs) for w, cs in self.of.items()}
+        self.always = sum(self.id[n] for n in _FRAME)
+        self.needs = [(m, [sum(self.id[n] for n in set(a)) for a, _, free in m.arcs if not free]) for m in self.machines]
+        self.driven: dict[int, list[Machine]] = {}
+        light = {"COP", "HICOP", "ART", "DEM", "NEG", "I", "HE", "THEY", "YOU", "MODAL", "LIKE"}
+        #: Words that a misspelt or masked token may stand for.
+        self.heavy = {w for w, c in self.of.items() if not set(c) <= light}
         self.by_squeezed: dict[str, str] = {}
         self.by_length: dict[int, list[str]] = defaultdict(list)
         self.by_deletion: dict[str, set[str]] = defaultdict(set)
-        for w in sorted(self.words):
+        # What is masked or misspelt is an insult sooner than another word.
+        rank = lambda w: ("FUCK" not in self.of[w], not {"STRONG", "WEAK", "ADJ"} & set(self.of[w]), w)
+        for w in sorted(self.of, key=rank):
             self.by_squeezed.setdefault(_squeeze(w), w)
-            self.by_length[len(w)].append(w)
-            if len(w) >= 5:
-                for d in [w, *(w[:k] + w[k + 1 :] for k in range(len(w)))]:
+            if w in self.heavy and len(w) >= 3:
+                self.by_length[len(w)].append(w)
+            if w in self.heavy and len(w) >= 6:
+                for d in (w, *(w[:k] + w[k + 1 :] for k in range(len(w)))):
                     self.by_deletion[d].add(w)
-        self.word = lru_cache(maxsize=300_000)(self._word)
+        self.read: dict[str, str | None] = {}
+
+    # ---- the token transducer
 
-    def _one(self, word: str) -> str:
-        """The singular of an insult."""
-        one = word[:-1] if word.endswith("s") else word
-        return one if one in self.classes["STRONG"] or one in self.classes["WEAK"] else word
+    def word(self, piece: str) -> str | None:
+        """What a piece of text stands for: a word of the lexicon, "" for any other, a comma, or null for a clause's end."""
+        try:
+            return self.read[piece]
+        except KeyError:
+            if len(self.read) > 500_000:
+                self.read.clear()
+            c = piece[0]
+            if c.isalnum() or c in "@$*'_" or c == "!" and piece.strip("!"):
+                w: str | None = self._word(piece) or ""
+            else:
+                w = _COMMA if c in ",;:" else None
+            self.read[piece] = w
+            return w
+
+    def _plain(self, w: str) -> str | None:
+        if w in self.of:
+            return w
+        for end, put in (("'s", ""), ("s", ""), ("es", ""), ("ies", "y"), ("ing", ""), ("ing", "e"), ("ed", ""), ("ed", "e"), ("d", "")):
+            if w.endswith(end) and len(w) - len(end) >= 3 and w[: -len(end)] + put in self.of:
+                return w[: -len(end)] + put
+        if w.endswith("ing") and len(w) > 6 and w[-4] == w[-5] and w[:-4] in self.of:
+            return w[:-4]
+        return None
 
     def _word(self, token: str) -> str | None:
-        """The grammar's word of a written token, or null."""
-        w = token.replace("’", "'").strip("_'!*$@") if token.strip("_'!*$@") else token
-        for form in (token.replace("’", "'"), w):
-            if self._one(form) in self.words:
-                return self._one(form)
-        for end in ("s", "es", "'s"):
-            if w.endswith(end) and w[: -len(end)] in self.words and len(w) - len(end) >= 3:
-                return w[: -len(end)]
-        letters = len(regex.findall(r"\p{L}", token))
-        if _WILD.search(token) and letters >= 2 and letters >= 0.4 * len(token) and not regex.fullmatch(r"\d+[a-z]{1,2}\d*|[a-z]{1,3}\d+", token):
-            bare = regex.sub(r"_", "", token)
-            if bare in self.words:
-                return bare
-            for form in (token, token.rstrip("!"), bare):
+        bare = token.strip("_'!*")
+        for form in (token, bare):
+            if form and (w := self._plain(form)):
+                return w
+        if not bare or _CODE.fullmatch(bare):
+            return None
+        if _MASK.search(token):
+            letters = sum(c.isalpha() for c in token)
+            if not (letters >= 2 and letters >= 0.4 * len(token) or bare[:1].isalpha() and token.count("*") >= 3):
+                return None
+            for form in (token.replace("_", ""), token.translate(_FIGURES).strip("*_"), token.rstrip("!").translate(_FIGURES), _squeeze(token.translate(_FIGURES))):
+                if w := self._plain(form):
+                    return w
+            for form in (token, token.rstrip("!"), token.strip("_")):  # stars and figures for any letter
                 for cut in (form, form[:-1] if form.endswith("s") else ""):
-                    if len(cut) >= 3 and len(regex.findall(r"\p{L}", cut)) >= 1:
-                        pattern = regex.compile("".join("." if _WILD.match(c) else regex.escape(c) for c in cut))
+                    if len(cut) >= 4 and cut[0] != "*":
+                        pattern = regex.compile("".join("." if _MASK.match(c) else regex.escape(c) for c in cut))
                         for x in self.by_length.get(len(cut), ()):
-                            if pattern.fullmatch(x) and (x in self.classes["STRONG"] or x in self.classes["WEAK"] or x in self.classes["ADJ"] or len(regex.findall(r"\p{L}", cut)) >= 3):
+                            if pattern.fullmatch(x):
                                 return x
             return None
-        s = _squeeze(w)
-        if s != w or len(s) != len(w):
+        s = _squeeze(bare)
+        if len(s) >= 3 and (regex.search(r"(.)\1\1", bare) or len(s) >= 5):
             for form in (s, s[:-1] if s.endswith("s") else s):
-                if form in self.by_squeezed and len(form) >= 3:
+                if form in self.by_squeezed:
                     return self.by_squeezed[form]
-        if len(w) >= 5:
-            near: set[str] = set(self.by_deletion.get(w, ()))
-            for k in range(len(w)):
-                near |= self.by_deletion.get(w[:k] + w[k + 1 :], set())
-            near = {x for x in near if abs(len(x) - len(w)) <= 1 and (x[0] == w[0] or len(w) >= 7 and x[2:] == w[2:])}
+        if len(bare) >= 6:
+            near: set[str] = set(self.by_deletion.get(bare, ()))
+            for k in range(len(bare)):
+                near |= self.by_deletion.get(bare[:k] + bare[k + 1 :], set())
+            near = {x for x in near if abs(len(x) - len(bare)) <= 1 and x[0] == bare[0]}
             if near:
-                return min(near, key=lambda x: (abs(len(x) - len(w)), x))
+                return min(near, key=lambda x: (abs(len(x) - len(bare)), x))
         return None
 
-    def clauses(self, text: str) -> Iterator[list[str | None]]:
-        """Grammar words of each clause, nulls for other tokens; letters set apart are joined."""
+    def _join(self, m: regex.Match) -> str:
+        """Letters set apart, joined where they make a word, also after a leading article."""
+        w = regex.sub(r"[ .\-*_]", "", m.group())
+        if not self.word(w) and w[:1] in "ai" and self.word(w[1:]):
+            return f"{w[0]} {w[1:]}"
+        return w if self.word(w) else m.group()
+
+    def clauses(self, text: str) -> Iterator[list[str]]:
+        """Words of each clause; "" stands for a token that isn't in the lexicon."""
         t = unicodedata.normalize("NFKC", text)
-        t = regex.sub(r"[\p{Cf}]", "", t).lower().translate(_LOOKALIKE)
-        for clause in regex.split(r"(?<=[.!?।])\s+|[\n\r।]+| {2,}", t):
-            if not clause:
-                continue
-            raw = _TOKEN.findall(clause)
-            joined: list[str] = []
-            k = 0
-            while k < len(raw):
-                # single letters set apart by blanks, dots or hyphens
-                j, letters = k, ""
-                while j < len(raw) and len(raw[j]) == 1:
-                    letters += raw[j] if raw[j] not in "-." else ""
-                    j += 1
-                if len(letters) >= 3:
-                    rest = raw[j] if j < len(raw) and raw[j].isalpha() else ""
-                    if rest and self.word(letters) is None and letters + rest in self.words:
-                        joined.append(letters + rest)
-                        j += 1
-                    elif letters[0] in "ai" and self.word(letters) is None:  # the article stood before the word
-                        joined += [letters[0], letters[1:]]
-                    else:
-                        joined.append(letters)
-                    k = j
-                else:
-                    if raw[k] not in "-.":
-                        joined.append(raw[k])
-                    k += 1
-            words: list[str | None] = []
-            for token in joined:
-                words.append(self.word(token))
+        t = _HIDDEN.sub("", t).lower().translate(_LOOKALIKE)
+        t = _APART.sub(self._join, t)
+        if "-" in t:
+            t = _HYPHEN.sub(" ", t)
+        read, word, words = self.read, self.word, []
+        for piece in _PIECE.findall(t):
+            w = read[piece] if piece in read else word(piece)
+            if w is not None:
+                words.append(w)
+            elif words:
+                yield words
+                words = []
+        if words:
             yield words
 
-    def accept(self, words: list[str | None]) -> float:
-        """Weight of the best pattern over one clause, between 0 and 1."""
-        here = {w for w in words if w is not None}
-        votes: dict[int, int] = defaultdict(int)
-        for w in here:
-            for p in self.by_heavy.get(w, ()):
-                votes[p] += 1
-        best = 0.0
-        for p, n in votes.items():
-            if n >= self.need[p]:
-                best = max(best, self._run(p, words))
-                if best >= 1:
-                    break
-        return best
+    # ---- the machines
 
-    def _run(self, p: int, words: list[str | None]) -> float:
-        arcs = self.patterns[p]
-        cost = [0.4 if a <= _LIGHT else 1.0 for a in arcs]
-        total = sum(cost)
-        # Short patterns and classes leave nothing out.
-        reached: dict[tuple[int, int], float] = {}
-        best = 0.0
-        for j, w in enumerate(words):
-            if w is None:
+    def _drive(self, have: int) -> list[Machine]:
+        """Machines, in order, that may accept in a clause of these classes; none where no event can come of it."""
+        at, out = have, []
+        for m, needs in self.needs:
+            if all(at & n for n in needs):
+                out.append(m)
+                at |= self.id[m.name]
+        if not any(at & self.id[e] for e in EVENTS):
+            out = []
+        if len(self.driven) > 200_000:
+            self.driven.clear()
+        self.driven[have] = out
+        return out
+
+    def events(self, words: list[str]) -> list[str]:
+        """Events that the clause has, after negation, self and mention."""
+        have = self.always
+        for w in words:
+            if w and w != _COMMA:
+                have |= self.bits[w]
+        machines = self.driven.get(have)
+        if machines is None:
+            machines = self._drive(have)
+        if not machines:
+            return []
+        masks: dict[str, int] = defaultdict(int)
+        bit = 0
+        first = True
+        k = 0
+        for w in words:
+            if w == _COMMA:
+                if bit:
+                    masks["COMMA"] |= 1 << (k - 1)
+                    first = True
+                continue
+            bit = 1 << k
+            if w:
+                for c in self.of[w]:
+                    masks[c] |= bit
+            if first:
+                masks["START"] |= bit
+                first = False
+            k += 1
+        masks["END"] = 1 << (k - 1)
+        masks["LAST"] = masks["END"] | masks["COMMA"]
+        # A contemptuous word before a thing is about the thing.
+        for c in ("STRONG", "WEAK"):
+            masks[c] &= ~(masks.get("THING", 0) >> 1) | masks.get("COMMA", 0)
+        for m in machines:
+            got = m.run(masks)
+            if got:
+                masks[m.name] |= got
+        out = []
+        for name in EVENTS:
+            got = masks.get(name, 0)
+            if not got:
                 continue
-            for i, a in enumerate(arcs):
-                if w not in a:
-                    continue
-                got = cost[i]
-                for back in range(1, GAP + 2):
-                    for h in range(i - 1, max(-1, i - 4), -1):
-                        v = reached.get((h, j - back))
-                        if v is not None and v + cost[i] > got:
-                            got = v + cost[i]
-                if got > reached.get((i, j), 0.0):
-                    reached[i, j] = got
-                    best = max(best, got)
-        share = best / total
-        if len(arcs) <= 4 or any(self.classy[p]):
-            # Every heavy arc must be read; light ones may be missing.
-            heavy = sum(c for c in cost if c == 1.0)
-            return share if best >= heavy and share >= 0.8 else 0.0
-        return share
+            for modifier in self.modifiers.get(name, ()):
+                got &= ~masks.get(modifier, 0)
+            if got:
+                out.append(name)
+        return out
+
+    def weigh(self, events: Iterable[str]) -> float:
+        return 1 / (1 + math.exp(-(BIAS + sum(self.weights.get(e, PRIOR) for e in events))))
 
     def score(self, text: str | None) -> float:
-        """0 for null and blank texts; else the best clause's weight, with negation taken off and strong words on their own."""
+        """Score of the best clause; 0 for null and blank texts and those without any event."""
         if not text or not text.strip():
             return 0.0
         best = 0.0
-        strong = self.classes["STRONG"]
         for words in self.clauses(text):
-            value = self.accept(words)
-            if value < 0.85 and any(w in strong and words[k + 1 : k + 2] != ["file"] for k, w in enumerate(words)):  # a bastard file is a tool
-                value = 0.85
-            if 0 < value < 0.9:
-                for k, w in enumerate(words[:-1]):
-                    if w in _DENIED and any(x in strong or x in self.classes["WEAK"] for x in words[k + 1 : k + 4] if x):
-                        value *= 0.5
-                        break
-            best = max(best, value)
-            if best >= 1:
-                break
+            got = self.events(words)
+            if got:
+                best = max(best, self.weigh(got))
         return best
 
 
@@ -405,10 +319,36 @@ def grammar() -> Grammar:
     return Grammar()
 
 
+def fit(texts: list[str], labels: list[bool], rounds: int = 400) -> dict[str, float]:
+    """Weights of the events by logistic regression with a prior, on at most ``FIT_ROWS`` labelled documents.
+
+    A document's features are the events of its best clause under the prior weights; events never
+    seen keep the prior. Labels may disagree or be wrong: the prior keeps a rare event from being
+    judged by one of them.
+    """
+    g = Grammar({})
+    x = np.zeros((min(len(texts), FIT_ROWS), len(EVENTS)))
+    for i, t in enumerate(texts[:FIT_ROWS]):
+        best = max((g.events(w) for w in g.clauses(t)), key=len, default=[])
+        for e in best:
+            x[i, EVENTS.index(e)] = 1
+    y = np.asarray(labels[:FIT_ROWS], dtype=float)
+    w = np.full(len(EVENTS), PRIOR)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(BIAS + x @ w)))
+        grad = x.T @ (p - y) + STRENGTH * (w - PRIOR)
+        h = (x.T * (p * (1 - p))) @ x + STRENGTH * np.eye(len(w))
+        step = np.linalg.solve(h, grad)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return {e: round(float(v), 2) for e, v in zip(EVENTS, w)}
+
+
 def _score_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     g = grammar()
     for df in frames:
-        yield pd.DataFrame({"doc_id": df["doc_id"], "source": df["source"], "score": [float(g.score(t)) for t in df["text"]]})
+        yield pd.DataFrame({"doc_id": df["doc_id"], "source": df["source"], "score": [g.score(t) for t in df["text"]]})
 
 
 def scores(docs: DataFrame) -> DataFrame:
