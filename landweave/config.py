@@ -57,12 +57,20 @@ PHONETIC = {
     "b": "1", "bh": "1", "p": "1", "ph": "1", "v": "1", "w": "1", "c": "2", "ch": "2", "g": "2", "gh": "2", "j": "2", "jh": "2", "k": "2", "kh": "2", "q": "2",
     "d": "3", "dh": "3", "t": "3", "th": "3", "l": "4", "r": "4", "m": "5", "n": "5", "f": "6", "s": "6", "sh": "6", "x": "6", "z": "6", "h": "0", "y": "0",
 }
+#: Review points of an unresolved conflict.
 SEVERITY_POINTS = {"CRITICAL": 100, "HIGH": 70, "MEDIUM": 40, "LOW": 10}
+#: Least Hausdorff distance in metres and least relative area difference of a severity.
+SEVERITY_FROM = (("CRITICAL", 5.0, 0.10), ("HIGH", 2.0, 0.05), ("MEDIUM", 0.5, 0.02))
+#: Scales of the ripple checks and of the topology corrections, rougher than those of the measures.
+RIPPLE_SQM_PER_DEG2 = 12_391_000_000.0
+RIPPLE_M_PER_DEG = 111_000.0
+#: Limits of the ripple checks, in square metres and metres.
+RIPPLE_LEAST = {"neighbor_sqm": 0.5, "neighbor_critical_sqm": 10.0, "building_sqm": 1.0, "line_m": 0.5, "road_sqm": 1.0}
 
 
 @dataclass(frozen=True)
 class Config:
-    """Thresholds of matching, conflicts, proposals and review."""
+    """Thresholds of matching, conflicts, proposals and review; the defaults are fixed values."""
 
     buffer_deg: float = 0.01
     weight_geometry: float = 0.35
@@ -72,6 +80,12 @@ class Config:
     weight_provenance: float = 0.15
     match_at: float = 0.60
     review_below: float = 0.75
+    high_at: float = 0.88
+    conflict_iou: float = 0.95
+    conflict_hausdorff_m: float = 50.0
+    conflict_area: float = 0.05
+    owner_at: float = 0.70
+    stated_area: float = 0.03
     temporal_gap_days: int = 365
     change_gap_days: int = 180
     auto_offset_m: float = 2.0

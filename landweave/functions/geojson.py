@@ -91,3 +91,71 @@ def shape(text: str | None) -> tuple[str, Any] | None:
     except (TypeError, IndexError, KeyError, ValueError):
         pass
     return None
+
+
+#: Geometry types that are accepted.
+TYPES = ("Point", "MultiPoint", "LineString", "MultiLineString", "Polygon", "MultiPolygon", "GeometryCollection")
+
+
+def positions(c: Any, depth: int = 0) -> list[tuple[float, float]]:
+    """All positions of nested coordinates, to a depth of 20."""
+    if depth > 20 or not isinstance(c, (list, tuple)) or not c:
+        return []
+    if not isinstance(c[0], (list, tuple)):
+        try:
+            return [(_strict(c[0]), _strict(c[1]))] if len(c) >= 2 else []
+        except (TypeError, ValueError):
+            return []
+    return [p for x in c for p in positions(x, depth + 1)]
+
+
+def _strict(x: Any) -> float:
+    """A number as it stands: texts are none here."""
+    if isinstance(x, str):
+        raise ValueError("a text is no ordinate")
+    return _number(x)
+
+
+def _rings(c: Any) -> Polygon:
+    out = []
+    for r in c:
+        ring = [(_strict(p[0]), _strict(p[1])) for p in r]
+        if len(ring) > 1 and ring[0] == ring[-1]:
+            ring.pop()
+        if len(ring) < 3:
+            raise ValueError("a ring needs three corners")
+        out.append(ring)
+    return out
+
+
+def parsed(text: str | None) -> tuple[str, str, Any]:
+    """(outcome, type, parts) of a geometry text as it stands, axes not exchanged.
+
+    Outcome is OK, NO_GEOMETRY, UNREADABLE, BAD_TYPE, NO_COORDINATES, EMPTY or BROKEN; parts are polygons
+    with open rings, else the positions.
+    """
+    if text is None or not text.strip():
+        return "NO_GEOMETRY", "", None
+    g = load(text)
+    if g is None:
+        return "UNREADABLE", "", None
+    kind = g.get("type")
+    if kind not in TYPES:
+        return "BAD_TYPE", str(kind or ""), None
+    if kind == "GeometryCollection":
+        inner = [positions(x.get("coordinates")) for x in g.get("geometries") or [] if isinstance(x, dict)]
+        return ("OK" if any(inner) else "EMPTY"), kind, [p for x in inner for p in x]
+    c = g.get("coordinates")
+    if c is None:
+        return "NO_COORDINATES", kind, None
+    if not c:
+        return "EMPTY", kind, None
+    try:
+        if kind == "Polygon":
+            return "OK", kind, [_rings(c)]
+        if kind == "MultiPolygon":
+            return "OK", kind, [_rings(p) for p in c]
+    except (TypeError, IndexError, KeyError, ValueError):
+        return "BROKEN", kind, None
+    found = positions([c] if kind == "Point" else c)
+    return ("OK" if found else "BROKEN"), kind, found

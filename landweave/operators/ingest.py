@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave import config
+from landweave.functions import geojson, planar, projections
+from landweave.functions.columns import step
 from landweave.functions.text import field_name, indel_ratio_col
 
 
@@ -19,6 +25,123 @@ def record_id(get: dict[str, Column], dataset: Column, ordinal: Column) -> Colum
     return F.concat(dataset, F.lit("::"), F.coalesce(given, F.format_string("rec-%06d", ordinal)))
 
 
+CHECKED = (
+    "outcome string, geom_type string, geometry string, minx double, miny double, maxx double, maxy double, max_abs double, max_abs_y double, "
+    "centroid_lon double, centroid_lat double, deg2 double, content_hash string"
+)
+
+
+def _check(geometry: str | None, attributes: str | None, crs: str | None, reproject: bool) -> tuple:
+    """One row of ``CHECKED``."""
+    digest = canonical_hash(geometry, attributes, crs)
+    outcome, kind, parts = geojson.parsed(geometry)
+    if outcome != "OK":
+        return (outcome, kind, *(None,) * 10, digest)
+    area = kind in ("Polygon", "MultiPolygon")
+    corners = [p for poly in parts for r in poly for p in r] if area else parts
+    text = geometry
+    if reproject and not crs_is_degrees(crs):
+        to = projections.inverse(crs)
+        if to is None:
+            return ("UNKNOWN_CRS", kind, *(None,) * 10, digest)
+        if area:
+            parts = [[[to(*p) for p in r] for r in poly] for poly in parts]
+            corners = [p for poly in parts for r in poly for p in r]
+        else:
+            parts = corners = [to(*p) for p in parts]
+        text = topology_text(kind, parts)
+    if area and any(planar.crosses_itself(p) for p in parts):
+        fixed = [q for p in parts for q in (planar.even_odd(p) if planar.crosses_itself(p) else [p])]
+        if fixed:
+            parts, outcome, kind = fixed, "REPAIRED", "MultiPolygon"
+            text = topology_text(kind, parts)
+    xs, ys = [p[0] for p in corners], [p[1] for p in corners]
+    c = planar.centroid(parts) if area else (sum(xs) / len(xs), sum(ys) / len(ys))
+    reach = max(max(map(abs, xs)), max(map(abs, ys)))
+    return outcome, kind, text, min(xs), min(ys), max(xs), max(ys), reach, max(map(abs, ys)), c[0], c[1], planar.plain_area(parts) if area else 0.0, digest
+
+
+def topology_text(kind: str, parts: list) -> str:
+    """GeoJSON of polygons with open rings, or of positions."""
+    if kind in ("Polygon", "MultiPolygon"):
+        polygons = [[[list(q) for q in r + r[:1]] for r in p] for p in parts]
+        return json.dumps({"type": "MultiPolygon", "coordinates": polygons} if len(polygons) > 1 or kind == "MultiPolygon" else {"type": "Polygon", "coordinates": polygons[0]})
+    return json.dumps({"type": kind, "coordinates": list(parts[0]) if kind == "Point" else [list(p) for p in parts]})
+
+
+def crs_is_degrees(crs: str | None) -> bool:
+    return not crs or crs.upper().replace(" ", "") in {n.upper() for n in config.WGS84_NAMES}
+
+
+def canonical_hash(geometry: str | None, attributes: str | None, crs: str | None) -> str:
+    """SHA-256 of the canonical JSON of geometry, attributes and declared system: sorted keys, no blanks. Unreadable texts stay texts."""
+
+    def value(t: str | None) -> object:
+        try:
+            return None if t is None else json.loads(t)
+        except (ValueError, RecursionError):
+            return t
+
+    whole = {"geometry": value(geometry), "attributes": value(attributes), "source_crs": crs}
+    return hashlib.sha256(json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def checked(geometry: Column, attributes: Column, crs: Column, reproject: bool = False) -> Column:
+    """struct of ``CHECKED``: validity, repair, bounds, centre and area of a geometry, and the hash of its row's content.
+
+    An outline that crosses itself is REPAIRED: its area by the even-odd rule, as trapezoids.
+    ``reproject`` turns declared UTM and web Mercator systems into degrees first.
+    """
+
+    def run(g: pd.Series, a: pd.Series, c: pd.Series) -> pd.DataFrame:
+        rows = [_check(x, y, z, reproject) for x, y, z in zip(g, a, c)]
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in CHECKED.split(", ")])
+
+    return F.pandas_udf(run, CHECKED)(geometry, attributes, crs)
+
+
+def reject_reason(c: str = "", strict: bool = True) -> Column:
+    """Why a row of ``checked`` is not taken, or null: projected metres, latitude, geometry, reference system, in this order."""
+    col = lambda n: F.col(f"{c}{n}")
+    gate = crs_gate(col("minx"), col("miny"), col("maxx"), col("maxy"))
+    return F.coalesce(
+        range_reject(col("max_abs"), col("max_abs_y")), F.when(~col("outcome").isin("OK", "REPAIRED"), F.concat(F.lit("GEOMETRY_"), col("outcome"))),
+        F.when(gate.isin("IMPOSSIBLE_EXTENT", "AXIS_ORDER"), F.concat(F.lit("CRS_"), gate)),
+    )
+
+
+def canonical(rows: DataFrame, key: str, attributes: str, at: float = config.DEFAULT.fuzzy_field_at) -> DataFrame:
+    """Adds ``canonical`` (field to value), ``methods`` (property to ALIAS, FUZZY or UNMAPPED) and ``area_sqm`` to rows with unique ``key``.
+
+    A property whose name is an alias sets its field, the last of several; a property that only
+    resembles one sets it where no alias does, the first of several. Null values set nothing. The
+    stated area is read from alias properties only, in the unit that the row states. Unreadable
+    attributes give empty maps.
+    """
+    entries = F.transform(
+        F.map_entries(F.from_json(F.col(attributes), "map<string,string>")),
+        lambda e, i: F.struct(i.alias("i"), e["key"].alias("name"), e["value"].alias("value"), canonical_field(e["key"]).alias("field")),
+    )
+    r = step(rows, _entries=F.coalesce(entries, F.array().cast("array<struct<i:int,name:string,value:string,field:string>>")))
+    loose = r.select(F.col(key).alias("_k"), F.inline(F.filter("_entries", lambda e: e["field"].isNull()))).select("_k", "i", "name", "value")
+    like = fuzzy_fields(loose.select("name").distinct(), "name", at)
+    near = loose.join(like, "name").groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("i", "name", "value", "canonical"))).alias("_near"))
+    r = r.join(near, r[key] == near["_k"], "left").drop("_k")
+    none = F.array().cast("array<struct<i:int,name:string,value:string,canonical:string>>")
+    r = r.withColumn("_near", F.coalesce("_near", none))
+    given = F.filter("_entries", lambda e: e["field"].isNotNull() & e["value"].isNotNull())
+    loosely = F.filter("_near", lambda e: e["value"].isNotNull())
+    r = step(r, _given=given, _loosely=loosely)
+    exact = F.transform(F.array_distinct(F.transform("_given", lambda e: e["field"])), lambda f: F.struct(f.alias("key"), F.element_at(F.filter("_given", lambda e: e["field"] == f), -1)["value"].alias("value")))
+    fuzzy_names = F.array_except(F.array_distinct(F.transform("_loosely", lambda e: e["canonical"])), F.transform("_given", lambda e: e["field"]))
+    fuzzy = F.transform(fuzzy_names, lambda f: F.struct(f.alias("key"), F.element_at(F.filter("_loosely", lambda e: e["canonical"] == f), 1)["value"].alias("value")))
+    method = F.transform("_entries", lambda e: F.struct(e["name"].alias("key"), F.when(e["field"].isNotNull(), "ALIAS").when(F.exists("_near", lambda n: n["name"] == e["name"]), "FUZZY").otherwise("UNMAPPED").alias("value")))
+    one = F.array_distinct(method)
+    r = step(r, canonical=F.map_from_entries(F.concat(exact, fuzzy)), methods=F.map_from_entries(one), _exact=F.map_from_entries(exact))
+    r = r.withColumn("area_sqm", area_sqm(F.element_at("_exact", "area"), F.element_at("_exact", "area_unit")))
+    return r.drop("_entries", "_near", "_given", "_loosely", "_exact")
+
+
 def range_reject(max_abs: Column, max_abs_y: Column) -> Column:
     """Reason to reject a geometry before its reference system is looked at, or null."""
     return F.when(max_abs > 1000, "PROJECTED_METRES").when(max_abs_y > 90, "LATITUDE_OUTSIDE")

@@ -6,14 +6,21 @@ attributes; ``seq`` is the order of arrival, on which pair orientation and ties
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave import config
 from landweave.config import DEFAULT, Config
 from landweave.functions import planar
-from landweave.functions.text import identifier
+from landweave.functions.columns import salted, step
+from landweave.functions.text import identifier, token_set_ratio_col
+from landweave.operators import lineage
+from landweave.session import Stage
 
+#: Rows of one side of a cell that a task takes; a fuller cell is salted.
+CELL_ROWS = 20_000
 BOUNDS = ("minx", "miny", "maxx", "maxy")
 
 
@@ -36,7 +43,8 @@ def candidates(records: DataFrame, cfg: Config = DEFAULT, carry: tuple[str, ...]
         & (wide["x0"] <= F.col("b_maxx")) & (F.col("b_minx") <= wide["x1"]) & (wide["y0"] <= F.col("b_maxy")) & (F.col("b_miny") <= wide["y1"])
     )
     home = (F.col("cx") == cell(F.greatest(wide["x0"], F.col("b_minx")))) & (F.col("cy") == cell(F.greatest(wide["y0"], F.col("b_miny"))))
-    return a.join(b, ["case_id", "cx", "cy"]).where(meet & home).drop("cx", "cy")
+    a, b = salted(a, b, ["case_id", "cx", "cy"], "a_record_id", "b_record_id", CELL_ROWS)
+    return a.join(b, ["case_id", "cx", "cy", "salt_l", "salt_r"]).where(meet & home).drop("cx", "cy", "salt_l", "salt_r")
 
 
 def near_boxes(records: DataFrame, probes: DataFrame, metres: float) -> DataFrame:
@@ -53,30 +61,38 @@ def near_boxes(records: DataFrame, probes: DataFrame, metres: float) -> DataFram
 
 
 def geometry_score(iou: Column, hausdorff_m: Column, area_diff: Column, centroid_m: Column) -> Column:
-    return 0.4 * F.greatest(F.lit(0.0), iou) + 0.3 * F.greatest(F.lit(0.0), 1 - hausdorff_m / 500) + 0.2 * (1 - area_diff) + 0.1 * F.greatest(F.lit(0.0), 1 - centroid_m / 500)
+    return 0.4 * F.greatest(F.lit(0.0), iou) + 0.3 * F.greatest(F.lit(0.0), 1 - hausdorff_m / 500) + 0.2 * F.greatest(F.lit(0.0), 1 - area_diff) + 0.1 * F.greatest(F.lit(0.0), 1 - centroid_m / 500)
+
 
+def identifier_score(pairs: list[tuple[Column, ...]]) -> Column:
+    """1 for an equal trimmed field, 0.9 for equal letters and figures, 0.6 where one holds the other, else 0; pass by pass over all fields.
 
-def identifier_score(pairs: list[tuple[Column, Column]]) -> Column:
-    """1 for an equal trimmed field, 0.9 for equal letters and figures, 0.6 where one holds the other, else 0; pass by pass over all fields."""
+    A pair may bring its letters and figures as third and fourth column.
+    """
     some = lambda c: (c.isNotNull()) & (c != "")
     exact = F.lit(False)
     normal = F.lit(False)
     part = F.lit(False)
-    for a, b in pairs:
-        x, y = identifier(a), identifier(b)
+    for a, b, *plain in pairs:
+        x, y = plain or (identifier(a), identifier(b))
         exact = exact | F.coalesce(some(a) & some(b) & (F.trim(a) == F.trim(b)), F.lit(False))
         normal = normal | F.coalesce(x == y, F.lit(False))
         part = part | F.coalesce(x.contains(y) | y.contains(x), F.lit(False))
     return F.when(exact, 1.0).when(normal, 0.9).when(part, 0.6).otherwise(0.0)
 
 
+def plain_text(c: Column) -> Column:
+    """Trimmed and in lower case; null if nothing is left."""
+    return F.nullif(F.trim(F.lower(c)), F.lit(""))
+
+
 def attribute_score(owner_similarity: Column | None, land_a: Column, land_b: Column, ward_a: Column, ward_b: Column) -> Column:
-    """Mean of what both sides have: owner similarity, land use (1 or 0.2), ward (1 or 0); 0.5 for nothing."""
-    known = lambda a, b: a.isNotNull() & b.isNotNull() & (a != "") & (b != "")
-    land = F.when(known(land_a, land_b), F.when(F.lower(land_a) == F.lower(land_b), 1.0).otherwise(0.2))
-    ward = F.when(known(ward_a, ward_b), F.when(ward_a == ward_b, 1.0).otherwise(0.0))
-    parts = F.array_compact(F.array(*([owner_similarity] if owner_similarity is not None else []), land, ward))
-    return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / F.size(parts)).otherwise(0.5)
+    """Mean of what both sides have: owner similarity, land use (1 or 0.2), ward (1 or 0), the last two as ``plain_text``; 0.5 for nothing."""
+    same = lambda a, b, no: F.when(a == b, 1.0).when(a != b, no)
+    parts = [*([owner_similarity] if owner_similarity is not None else []), same(land_a, land_b, 0.2), same(ward_a, ward_b, 0.0)]
+    total = reduce(lambda x, y: x + y, [F.coalesce(p, F.lit(0.0)) for p in parts])
+    known = reduce(lambda x, y: x + y, [p.isNotNull().cast("int") for p in parts])
+    return F.when(known > 0, total / known).otherwise(0.5)
 
 
 def temporal_score(a: Column, b: Column, cfg: Config = DEFAULT) -> Column:
@@ -88,31 +104,104 @@ def provenance_score(independent: Column, lineages: Column) -> Column:
     return F.when(independent.isNull(), 0.5).when(independent, F.least(F.lit(1.0), 0.7 + 0.1 * lineages)).otherwise(0.3)
 
 
-def scored(records: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Candidate pairs with their measures, five scores, the overall score and decisions."""
-    carry = ("dataset_id", "source_type", "parcel_reference", "land_use", "ward", "capture_date")
-    p = candidates(records, cfg, carry)
+IDENTIFIERS = ("parcel_reference", "ulpin", "survey_number")
+MEASURES = ("iou", "hausdorff_m", "area_diff", "centroid_m")
+
+
+def measured(pairs: DataFrame, a: str = "a_", b: str = "b_") -> DataFrame:
+    """Adds iou, hausdorff_m, area_diff and centroid_m: of the outlines where pairs have them, else of the boxes.
+
+    Each is worked out once, behind a generator, and not again wherever a later step names it.
+    """
+    if f"{a}geometry" in pairs.columns:
+        return pairs.select("*", F.inline(F.array(planar.measures_col(F.col(f"{a}geometry"), F.col(f"{b}geometry")))))
+    return planar.box_measures(pairs, a, b)
+
+
+def _geometry_bound(cfg: Config) -> Column:
+    """What a pair's geometry score can be at most, by its boxes, areas and centres, before the outlines are compared."""
     c = F.col
-    for name, m in planar.box_measures("a_", "b_").items():
-        p = p.withColumn(name, m)
-    p = (
-        p.withColumn("score_geometry", F.round(geometry_score(c("iou"), c("hausdorff_m"), c("area_diff"), c("centroid_m")), 4))
-        .withColumn("score_identifier", identifier_score([(c("a_parcel_reference"), c("b_parcel_reference"))]))
-        .withColumn("score_attribute", F.round(attribute_score(None, c("a_land_use"), c("b_land_use"), c("a_ward"), c("b_ward")), 4))
-        .withColumn("score_temporal", temporal_score(c("a_capture_date"), c("b_capture_date"), cfg))
-        .withColumn("score_provenance", F.lit(0.5))
-    )
-    # In decimals, so that a sum that lies between two steps of the fourth place is rounded alike everywhere.
-    exact = lambda n: F.lit(str(getattr(cfg, f"weight_{n}"))).cast("decimal(6,4)") * c(f"score_{n}").cast("decimal(8,4)")
-    overall = exact("geometry") + exact("identifier") + exact("attribute") + exact("temporal") + exact("provenance")
-    p = p.withColumn("overall", F.round(overall, 4).cast("double"))
-    return p.withColumn("is_match", c("overall") >= cfg.match_at).withColumn("requires_review", (c("overall") >= cfg.match_at) & (c("overall") < cfg.review_below))
+    if_boxes = planar.overlap(c("a_minx"), c("a_maxx"), c("b_minx"), c("b_maxx")) * planar.overlap(c("a_miny"), c("a_maxy"), c("b_miny"), c("b_maxy"))
+    small, large = F.least("a_deg2", "b_deg2"), F.greatest("a_deg2", "b_deg2")
+    iou = F.coalesce(F.least(if_boxes, small) / F.nullif(large, F.lit(0.0)), F.lit(1.0))
+    # The outline that reaches farther has a corner at least as far from the other.
+    apart = F.greatest(*[F.abs(c(f"a_{n}") - c(f"b_{n}")) for n in BOUNDS]) * 100_000  # fewer metres than any degree has here
+    area = F.coalesce(1 - small / F.nullif(large, F.lit(0.0)), F.lit(0.0))
+    return geometry_score(iou, apart, area, F.lit(0.0))
+
+
+def scored(records: DataFrame, cfg: Config = DEFAULT, lineage_pairs: DataFrame | None = None, matches_only: bool = False) -> DataFrame:
+    """Candidate pairs with their measures, five scores, the overall score and decisions.
+
+    Records may have ``geometry`` with ``deg2`` (outlines are compared), ``owner_reference``, further
+    identifiers and ``provenance_node_id``; what is missing counts as unknown. ``lineage_pairs`` is the
+    result of ``lineage.origin_pairs``. With ``matches_only``, pairs that can't reach the threshold
+    whatever their outlines, owners and lineages say are left out before these are looked at.
+    """
+    have = lambda n: n in records.columns
+    ids = [n for n in IDENTIFIERS if have(n)]
+    r = step(records, _land=plain_text(F.col("land_use")), _ward=plain_text(F.col("ward")), **{f"id_{n}": identifier(F.col(n)) for n in ids})
+    carry = ["source_type", "land_use", "capture_date", "_land", "_ward", *ids, *[f"id_{n}" for n in ids], *[n for n in ("owner_reference", "geometry", "deg2") if have(n)]]
+    if lineage_pairs is not None:
+        carry.append("provenance_node_id")
+    p = candidates(r, cfg, tuple(carry))
+    c = F.col
+    owners = have("owner_reference")
+    known_owners = (F.coalesce(F.trim("a_owner_reference"), F.lit("")) != "") & (F.coalesce(F.trim("b_owner_reference"), F.lit("")) != "") if owners else F.lit(False)
+    best = F.when(known_owners, 1.0) if owners else None
+    p = step(
+        p, score_identifier=identifier_score([(c(f"a_{n}"), c(f"b_{n}"), c(f"a_id_{n}"), c(f"b_id_{n}")) for n in ids]) if ids else F.lit(0.0),
+        score_temporal=temporal_score(c("a_capture_date"), c("b_capture_date"), cfg), _attribute=attribute_score(best, c("a__land"), c("b__land"), c("a__ward"), c("b__ward")),
+    )
+    rest = cfg.weight_identifier * c("score_identifier") + cfg.weight_attribute * c("_attribute") + cfg.weight_temporal * c("score_temporal") + cfg.weight_provenance * (1.0 if lineage_pairs is not None else 0.5)
+    if matches_only:
+        bound = _geometry_bound(cfg) if have("deg2") else geometry_score(
+            F.when((c("a_minx") <= c("b_maxx")) & (c("b_minx") <= c("a_maxx")) & (c("a_miny") <= c("b_maxy")) & (c("b_miny") <= c("a_maxy")), 1.0).otherwise(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
+        p = p.where(cfg.weight_geometry * bound + rest >= cfg.match_at - 0.0002)
+    p = measured(p)
+    if owners:
+        p = p.withColumn("owner_similarity", F.when(known_owners, token_set_ratio_col(c("a_owner_reference"), c("b_owner_reference")) / 100))
+        p = step(p, _attribute2=attribute_score(c("owner_similarity"), c("a__land"), c("b__land"), c("a__ward"), c("b__ward"))).drop("_attribute").withColumnRenamed("_attribute2", "_attribute")
+    if lineage_pairs is not None:
+        p = p.withColumnsRenamed({"a_provenance_node_id": "a_node", "b_provenance_node_id": "b_node"})
+        p = lineage.pair_independence(Stage(p.sparkSession).write(p), lineage_pairs)
+        p = p.withColumn("_provenance", provenance_score(c("independent"), c("lineages")))
+    else:
+        p = p.withColumn("lineages", F.lit(0)).withColumn("_provenance", F.lit(0.5))
+    p = step(p, _geometry=F.when(c("iou").isNull(), 0.0).otherwise(geometry_score(c("iou"), c("hausdorff_m"), c("area_diff"), c("centroid_m"))))
+    overall = (
+        c("_geometry") * cfg.weight_geometry + c("score_identifier") * cfg.weight_identifier + c("_attribute") * cfg.weight_attribute + c("score_temporal") * cfg.weight_temporal + c("_provenance") * cfg.weight_provenance
+    )
+    p = step(p, overall=F.round(overall, 4))
+    p = p.withColumn("score_geometry", F.round("_geometry", 4)).withColumn("score_attribute", F.round("_attribute", 4)).withColumn("score_provenance", F.round("_provenance", 4))
+    p = p.drop("_geometry", "_attribute", "_provenance", "a__land", "b__land", "a__ward", "b__ward", *[f"{s}_id_{n}" for s in "ab" for n in ids])
+    p = p.withColumn("is_match", c("overall") >= cfg.match_at).withColumn("requires_review", (c("overall") >= cfg.match_at) & (c("overall") < cfg.review_below))
+    return p.where("is_match") if matches_only else p
+
+
+def verdict(overall: Column, cfg: Config = DEFAULT) -> Column:
+    return F.when(overall >= cfg.high_at, "HIGH_CONFIDENCE").when(overall >= cfg.review_below, "REVIEW_REQUIRED").when(overall >= cfg.match_at, "LOW_CONFIDENCE").otherwise("NO_MATCH")
+
+
+def signals(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(a_record_id, b_record_id, overall, verdict, boost, drag): the signals that lift and lower a pair most against neutral evidence.
+
+    Null where the strongest is within 0.02 of neutral; the first of equals in the order of the weights.
+    """
+    names = ("geometry", "identifier", "attribute", "temporal", "provenance")
+    delta = F.array(*[F.struct(F.round((F.col(f"score_{n}") - 0.5) * getattr(cfg, f"weight_{n}"), 4).alias("delta"), F.lit(-i).alias("first"), F.lit(n).alias("signal")) for i, n in enumerate(names)])
+    low = F.array(*[F.struct(F.round((F.col(f"score_{n}") - 0.5) * getattr(cfg, f"weight_{n}"), 4).alias("delta"), F.lit(i).alias("first"), F.lit(n).alias("signal")) for i, n in enumerate(names)])
+    p = step(pairs.select("a_record_id", "b_record_id", "overall", *[f"score_{n}" for n in names]), _top=F.array_max(delta), _low=F.array_min(low))
+    return p.select(
+        "a_record_id", "b_record_id", "overall", verdict(F.col("overall"), cfg).alias("verdict"),
+        F.when(F.col("_top.delta") > 0.02, F.col("_top.signal")).alias("boost"), F.when(F.col("_low.delta") < -0.02, F.col("_low.signal")).alias("drag"),
+    )
 
 
 def explain(pairs: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row for each signal of a scored pair: raw score, weight, contribution and difference to neutral evidence."""
-    signals = [(n, f"score_{n}", getattr(cfg, f"weight_{n}")) for n in ("geometry", "identifier", "attribute", "temporal", "provenance")]
-    rows = F.array(*[F.struct(F.lit(n).alias("signal"), F.col(s).cast("double").alias("raw"), F.lit(str(w)).cast("decimal(6,4)").alias("weight")) for n, s, w in signals])
+    parts = [(n, f"score_{n}", getattr(cfg, f"weight_{n}")) for n in ("geometry", "identifier", "attribute", "temporal", "provenance")]
+    rows = F.array(*[F.struct(F.lit(n).alias("signal"), F.col(s).cast("double").alias("raw"), F.lit(str(w)).cast("decimal(6,4)").alias("weight")) for n, s, w in parts])
     out = pairs.select("a_record_id", "b_record_id", F.inline(rows))
     raw = F.col("raw").cast("decimal(8,4)")
     contribution, delta = raw * F.col("weight"), (raw - F.lit("0.5").cast("decimal(8,4)")) * F.col("weight")

@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landweave.functions.columns import step
 
-def profile(rows: DataFrame, dataset: str, record: str, geometry: str, captured: str) -> DataFrame:
-    """One row a dataset: counts of readable geometry, missing times and repeated ids, score and level.
 
-    The score is half the share of readable geometry and a quarter each the shares of given times and
-    of first deliveries, in per cent; HIGH from 90, MEDIUM from 70.
+def profile(rows: DataFrame, dataset: str, record: str, outcome: str, captured: str) -> DataFrame:
+    """One row a dataset: counts of geometries, missing times and repeated ids, score and level.
+
+    ``outcome`` is that of ``ingest.checked``: OK and REPAIRED count as valid, EMPTY on its own, the
+    rest, missing ones too, as unfixable. ``duplicate_ids`` are ids that several rows have. The score
+    is half the share of valid geometry and a quarter each the shares of given times and of rows
+    less repeated ids, in per cent; HIGH from 90, MEDIUM from 70. A null dataset is one of its own.
     """
-    ok = F.try_parse_json(F.col(geometry)).isNotNull()
+    ids = rows.where(F.col(record).isNotNull() & (F.col(record) != "")).groupBy(dataset, record).agg(F.count("*").alias("_n")).where("_n > 1")
+    ids = ids.groupBy(F.col(dataset).alias("_d")).agg(F.count("*").alias("duplicate_ids"))
     g = rows.groupBy(dataset).agg(
-        F.count("*").alias("total"), F.count_if(F.col(geometry).isNull()).alias("no_geometry"), F.count_if(ok).alias("valid_geometry"),
-        F.count_if(F.col(captured).isNull() | (F.trim(F.col(captured)) == "")).alias("no_time"), F.count_distinct(record).alias("ids"),
+        F.count("*").alias("total"), F.count_if(F.col(outcome).isin("OK", "REPAIRED")).alias("valid_geometry"), F.count_if(F.col(outcome) == "EMPTY").alias("empty"),
+        F.count_if(F.col(captured).isNull() | (F.col(captured) == "")).alias("no_time"),
     )
-    score = (50 * F.col("valid_geometry") + 25 * (F.col("total") - F.col("no_time")) + 25 * F.col("ids")) / F.col("total")
-    level = F.when(score >= 90, "HIGH").when(score >= 70, "MEDIUM").otherwise("LOW")
-    return g.select(dataset, "total", "no_geometry", "valid_geometry", "no_time", F.round(score, 2).alias("score"), (F.col("total") - F.col("ids")).alias("repeated"), level.alias("level"))
+    g = g.join(ids, F.col(dataset).eqNullSafe(F.col("_d")), "left").drop("_d").na.fill(0, ["duplicate_ids"])
+    pct = lambda c: 100 * c / F.col("total")
+    g = step(g, _score=0.5 * pct(F.col("valid_geometry")) + 0.25 * pct(F.col("total") - F.col("no_time")) + 0.25 * pct(F.col("total") - F.col("duplicate_ids")))
+    level = F.when(F.col("_score") >= 90, "HIGH").when(F.col("_score") >= 70, "MEDIUM").otherwise("LOW")
+    return g.select(
+        dataset, "total", "valid_geometry", "empty", (F.col("total") - F.col("valid_geometry") - F.col("empty")).alias("unfixable"), "no_time", "duplicate_ids", F.round("_score", 1).alias("score"), level.alias("level")
+    )
 
 
 def outliers(rows: DataFrame, group: str, value: str) -> DataFrame:

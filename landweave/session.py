@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Prefix of a private folder below the shared one; removed when the driver ends.
 _RUN = f"landweave-{uuid.uuid4().hex}"
 _made: set[str] = set()
+_kept: dict[tuple, DataFrame] = {}
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -62,7 +64,6 @@ class Stage:
         if self.root not in _made:
             _made.add(self.root)
             atexit.register(self._clean, spark, self.root)
-        self.paths: dict[int, str] = {}
 
     @staticmethod
     def _clean(spark: SparkSession, root: str) -> None:
@@ -70,16 +71,26 @@ class Stage:
             _delete(spark, root)
         except Exception:  # the JVM may be gone already
             pass
+        for k in [k for k in _kept if k[0] == root]:
+            del _kept[k]
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write the rows of ``df`` and return the written table."""
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._landweave_path = path
         return out
 
+    def once(self, key: str, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """The table ``key`` made from the data at ``path``, written at the first call and read again while that data is the same."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop)
+        k = (self.root, key, path, at.getModificationTime(), at.getLen())
+        if k not in _kept:
+            _kept[k] = self.write(make())
+        return _kept[k]
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Remove written tables; anything not written here is left alone."""
         for t in tables:

@@ -80,7 +80,7 @@ def test_box_measures_match_the_kernels(spark):
         a, b = ([74 + rng.random() * 0.0005, 11 + rng.random() * 0.0005] for _ in range(2))
         rows.append((*a, a[0] + 0.0004, a[1] + 0.0003, *b, b[0] + 0.0003, b[1] + 0.0005))
     df = spark.createDataFrame(rows, ", ".join(f"{p}{n} double" for p in "ab" for n in ("minx", "miny", "maxx", "maxy")))
-    for r in df.select("*", *[c.alias(n) for n, c in planar.box_measures("a", "b").items()]).collect():
+    for r in planar.box_measures(df, "a", "b").collect():
         g = lambda p: json.dumps({"type": "Polygon", "coordinates": [[[r[p + x], r[p + y]] for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))]]})  # noqa: B023, E731
         assert [r.iou, r.hausdorff_m, r.area_diff, r.centroid_m] == pytest.approx(planar.measures(g("a"), g("b")), rel=1e-6, abs=1e-9)
 
@@ -204,12 +204,36 @@ def test_topology_corrections():
     box = lambda x, y, w, h: json.dumps({"type": "Polygon", "coordinates": [[[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]]})
     a, b = box(74, 11, 0.0004, 0.0004), box(74.0003, 11.0001, 0.0004, 0.0002)
     area = lambda g: planar.plain_area(geojson.shape(g)[1])
-    got, sqm, outcome = topology.split_overlap(a, b)
-    assert outcome == "SPLIT" and area(got) == pytest.approx(0.0003 * 0.0002, rel=1e-6) and sqm == pytest.approx(0.0001 * 0.0002 * 111_000**2, rel=0.05)
-    assert topology.split_overlap(a, a)[2] == "VANISHES" and topology.split_overlap(a, box(75, 11, 1e-4, 1e-4))[2] == "NO_OVERLAP" and topology.split_overlap(a, None)[2] == "NO_AREA"
-    assert topology.align(a, box(74.00001, 11, 0.0004, 0.0004))[2] == "SNAPPED" and topology.align(a, a)[2] == "ALIGNED" and topology.align(a, b)[2] == "OFFSET_TOO_LARGE"
-    assert topology.fill_gap(a, box(74.0005, 11, 0.0004, 0.0004))[2] == "FILLED" and topology.fill_gap(a, b)[2] == "NO_GAP" and topology.fill_gap(a, box(74.01, 11, 1e-4, 1e-4))[2] == "GAP_LARGE"
-    line = json.dumps({"type": "LineString", "coordinates": [[73.9999, 11.0], [74.0005, 11.0]]})
-    assert topology.collinear_m(line, a) == pytest.approx(0.0004 * planar.RIPPLE_M_PER_DEG, rel=1e-6)
-    across = json.dumps({"type": "LineString", "coordinates": [[73.9999, 11.0002], [74.0005, 11.0002]]})
-    assert topology.crossing_m(across, a) == pytest.approx(0.0004 * planar.RIPPLE_M_PER_DEG, rel=1e-6) and topology.collinear_m(across, a) == 0 and topology.crossing_m(None, a) is None
+    got = topology.correct("OVERLAP", a, b, True)
+    assert got[0] == "OVERLAP_SPLIT" and area(got[3]) == pytest.approx(area(b) - 0.0001 * 0.0002, rel=1e-6) and area(got[2]) == pytest.approx(area(a))
+    kept = topology.correct("OVERLAP", a, b, False)
+    assert area(kept[2]) == pytest.approx(area(a) - 0.0001 * 0.0002, rel=1e-6) and area(kept[3]) == pytest.approx(area(b))
+    assert topology.correct("OVERLAP", a, a, True)[0] == topology.correct("OVERLAP", a, box(75, 11, 1e-4, 1e-4), True)[0] == "NONE"
+    assert topology.correct("OVERLAP", a, None, True)[0] == topology.correct("GAP", "{", a, True)[0] == "NO_AREA" and topology.correct("AREA_MISMATCH", a, b, True)[0] == "NONE"
+    lat_m = 111132.92 - 559.82 * math.cos(math.radians(2 * 11.0002))
+    near = topology.correct("BOUNDARY_OFFSET", a, box(74.00001, 11, 0.0004, 0.0004), True)
+    assert near[0] == "BOUNDARY_ALIGN" and near[1] == pytest.approx(0.00001 * lat_m, rel=1e-5) and area(near[3]) == pytest.approx(area(a), rel=1e-6)
+    assert topology.correct("BOUNDARY_OFFSET", a, a, True)[0] == "NONE" and topology.correct("BOUNDARY_OFFSET", a, b, True)[0] == "OFFSET_TOO_LARGE"
+    # 1 m apart over a side of 44 m: 50 square metres are not exceeded; 2 m apart they are.
+    thin = topology.correct("GAP", a, box(74.00041, 11, 0.0004, 0.0004), True)
+    assert thin[0] == "GAP_FILL" and thin[1] == pytest.approx(0.00001 * 0.0004 * lat_m * 111412.84 * math.cos(math.radians(11.0002)), rel=1e-5)
+    assert area(thin[2]) == pytest.approx(area(a) + 0.000005 * 0.0004, rel=1e-4) == pytest.approx(area(thin[3]), rel=1e-4)
+    assert topology.correct("GAP", a, box(74.00042, 11, 0.0004, 0.0004), True)[0] == "GAP_LARGE" and topology.correct("GAP", a, b, True)[0] == "NONE"
+    line, across = [(74, 11), (74.001, 11)], [(73.999, 11.0002), (74.001, 11.0002)]
+    ring = geojson.shape(a)[1]
+    assert topology.collinear_m(line, ring) == pytest.approx(0.0004 * planar.RIPPLE_M_PER_DEG, rel=1e-6)
+    assert topology.crossing_m(across, ring) == pytest.approx(0.0004 * planar.RIPPLE_M_PER_DEG, rel=1e-6) and topology.collinear_m(across, ring) == 0
+
+
+def test_lines_meet_areas_in_every_cell_they_cross(spark):
+    from landweave.operators import topology
+
+    box = lambda x, y, w, h: json.dumps({"type": "Polygon", "coordinates": [[[x, y], [x + w, y], [x + w, y + h], [x, y + h], [x, y]]]})
+    lines = [(1, "c", json.dumps({"type": "LineString", "coordinates": [[74.0, 11.0], [74.03, 11.02]]})), (2, "c", json.dumps({"type": "MultiLineString", "coordinates": [[[11.0, 74.0], [11.02, 74.03]], [[11.5, 75], [11.6, 75]]]})),
+             (3, "d", json.dumps({"type": "LineString", "coordinates": [[74.0, 11.0], [74.03, 11.02]]})), (4, "c", None), (5, "c", "{"), (6, "c", json.dumps({"type": "LineString", "coordinates": [[1, 2], None]})), (7, None, "")]
+    areas = [("far", "c", box(74.02, 11.012, 0.004, 0.004)), ("wide", "c", box(74.001, 10.99, 0.02, 0.02)), ("off", "c", box(74.0, 11.015, 0.001, 0.001)), ("none", "c", None)]
+    got = {(r.key, r.area_key): r for r in topology.lines_on_areas(spark.createDataFrame(lines, "key bigint, case_id string, line string"), spark.createDataFrame(areas, "area_key string, case_id string, area string")).collect()}
+    inside = {k for k, r in got.items() if r.inside_m > 0.5}
+    assert inside == {(1, "far"), (1, "wide"), (2, "far"), (2, "wide")}
+    # The line leaves the first area through its upper right half: from x = 74.02 to 74.024, y = 2/3 of x.
+    assert got[1, "far"].inside_m == pytest.approx(math.hypot(0.004, 0.004 * 2 / 3) * planar.RIPPLE_M_PER_DEG, rel=1e-3) == pytest.approx(got[2, "far"].inside_m, rel=1e-6)
