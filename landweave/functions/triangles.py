@@ -45,6 +45,8 @@ def triangulate(polygon: Polygon) -> list[Triangle]:
     exact membership test the polygon again.
     """
     outer = polygon[0] if area2(polygon[0]) > 0 else polygon[0][::-1]
+    if len(polygon) == 1 and len(outer) <= 4 and all(_cross(a, b, c) > 0 for a, b, c in zip(outer, outer[1:] + outer[:1], outer[2:] + outer[:2])):
+        return [(outer[0], outer[i], outer[i + 1]) for i in range(1, len(outer) - 1)]  # every corner is an ear
     for hole in sorted(polygon[1:], key=lambda r: -max(p[0] for p in r)):
         outer = _bridge(outer, hole if area2(hole) < 0 else hole[::-1])
     ring = list(outer)
@@ -84,6 +86,23 @@ def inside(polygons: list[Polygon], x: float, y: float) -> bool:
     return False
 
 
+def inside_many(edges: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    """``inside`` of many points at once; ``edges`` has rows (part, x1, y1, x2, y2) of all that meet the points' range of y.
+
+    The even-odd test is made for each part, a polygon of its own; a point on an edge is inside.
+    """
+    part, (x1, y1, x2, y2) = edges[:, 0], edges[:, 1:].T
+    x, y = xy[:, :1], xy[:, 1:]
+    dx, dy = x2 - x1, y2 - y1
+    on = (np.minimum(x1, x2) <= x) & (x <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= y) & (y <= np.maximum(y1, y2)) & (dx * (y - y1) == dy * (x - x1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        right = ((y1 > y) != (y2 > y)) & (x < dx * (y - y1) / dy + x1)
+    got = on.any(axis=1)
+    for p in np.unique(part):
+        got |= right[:, part == p].sum(axis=1) % 2 == 1
+    return got
+
+
 class Hierarchy:
     """Bounding boxes of triangles in a binary tree, split at the median of the longer axis."""
 

@@ -189,9 +189,10 @@ def roots(rows: DataFrame, node: str = "node_id", parents: str = "parent_ids", n
 def paths(rows: DataFrame, found: DataFrame, node: str = "node_id", parents: str = "parent_ids") -> DataFrame:
     """(node_id, root_id, depth, path) with the path from root to node, the least of the shortest by bytes.
 
-    ``found`` is the result of ``roots``. Each round extends all paths of one depth by one level, so
-    the rounds are as many as the deepest shortest path; each path is built once. Nodes without a
-    sound ancestry have an empty path.
+    ``found`` is the result of ``roots``. Every node starts with itself and a pointer to its parent on
+    the way to each root; a round puts the parent's piece before its own and takes over the parent's
+    pointer, so pieces double and the rounds are logarithmic in the depth. Nodes without a sound
+    ancestry have an empty path. A node with several rows or repeated parents has each path once.
     """
     stage = Stage(rows.sparkSession)
     _, edges = edges_of(rows, node, parents, None)
@@ -200,31 +201,24 @@ def paths(rows: DataFrame, found: DataFrame, node: str = "node_id", parents: str
     up = found.select(F.col("node_id").alias("parent"), "root_id", (F.col("depth") + 1).alias("depth"))
     via = (
         found.where(F.col("depth") > 0).join(edges.withColumnRenamed("node", "node_id"), "node_id").join(up, ["parent", "root_id", "depth"])
-        .groupBy("node_id", "root_id", "depth").agg(F.min("parent").alias("parent"))
+        .groupBy("node_id", "root_id", "depth").agg(F.min("parent").alias("up"))
     )
-    via = stage.write(via)
-    level = stage.write(found.where(F.col("depth") == 0).select("node_id", "root_id", "depth", F.array("node_id").alias("path")))
-    out = level
-    depth = 0
-    while not level.isEmpty():
-        depth += 1
-        above = level.select(F.col("node_id").alias("parent"), "root_id", F.col("path").alias("above"))
-        level = stage.write(
-            via.where(F.col("depth") == depth).join(above, ["parent", "root_id"]).select("node_id", "root_id", "depth", F.concat("above", F.array("node_id")).alias("path"))
-        )
-        out = out.union(level)
+    piece = stage.write(via.select("node_id", "root_id", "depth", "up", F.array("node_id").alias("piece")))
+    while True:
+        open_ = piece.where(F.col("up") != F.col("root_id"))
+        if open_.isEmpty():
+            break
+        over = piece.select(F.col("node_id").alias("up"), "root_id", F.col("up").alias("up2"), F.col("piece").alias("before"))
+        longer = open_.join(over, ["up", "root_id"]).select("node_id", "root_id", "depth", F.col("up2").alias("up"), F.concat("before", "piece").alias("piece"))
+        nxt = stage.write(piece.where(F.col("up") == F.col("root_id")).unionByName(longer))
+        stage.drop(piece)
+        piece = nxt
+    out = found.where(F.col("depth") == 0).select("node_id", "root_id", "depth", F.array("node_id").alias("path"))
+    out = out.union(piece.select("node_id", "root_id", "depth", F.concat(F.array("root_id"), "piece")))
     return out.union(found.where(F.col("depth") < 0).select("node_id", "root_id", "depth", F.array().cast("array<string>")))
 
 
-def descendants(path_rows: DataFrame) -> DataFrame:
-    """(node_id, descendant_id, steps): every node with each node below it on the shortest paths of ``paths``."""
-    each = path_rows.select("node_id", "depth", F.posexplode("path").alias("pos", "above")).where(F.col("above") != F.col("node_id"))
-    return each.groupBy(F.col("above").alias("ancestor"), "node_id").agg(F.min(F.col("depth") - F.col("pos")).alias("steps")).select(
-        F.col("ancestor").alias("node_id"), F.col("node_id").alias("descendant_id"), "steps"
-    )
-
-
-def closure(rows: DataFrame, found: DataFrame, node: str = "node_id", parents: str = "parent_ids") -> DataFrame:
+def descendants(rows: DataFrame, found: DataFrame, node: str = "node_id", parents: str = "parent_ids") -> DataFrame:
     """(node_id, descendant_id, steps): every sound node with each node below it through any parents, steps the fewest.
 
     ``found`` is the result of ``roots``. A round composes the pairs of exactly ``span`` steps with

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landweave.functions.columns import step
+from landweave.session import Stage
 
 
 def profile(rows: DataFrame, dataset: str, record: str, outcome: str, captured: str) -> DataFrame:
@@ -34,15 +35,23 @@ def profile(rows: DataFrame, dataset: str, record: str, outcome: str, captured:
 def outliers(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, low, high, outliers) by three times the distance of the quarter values, taken by index; groups of four and more.
 
-    The quarter values come from counts of distinct values, not from a list of a group's rows.
+    The quarter values come from counts of distinct values laid out by range: a value's rank is its
+    rank within its part and what the parts of its group before it hold, so a group of any size is
+    ranked in many tasks.
     """
     from pyspark.sql.window import Window
 
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(group)
-    c = counts.withColumn("upto", F.sum("c").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w)).where("n >= 4")
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    # Written, so that a value keeps its part.
+    laid = Stage(rows.sparkSession).write(counts.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "v").withColumn("part", F.spark_partition_id()))
+    parts = laid.groupBy("g", "part").agg(F.sum("c").alias("in_part"))
+    w = Window.partitionBy("g")
+    parts = parts.withColumn("before", F.coalesce(F.sum("in_part").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("in_part").over(w)).where("n >= 4")
+    local = laid.withColumn("upto", F.sum("c").over(Window.partitionBy("g", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    c = local.join(parts.select(F.col("g").alias("g2"), F.col("part").alias("part2"), "before", "n"), F.col("g").eqNullSafe(F.col("g2")) & (F.col("part") == F.col("part2"))).withColumn("upto", F.col("upto") + F.col("before"))
     at = lambda i: F.min(F.when(F.col("upto") > i, F.col("v")))
-    q = c.groupBy(group).agg(F.first("n").alias("n"), at(F.floor(F.col("n") / 4)).alias("q1"), at(F.floor(3 * F.col("n") / 4)).alias("q3"))
+    q = c.groupBy("g").agg(F.first("n").alias("n"), at(F.floor(F.col("n") / 4)).alias("q1"), at(F.floor(3 * F.col("n") / 4)).alias("q3"))
     q = q.withColumn("low", F.col("q1") - 3 * (F.col("q3") - F.col("q1"))).withColumn("high", F.col("q3") + 3 * (F.col("q3") - F.col("q1")))
-    out = counts.join(q, group).where((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))).groupBy(group).agg(F.sum("c").alias("outliers"))
-    return q.join(out, group, "left").select(group, "n", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), F.coalesce("outliers", F.lit(0)).alias("outliers"))
+    bounds = q.select(F.col("g").alias("g2"), "low", "high")
+    out = laid.join(bounds, F.col("g").eqNullSafe(F.col("g2"))).where((F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))).groupBy("g").agg(F.sum("c").alias("outliers")).withColumnRenamed("g", "g2")
+    return q.join(out, F.col("g").eqNullSafe(F.col("g2")), "left").select(F.col("g").alias(group), "n", F.round("low", 3).alias("low"), F.round("high", 3).alias("high"), F.coalesce("outliers", F.lit(0)).alias("outliers"))

@@ -11,6 +11,8 @@ list of names. Only fields that changed take part in that join.
 from __future__ import annotations
 
 import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -159,28 +161,52 @@ def _identities(feed: pd.DataFrame) -> pd.DataFrame:
     return feed[["feed_id", "delivery_no", "field", "kind"]].assign(unified=[name[n, f] for n, f in feed[["delivery_no", "field"]].itertuples(index=False)])
 
 
+#: Typed columns of ``consistent``: the map's name, the JSON type whose fields it holds, and the SQL type of its values.
+TYPED = (("numbers", "number", "double"), ("booleans", "boolean", "boolean"), ("arrays", "array", "array<string>"), ("objects", "object", "map<string,string>"))
+
+
+def _typed(text: Column, form: Column, target: Column) -> dict[str, Column]:
+    """The value of a field under each type, null where the field is of another or the value can't be read so."""
+    low = F.lower(F.trim(form))
+    truth = F.when(low.isin("true", "t", "yes", "y", "1", "1.0"), True).when(low.isin("false", "f", "no", "n", "0", "0.0"), False)
+    of = {"number": form.try_cast("double"), "boolean": truth, "array": F.from_json(text, "array<string>"), "object": F.when(F.trim(text).startswith("{"), F.from_json(text, "map<string,string>"))}
+    return {kind: F.when(target == kind, v) for kind, v in of.items()}
+
+
 def consistent(rows: DataFrame, json: str = "attributes_raw") -> DataFrame:
-    """(feed_id, delivery_no, ingest_seq, record_id, attributes, numbers, failed) of every readable row.
+    """(feed_id, delivery_no, ingest_seq, record_id, attributes, numbers, booleans, arrays, objects, days, failed) of every readable row.
 
-    ``attributes`` maps a field's first name in its feed to its plain text, ``numbers`` to its value
-    where the field is a number in most deliveries, and ``failed`` lists the fields whose value
-    isn't null and can't be cast to that.
+    ``attributes`` maps a field's first name in its feed to its plain text. The field's type is that of
+    most of its deliveries; ``numbers``, ``booleans``, ``arrays`` and ``objects`` hold the values cast to
+    it, ``days`` those of text fields that are ISO dates. ``failed`` lists the fields whose value isn't
+    null or a filler and can't be cast. A readable row without any value has empty maps. Yes, no, 1
+    and 0 count as booleans.
     """
+    stage = Stage(rows.sparkSession)
     stats = _statistics(rows, json)
     ren = changes(rows, json).where(F.col("change_kind") == "renamed").select("feed_id", "delivery_no", F.col("field_after").alias("field"), F.col("field_before").alias("renamed_from"))
     meta = stats.join(ren, ["feed_id", "delivery_no", "field"], "left")
     # One group holds the field names of one feed's deliveries, not its rows.
     ids = meta.groupBy("feed_id").applyInPandas(_identities, "feed_id string, delivery_no int, field string, kind string, unified string")
     most = ids.groupBy("feed_id", "unified", "kind").agg(F.count("*").alias("n")).groupBy("feed_id", "unified").agg(F.max_by("kind", F.struct("n", "kind")).alias("target"))
-    ids = ids.select("feed_id", "delivery_no", "field", "unified").join(most, ["feed_id", "unified"])
-    each = fields(rows, json, "feed_id", "delivery_no", "ingest_seq", "record_id").join(ids, ["feed_id", "delivery_no", "field"])
-    each = content(step(each, text=plain(F.col("value"), F.col("kind"))), F.col("text"), "form").where(F.col("form").isNotNull())
-    each = each.withColumn("number", F.when(F.col("target") == "number", F.col("form").try_cast("double")))
-    bad = (F.col("target") == "number") & F.col("number").isNull()
-    # Two fields of a row never share a first name unless the sender repeats one; the least text is kept then.
-    cell = each.groupBy("feed_id", "delivery_no", "ingest_seq", "record_id", "unified").agg(F.min("text").alias("text"), F.min("number").alias("number"), F.max(bad).alias("bad"))
-    return cell.groupBy("feed_id", "delivery_no", "ingest_seq", "record_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("unified", "text")))).alias("attributes"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("unified", "number"))))).alias("numbers"),
-        F.sort_array(F.collect_list(F.when(F.col("bad"), F.col("unified")))).alias("failed"),
-    )
+    ids = stage.write(ids.select("feed_id", "delivery_no", "field", "unified").join(most, ["feed_id", "unified"]))
+    key = ["feed_id", "delivery_no", "ingest_seq", "record_id"]
+    each = fields(rows, json, *key).join(ids, ["feed_id", "delivery_no", "field"])
+    raw = F.when(F.col("kind").isin("array", "object"), F.try_variant_get("value", "$", "string"))
+    each = content(step(each, text=plain(F.col("value"), F.col("kind")), _raw=raw), F.col("text"), "form").where(F.col("form").isNotNull())
+    each = step(each, **_typed(F.coalesce("_raw", "text"), F.col("form"), F.col("target")), day=F.when((F.col("target") == "string") & F.col("text").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("text").try_cast("date")))
+    bad = reduce(lambda x, y: x | y, [(F.col("target") == kind) & F.col(kind).isNull() for _, kind, _ in TYPED])
+    # Two fields of a row never share a first name unless the sender repeats one; that of the least text is kept then.
+    cell = each.groupBy(*key, "unified").agg(F.min(F.struct("text", "number", "boolean", "array", F.to_json("object").alias("object"), "day", bad.alias("bad"))).alias("c")).select(*key, "unified", "c.*")
+    entry = lambda c, v: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("unified", v.alias(c))))))
+    cells = cell.groupBy(*key).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("unified", "text")))).alias("attributes"), entry("number", F.col("number")).alias("numbers"), entry("boolean", F.col("boolean")).alias("booleans"),
+        entry("array", F.col("array")).alias("arrays"), entry("object", F.col("object")).alias("objects"), entry("day", F.col("day")).alias("days"), F.sort_array(F.collect_list(F.when(F.col("bad"), F.col("unified")))).alias("failed"),
+    )
+    v = F.try_parse_json(F.col(json))
+    readable = rows.where(F.schema_of_variant(v).startswith("OBJECT")).select(*key)
+    none = {"attributes": "map<string,string>", "numbers": "map<string,double>", "booleans": "map<string,boolean>", "arrays": "map<string,array<string>>", "objects": "map<string,string>", "days": "map<string,date>"}
+    # Every readable row once for each time it was delivered; a key with nulls is compared as such.
+    k = F.xxhash64(*key)
+    out = readable.withColumn("_k", k).join(cells.withColumn("_k", k).withColumnsRenamed({c: f"_{c}" for c in key}), "_k", "left")
+    return out.select(*key, *[F.coalesce(F.col(n), F.create_map().cast(t)).alias(n) for n, t in none.items()], F.coalesce("failed", F.array().cast("array<string>")).alias("failed"))

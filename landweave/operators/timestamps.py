@@ -28,6 +28,11 @@ GPS_AHEAD_S = 18
 _US = 1_000_000
 _SEP = "\u0001"
 
+#: Minutes east of UTC of zone letters that several zones use, by the office's zone; the common reading is in ``ZONE_LETTERS``.
+OFFICE_LETTERS = {
+    "Asia/Dhaka|BST": 360, "Europe/London|BST": 60, "Asia/Jerusalem|IST": 120, "Europe/Dublin|IST": 60, "Asia/Kolkata|IST": 330, "America/New_York|EST": -300, "Australia/Sydney|EST": 600, "Australia/Sydney|AEST": 600,
+    "America/Chicago|CST": -360, "Asia/Shanghai|CST": 480, "America/Havana|CST": -300, "Asia/Dubai|GST": 240, "Asia/Karachi|PKT": 300, "Asia/Manila|PST": 480, "America/Los_Angeles|PST": -480, "Asia/Riyadh|AST": 180, "America/Halifax|AST": -240,
+}
 #: Zone letters and their minutes east of UTC.
 ZONE_LETTERS = {
     "Z": 0, "UTC": 0, "GMT": 0, "IST": 330, "NPT": 345, "GST": 240, "CET": 60, "CEST": 120,
@@ -166,7 +171,20 @@ def instants(df: DataFrame, value: str) -> DataFrame:
     of ``df`` pass through; its names must not begin with an underscore.
     """
     parsed = readings(df, value)
-    joined = parsed.join(mixtures(parsed).select("source", F.col("weights").alias("_weights")), "source", "left")
+    return resolve(parsed, mixtures(parsed))
+
+
+def resolve(parsed: DataFrame, learned: DataFrame | None) -> DataFrame:
+    """The last step of ``instants`` on the result of ``readings``, with the weights of ``mixtures``.
+
+    Without them, as in a stream that can't be read twice, a declared order decides and what would
+    have to be learned stays ambiguous.
+    """
+    if learned is None:
+        declared = F.array(*[F.when(F.col("date_order") == o, 1.0).otherwise(0.0) for o in ORDERS])
+        joined = parsed.withColumn("_weights", F.when(F.col("date_order").isin(*ORDERS), declared))
+    else:
+        joined = parsed.join(learned.select("source", F.col("weights").alias("_weights")), "source", "left")
     w = F.coalesce(F.col("_weights"), F.array(*[F.lit(1 / 3)] * 3))
     like = F.expr("transform(_days, (x, i) -> CASE WHEN x IS NULL THEN 0D ELSE coalesce(_w[i], 0D) END)")
     numeric = F.col("_p")[0] == "N"
@@ -192,8 +210,9 @@ def instants(df: DataFrame, value: str) -> DataFrame:
     local, zone = F.col("_local"), F.col("_zone")
     offset = F.when(zone.rlike("^[+-]"), F.when(zone.startswith("-"), -1).otherwise(1) * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.expr("try_cast(right(_zone, 2) AS int)")))
     letters = F.create_map(*[F.lit(x) for kv in ZONE_LETTERS.items() for x in kv])
+    own = F.create_map(*[F.lit(x) for kv in OFFICE_LETTERS.items() for x in kv])
     # A bare day takes no zone letters; letters that no zone has make the text unreadable.
-    offset = F.when(zone == "", F.lit(None).cast("int")).otherwise(F.coalesce(offset, F.element_at(letters, zone)))
+    offset = F.when(zone == "", F.lit(None).cast("int")).otherwise(F.coalesce(offset, F.element_at(own, F.concat_ws("|", "time_zone", zone)), F.element_at(letters, zone)))
     place = F.coalesce(F.when(p(10) != "", p(10)), F.col("time_zone"), F.lit("UTC"))
     at_place = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), place))
     instant = F.when(F.col("_fixed").isNotNull(), F.col("_fixed")).when(zone == "", at_place).when(offset.isNotNull(), local - offset.cast("long") * 60 * _US)

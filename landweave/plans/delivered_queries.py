@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landweave.operators import ingest, lineage, pipeline, reconcile, ripple, timestamps, topology
 from landweave.session import Stage
+from landweave.sources import sinks
 from landweave.tables import table
 
 
@@ -125,8 +126,31 @@ def delivered_changes(spark: SparkSession, folder: str) -> DataFrame:
     return reconcile.change_events(_reconciled(spark, folder)["members"])
 
 
+def delivered_packages(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence packages of the parcels with several records, all eight members and the manifest."""
+    r, proposed = _reconciled(spark, folder), _proposed(spark, folder)
+    several = proposed.where("records > 1").withColumn("failed", F.array_join("failed", "; "))
+    text = lambda *cols: F.to_json(F.struct(*cols))
+    lines = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    # One parcel's records and conflicts, as few as the sources that describe it.
+    m = r["members"].join(several.select("parcel_id"), "parcel_id", "left_semi").groupBy("parcel_id").agg(
+        lines(text("record_id", "source_type", "dataset_id", "content_hash", "canonical")).alias("sources"),
+        lines(F.to_json(F.struct(F.lit("Feature").alias("type"), F.try_parse_json("geometry").alias("geometry"), F.struct("record_id", "source_type").alias("properties")))).alias("features"),
+    )
+    c = _found(r).groupBy("parcel_id").agg(lines(text("conflict_type", "severity", "a_record_id", "b_record_id", "measure")).alias("conflicts_text"))
+    p = several.join(m, "parcel_id").join(c, "parcel_id", "left")
+    collection = lambda x: F.concat(F.lit('{"type":"FeatureCollection","features":['), x, F.lit("]}"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.try_parse_json("proposed_geometry").alias("geometry"), F.struct("parcel_id", "status").alias("properties")))
+    members = F.create_map(
+        F.lit("source_manifest.json"), F.concat(F.lit('{"sources":['), F.col("sources"), F.lit("]}")), F.lit("normalized_features.geojson"), collection(F.col("features")), F.lit("proposal.geojson"), collection(F.concat_ws(",", feature, "features")),
+        F.lit("conflicts.json"), F.concat(F.lit('{"conflicts":['), F.coalesce("conflicts_text", F.lit("")), F.lit("]}")), F.lit("confidence.json"), text("confidence", "lineages", "records", "max_offset_m", "moved_m"),
+        F.lit("validation.json"), text("critical", "unresolved", "failed"), F.lit("decision.json"), text("status"),
+    )
+    return sinks.packages(p.select("parcel_id", members.alias("members"))).drop("content")
+
+
 QUERIES = {f.__name__: f for f in (
     delivered_rejects, schema_normalize, delivered_matches, delivered_parcels, delivered_conflicts, delivered_conflict_summary, delivered_proposals, delivered_attributes, delivered_geometries, delivered_review_queue,
-    delivered_topology, delivered_changes,
+    delivered_topology, delivered_changes, delivered_packages,
 )}
 ORACLE: dict[str, str] = {}

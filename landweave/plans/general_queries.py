@@ -61,13 +61,15 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Path of each node from each of its roots, as JSON."""
     rows = table(spark, folder, "provenance_graph")
-    return hierarchy.paths(rows, hierarchy.roots(rows))
+    p = hierarchy.paths(rows, hierarchy.roots(rows))
+    return p.select("node_id", "root_id", "depth", F.to_json("path").alias("path"))
 
 
 def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "provenance_graph")
-    return hierarchy.closure(rows, hierarchy.roots(rows))
+    return hierarchy.descendants(rows, hierarchy.roots(rows))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,17 +101,28 @@ e AS MATERIALIZED (
   SELECT DISTINCT x.node, x.parent FROM (
     SELECT upper(trim(node_id)) AS node, upper(trim(unnest(parent_ids))) AS parent FROM provenance_graph) x
   WHERE x.parent IN (SELECT node FROM n) AND x.node <> ''),
--- nodes peeled from the leaves of the inverse relation: what a cycle can reach is never peeled
-d(node, root, depth) AS (
-  SELECT node, node, 0 FROM n WHERE node NOT IN (SELECT node FROM e)
-  UNION SELECT e.node, d.root, d.depth + 1 FROM d JOIN e ON e.parent = d.node WHERE d.depth < 200),
+-- nodes on or below a cycle are found first, so the walk over the others needs no limit of depth
 k(node, up) AS (SELECT node, parent FROM e UNION SELECT k.node, e.parent FROM k JOIN e ON k.up = e.node),
 bad AS MATERIALIZED (
   SELECT node FROM k WHERE node = up
-  UNION SELECT k.node FROM k WHERE k.up IN (SELECT node FROM k WHERE node = up))
+  UNION SELECT k.node FROM k WHERE k.up IN (SELECT node FROM k WHERE node = up)),
+d(node, root, depth) AS (
+  SELECT node, node, 0 FROM n WHERE node NOT IN (SELECT node FROM e)
+  UNION SELECT e.node, d.root, d.depth + 1 FROM d JOIN e ON e.parent = d.node WHERE e.node NOT IN (SELECT node FROM bad))
 """
+_P6_SOUND = _P6 + """,
+f AS MATERIALIZED (SELECT node, root, min(depth)::INT AS depth FROM d WHERE node NOT IN (SELECT node FROM bad) GROUP BY 1, 2)"""
 ORACLE: dict[str, str] = {
-    "p6_found": _P6 + """
-SELECT node AS node_id, root AS root_id, min(depth)::INT AS depth FROM d WHERE node NOT IN (SELECT node FROM bad) GROUP BY 1, 2
+    "p6_found": _P6_SOUND + """
+SELECT node AS node_id, root AS root_id, depth FROM f
 UNION ALL SELECT node, '', -1 FROM bad""",
+    "p6_paths": _P6_SOUND + """,
+via AS MATERIALIZED (SELECT x.node, x.root, x.depth, min(e.parent) AS parent FROM f x JOIN e USING (node) JOIN f y ON y.node = e.parent AND y.root = x.root AND y.depth = x.depth - 1 GROUP BY 1, 2, 3),
+pt(node, root, depth, path) AS (SELECT node, root, depth, [node] FROM f WHERE depth = 0
+  UNION ALL SELECT v.node, v.root, v.depth, list_append(pt.path, v.node) FROM pt JOIN via v ON v.parent = pt.node AND v.root = pt.root AND v.depth = pt.depth + 1)
+SELECT node AS node_id, root AS root_id, depth, to_json(path)::VARCHAR AS path FROM pt UNION ALL SELECT node, '', -1, '[]' FROM bad""",
+    "p6_descendants": _P6_SOUND + """,
+s AS MATERIALIZED (SELECT e.node, e.parent FROM e WHERE e.node NOT IN (SELECT node FROM bad)),
+c(node, up, steps) AS (SELECT node, parent, 1 FROM s UNION SELECT c.node, s.parent, c.steps + 1 FROM c JOIN s ON c.up = s.node)
+SELECT up AS node_id, node AS descendant_id, min(steps)::INT AS steps FROM c GROUP BY 1, 2""",
 }

@@ -254,7 +254,8 @@ def export_geojson(spark: SparkSession, folder: str) -> DataFrame:
 def evidence_zip(spark: SparkSession, folder: str) -> DataFrame:
     """Name, size and manifest hash of a package for each parcel."""
     c = table(spark, folder, "canonical_parcel")
-    return sinks.packages(c.select("canonical_id", F.to_json(F.struct("*")).alias("body")))
+    made = F.create_map(F.lit("source_manifest.json"), F.to_json(F.struct("canonical_id", "source_record_ids", "village_code")), F.lit("proposal.geojson"), F.to_json(F.struct("*")))
+    return sinks.packages(c.select("canonical_id", made.alias("members"))).drop("content")
 
 
 def topology_gap_fill(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,6 +29,33 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, where it isn't installed there.
+
+    The archive is made in the shared folder of the session; a session with one machine needs none.
+    """
+    import importlib.util
+    import io
+    import os
+    import zipfile
+
+    root = os.path.dirname(os.path.abspath(importlib.util.find_spec("landweave").origin))  # type: ignore[union-attr,arg-type]
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    path = f"{shared_dir(spark)}/{_RUN}-landweave.zip"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
 

@@ -1,6 +1,6 @@
-"""Readers of feature files: GeoJSON, CSV, GeoParquet rows, GeoPackage, Shapefile, TIFF metadata and ZIP.
+"""Readers of feature files: GeoJSON, CSV, GeoParquet, GeoPackage, Shapefile, TIFF metadata and ZIP.
 
-A file is one task: ``binaryFile`` distributes the files and a parser turns the bytes of each into rows
+GeoParquet is read as Parquet, split and pruned like any table. Of the other formats a file is one task: ``binaryFile`` distributes the files and a parser turns the bytes of each into rows
 (path, feature_idx, geometry, properties, capture_timestamp). A file that can't be read gives one row
 with ``error``.
 """
@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landweave.functions import projections
+
 #: Extensions by format.
 FORMATS = {
     ".geojson": "geojson", ".json": "geojson", ".csv": "csv", ".gpkg": "geopackage", ".shp": "shapefile", ".tif": "geotiff", ".tiff": "geotiff", ".zip": "zip", ".parquet": "geoparquet",
@@ -174,8 +176,18 @@ def read_geopackage(data: bytes, layer: str | None = None) -> list[Row]:
     return out
 
 
-def read_shapefile(shp: bytes, dbf: bytes | None) -> list[Row]:
-    """Points, lines and polygons of a shapefile with the attributes of its table."""
+def _reprojected(geometry: dict | None, prj: bytes | None) -> dict | None:
+    """A geometry in degrees by the text of a .prj; as it stands where that is none, already in degrees or unknown."""
+    text = (prj or b"").decode("utf-8", "replace").strip()
+    to = projections.inverse(text) if geometry and text.upper().startswith("PROJCS") else None
+    if to is None or geometry is None:
+        return geometry
+    move = lambda c: list(to(c[0], c[1])) if c and not isinstance(c[0], list) else [move(x) for x in c]
+    return {**geometry, "coordinates": move(geometry["coordinates"])}
+
+
+def read_shapefile(shp: bytes, dbf: bytes | None, prj: bytes | None = None) -> list[Row]:
+    """Points, lines and polygons of a shapefile with the attributes of its table, in degrees where the .prj is a known projection."""
     shapes: list[dict | None] = []
     at = 100
     while at + 8 <= len(shp):
@@ -215,7 +227,7 @@ def read_shapefile(shp: bytes, dbf: bytes | None) -> list[Row]:
         for i in range(min(n, len(shapes))):
             row = dbf[head + i * width : head + (i + 1) * width]
             table[i] = {name: row[s : s + k].decode("utf-8", "replace").strip() or None for name, s, k in fields}
-    return [(json.dumps(g) if g else None, *_split_date(props)) for g, props in zip(shapes, table)]
+    return [(json.dumps(_reprojected(g, prj)) if g else None, *_split_date(props)) for g, props in zip(shapes, table)]
 
 
 def read_geotiff(data: bytes) -> list[Row]:
@@ -226,7 +238,7 @@ def read_geotiff(data: bytes) -> list[Row]:
     sizes = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 12: ("d", 8)}
     for i in range(struct.unpack_from(end + "H", data, at)[0]):
         tag, kind, n = struct.unpack_from(end + "HHI", data, at + 2 + 12 * i)
-        if kind in sizes and kind != 2:
+        if kind in sizes:
             code, k = sizes[kind]
             where = at + 10 + 12 * i
             if n * k > 4:
@@ -234,12 +246,22 @@ def read_geotiff(data: bytes) -> list[Row]:
             tags[tag] = struct.unpack_from(f"{end}{n}{code}", data, where)
     w, h = tags[256][0], tags[257][0]
     props = {"width": str(w), "height": str(h), "bands": str(tags.get(277, (1,))[0])}
+    props["dtype"] = {1: "uint", 2: "int", 3: "float"}.get(tags.get(339, (1,))[0], "void") + str(tags.get(258, (1,))[0])
+    if 42113 in tags:
+        props["nodata"] = b"".join(tags[42113]).split(b"\0")[0].decode("ascii", "replace").strip()
+    # Keys of four numbers each after a head of four: 3072 names a projected system, 2048 a geographic one.
+    keys = tags.get(34735, ())
+    epsg = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i + 1] == 0}
+    crs = epsg.get(3072) or epsg.get(2048)
+    if crs and crs != 32767:  # the number of a system defined by the user
+        props["crs"] = f"EPSG:{crs}"
     g = None
     if 33550 in tags and 33922 in tags:
         sx, sy = tags[33550][:2]
         x0, y1 = tags[33922][3] - tags[33922][0] * sx, tags[33922][4] + tags[33922][1] * sy
         x1, y0 = x0 + w * sx, y1 - h * sy
-        g = json.dumps({"type": "Polygon", "coordinates": [[[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]]})
+        to = projections.inverse(props.get("crs")) or (lambda x, y: (x, y))
+        g = json.dumps({"type": "Polygon", "coordinates": [[list(to(*p)) for p in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]]})
         props |= {"pixel_x": str(sx), "pixel_y": str(sy)}
     return [(g, props, None)]
 
@@ -270,33 +292,91 @@ def read_zip(data: bytes) -> list[Row]:
                 return READERS[kind](z.read(n))
         for n in members:
             if n.lower().endswith(".shp"):
-                dbf = next((m for m in members if m.lower() == n.lower()[:-4] + ".dbf"), None)
-                return read_shapefile(z.read(n), z.read(dbf) if dbf else None)
+                beside = lambda end: next((z.read(m) for m in members if m.lower() == n.lower()[:-4] + end), None)  # noqa: B023, E731
+                return read_shapefile(z.read(n), beside(".dbf"), beside(".prj"))
     raise ValueError("no readable member")
 
 
-READERS = {
-    "geojson": read_geojson, "csv": read_csv, "geopackage": read_geopackage, "shapefile": lambda b: read_shapefile(b, None), "geotiff": read_geotiff, "zip": read_zip, "geoparquet": read_geoparquet,
-}
+READERS = {"geojson": read_geojson, "csv": read_csv, "geopackage": read_geopackage, "geotiff": read_geotiff, "zip": read_zip, "geoparquet": read_geoparquet}
+#: Files that belong to a shapefile and are read with it.
+BESIDE = (".dbf", ".prj", ".shx", ".cpg", ".sbn", ".sbx")
+
 
+def read_features(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+    """Features of all files below ``path``, the format by extension; unknown extensions and damaged files give an error row.
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Features of all files below ``path``, the format by extension; unknown extensions and damaged files give an error row."""
+    A shapefile takes its table and projection from the files of the same name beside it; ``layer`` picks
+    one of a GeoPackage. Parquet files are read by ``read_geoparquet_table``, not in one task each.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             rows = []
-            for p, data in zip(df["path"], df["content"]):
+            for p, data, dbf, prj in zip(df["path"], df["content"], df["dbf"], df["prj"]):
                 kind = FORMATS.get(os.path.splitext(p)[1].lower())
                 try:
                     if kind is None:
                         raise ValueError("unknown format")
-                    rows += [(p, i, g, props, when, None) for i, (g, props, when) in enumerate(READERS[kind](data))]
+                    read = read_shapefile(data, dbf, prj) if kind == "shapefile" else read_geopackage(data, layer) if kind == "geopackage" else READERS[kind](data)
+                    rows += [(p, i, g, props, when, None) for i, (g, props, when) in enumerate(read)]
                 except Exception as e:  # a damaged file must not end the job
                     rows.append((p, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"feature_idx": "Int32"})
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    end, stem = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)), F.lower(F.regexp_replace("path", r"\.[^./]*$", ""))
+    files = files.select("path", "content", end.alias("end"), stem.alias("stem"))
+    side = lambda e, name: files.where(F.col("end") == e).groupBy("stem").agg(F.min("content").alias(name))
+    shapes = files.where(F.col("end") == ".shp").join(side(".dbf", "dbf"), "stem", "left").join(side(".prj", "prj"), "stem", "left")
+    none = F.lit(None).cast("binary")
+    others = files.where(~F.col("end").isin(".shp", ".parquet", *BESIDE)).withColumn("dbf", none).withColumn("prj", none)
+    out = others.select("path", "content", "dbf", "prj").unionByName(shapes.select("path", "content", "dbf", "prj")).mapInPandas(run, SCHEMA)
+    # Whether there is any Parquet file is a question to the file listing, not to the files.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    return out if listed.isEmpty() else out.unionByName(read_geoparquet_table(spark, path))
+
+
+def read_geoparquet_table(spark: SparkSession, path: str, geometry: str | None = None, properties: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows of GeoParquet files as Spark reads them: splits of a file are tasks of their own, and only the ``properties`` asked for are read.
+
+    ``geometry`` names the column of well-known binary; by default it is the first of the usual names
+    that the files have. Fields of all files are merged; a file's rows are numbered from 0.
+    """
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("mergeSchema", "true").parquet(path)
+    geometry = geometry or next((c for c in ("geometry", "geom", "wkb_geometry", "wkb") if c in t.columns), None)
+    rest = [c for c in t.columns if c != geometry and (properties is None or c in properties)]
+    dates = [c for c in DATE_FIELDS if c in rest]
+
+    def text(s: pd.Series) -> pd.Series:
+        def one(b: bytes | None) -> str | None:
+            try:
+                return None if not b else json.dumps(parse_wkb(bytes(b))[0])
+            except (ValueError, struct.error, IndexError):
+                return None
+
+        return s.map(one)
+
+    shape = F.pandas_udf(text, "string")(F.col(geometry).cast("binary")) if geometry else F.lit(None).cast("string")
+    plain = lambda c: F.to_json(F.col(f"`{c}`")) if t.schema[c].dataType.typeName() in ("struct", "array", "map") else F.col(f"`{c}`").cast("string")
+    pairs = [x for c in rest if c not in dates for x in (F.lit(c), plain(c))]
+    props = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+    when = F.coalesce(*[F.nullif(plain(c), F.lit("")) for c in reversed(dates)]) if dates else F.lit(None).cast("string")
+    return t.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").cast("int").alias("feature_idx"), shape.alias("geometry"), props.alias("properties"), when.alias("capture_timestamp"), F.lit(None).cast("string").alias("error")
+    )
+
+
+def coverage(features: DataFrame) -> DataFrame:
+    """(path, crs, extent, context) of TIFF files as evidence of where imagery or heights exist; files without an extent cover nothing."""
+    p = lambda n: F.element_at("properties", n)
+    tif = features.where(F.lower("path").rlike(r"\.tiff?$") & F.col("geometry").isNotNull())
+    context = F.map_filter(F.create_map(*[x for n in ("width", "height", "bands", "dtype", "nodata", "pixel_x", "pixel_y") for x in (F.lit(n), p(n))]), lambda _, v: v.isNotNull())
+    return tif.select("path", p("crs").alias("crs"), F.col("geometry").alias("extent"), context.alias("context"))
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256, length) of all files below ``path``."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
 
 
 def formats(spark: SparkSession) -> DataFrame:

@@ -22,21 +22,43 @@ def geojson_features(df: DataFrame, key: str, geometry: str, properties: tuple[s
     return df.select(key, F.to_json(feature).alias("feature"))
 
 
+#: Features that one collection document holds at most; it is a page, the whole table goes out as NDJSON.
+COLLECTION_ROWS = 10_000
+
+
+def feature_collection(features: DataFrame, key: str, limit: int = COLLECTION_ROWS) -> str:
+    """One GeoJSON document of the first ``limit`` features by ``key`` of the result of ``geojson_features``."""
+    page = features.orderBy(key).limit(min(limit, COLLECTION_ROWS)).select("feature").collect()
+    return '{"type":"FeatureCollection","features":[' + ",".join(r[0] for r in page) + "]}"
+
+
+#: Members of a package, in order, before its manifest.
+MEMBERS = ("source_manifest.json", "normalized_features.geojson", "proposal.geojson", "conflicts.json", "confidence.json", "validation.json", "decision.json", "audit.jsonl")
+
+
+def _zip(key: str, members: dict[str, bytes]) -> tuple[str, int, str, bytes]:
+    """Name, size, hash of the manifest and bytes of a package; the same members give the same bytes."""
+    manifest = "".join(f"{hashlib.sha256(b).hexdigest()}  {n}\n" for n, b in members.items()).encode()
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for n, b in [*members.items(), ("manifest.sha256", manifest)]:
+            z.writestr(zipfile.ZipInfo(f"parcel_{key}/{n}", (1980, 1, 1, 0, 0, 0)), b)
+    data = buffer.getvalue()
+    return f"{key}.zip", len(data), hashlib.sha256(manifest).hexdigest(), data
+
+
 def packages(rows: DataFrame) -> DataFrame:
-    """(name, size, manifest_hash) and the bytes of one ZIP a row: the body and a manifest of hashes. Rows are (id, body JSON)."""
+    """(name, size, manifest_hash, content): one evidence ZIP a row of (id, members), members a map of ``MEMBERS`` to their texts.
+
+    A member that a row lacks is written as an empty object, the audit trail as no lines.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
             out = []
-            for key, body in df.itertuples(index=False):
-                members = {"parcel.json": (body or "{}").encode(), "README.txt": f"Evidence of {key}\n".encode()}
-                manifest = json.dumps({n: hashlib.sha256(b).hexdigest() for n, b in sorted(members.items())}, sort_keys=True).encode()
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-                    for n, b in [*members.items(), ("manifest.json", manifest)]:
-                        z.writestr(zipfile.ZipInfo(n, (1980, 1, 1, 0, 0, 0)), b)
-                data = buffer.getvalue()
-                out.append((f"{key}.zip", len(data), hashlib.sha256(manifest).hexdigest(), data))
+            for key, given in df.itertuples(index=False):
+                have = dict(given) if given is not None else {}
+                out.append(_zip(key, {n: (have.get(n) or ("" if n.endswith("l") else "{}")).encode() for n in MEMBERS}))
             yield pd.DataFrame(out, columns=["name", "size", "manifest_hash", "content"])
 
     return rows.mapInPandas(run, "name string, size bigint, manifest_hash string, content binary")

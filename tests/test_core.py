@@ -1,5 +1,6 @@
 """Functions, formats, evidence, streaming and the queries' contract of the core."""
 
+import hashlib
 import io
 import json
 import math
@@ -134,10 +135,50 @@ def test_shapefile_and_tiff():
     assert props["width"] == "10" and json.loads(geometry)["coordinates"][0][2] == pytest.approx([71.0, 20.0])
 
 
+def test_shapefiles_and_parquet_through_the_reader(spark, tmp_path):
+    from landweave.operators import adapters
+
+    ring = [(500000.0, 2000000.0), (500000.0, 2000100.0), (500100.0, 2000100.0), (500000.0, 2000000.0)]
+    body = struct.pack("<i4d2ii", 5, 0, 0, 1, 1, 1, 4, 0) + b"".join(struct.pack("<2d", *p) for p in ring)
+    (tmp_path / "Plots.shp").write_bytes(b"\0" * 100 + struct.pack(">2i", 1, len(body) // 2) + body)
+    (tmp_path / "plots.dbf").write_bytes(struct.pack("<4BIHH20x", 3, 0, 0, 0, 1, 65, 6) + b"NAME".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([5]) + b"\0" * 15 + b"\r" + b" hello")
+    (tmp_path / "Plots.prj").write_text('PROJCS["WGS_1984_UTM_Zone_43N",GEOGCS["GCS_WGS_1984"]]')
+    (tmp_path / "Plots.shx").write_bytes(b"x")
+    (tmp_path / "what.xyz").write_bytes(b"x")
+    (tmp_path / "m.csv").write_text("Point_ID,lon,lat,method,Epoch,pdop\nA,74.5,11.5,RTK CORS,2020-01-01,1.2\n,x,,,,\n")
+    wkb = sinks.wkb({"type": "Point", "coordinates": [74.5, 11.5]})
+    spark.createDataFrame([(bytearray(wkb), "a", "2020-01-01", [1, 2]), (bytearray(b"bad"), None, "", None), (None, "c", None, [])], "geometry binary, Name string, survey_date string, list array<int>").coalesce(1).write.parquet(str(tmp_path / "geo"))
+    got = formats.read_features(spark, str(tmp_path)).collect()
+    shp, = [r for r in got if r.path.endswith(".shp")]
+    lon, lat = json.loads(shp.geometry)["coordinates"][0][0]
+    assert shp.properties == {"NAME": "hello"} and lon == pytest.approx(75.0) and lat == pytest.approx(18.0887089, abs=1e-6)
+    assert [r.error for r in got if r.path.endswith("what.xyz")] == ["ValueError: unknown format"] and not [r for r in got if r.path.endswith((".dbf", ".prj", ".shx"))]
+    rows = {r.feature_idx: r for r in got if r.path.endswith(".parquet")}
+    assert json.loads(rows[0].geometry)["coordinates"] == [74.5, 11.5] and rows[0].properties == {"Name": "a", "list": "[1,2]"} and rows[0].capture_timestamp == "2020-01-01"
+    assert rows[1].geometry is None and rows[1].capture_timestamp is None and rows[2].geometry is None and rows[2].properties["Name"] == "c"
+    plan = formats.read_geoparquet_table(spark, str(tmp_path / "geo"), properties=("Name",)).select("properties")._jdf.queryExecution().executedPlan().toString()
+    assert "Name#" in plan and "survey_date#" not in plan and "geometry#" not in plan
+    marks = {r.point_id: r for r in adapters.gnss_files(formats.read_features(spark, str(tmp_path / "m.csv")), "DS", "c").collect()}
+    assert (marks["A"].lon, marks["A"].method, marks["A"].pdop, marks["A"].observation_epoch) == (74.5, "RTK CORS", 1.2, "2020-01-01") and marks["P0001"].lon is None
+    assert adapters.gnss(adapters.gnss_files(formats.read_features(spark, str(tmp_path / "m.csv")), "DS", "c")).count() == 1
+    assert [r.parent_ids for r in adapters.lineage_nodes("DS", "GNSS", "c", spark).collect()] == [[], ["ORIG-GNSS-DS"]]
+    seen = {r.path[-7:]: r.sha256 for r in formats.file_hashes(spark, str(tmp_path)).collect()}
+    assert seen["hat.xyz"] == hashlib.sha256(b"x").hexdigest()
+
+
 def test_packages(spark):
-    row, = sinks.packages(spark.createDataFrame([("p", '{"a":1}')], "id string, body string")).collect()
-    with zipfile.ZipFile(io.BytesIO(row.content)) as z:
-        assert z.namelist() == ["parcel.json", "README.txt", "manifest.json"] and row.size == len(row.content)
+    rows = spark.createDataFrame([("p", {"decision.json": '{"a":1}'}), ("q", None)], "id string, members map<string,string>")
+    p, q = sorted(sinks.packages(rows).collect())
+    with zipfile.ZipFile(io.BytesIO(p.content)) as z:
+        assert z.namelist() == [f"parcel_p/{n}" for n in (*sinks.MEMBERS, "manifest.sha256")] and p.size == len(p.content)
+        for line in z.read("parcel_p/manifest.sha256").decode().splitlines():
+            digest, name = line.split("  ")
+            assert hashlib.sha256(z.read(f"parcel_p/{name}")).hexdigest() == digest
+        assert z.read("parcel_p/decision.json") == b'{"a":1}'
+    assert q.name == "q.zip" and q.manifest_hash != p.manifest_hash
+    f = sinks.geojson_features(spark.createDataFrame([("b", None, 1), ("a", '{"type":"Point","coordinates":[1,2]}', 2), ("c", "{", 3)], "id string, geometry string, n int"), "id", "geometry", ("n",))
+    doc = json.loads(sinks.feature_collection(f, "id", 2))
+    assert [x["id"] for x in doc["features"]] == ["a", "b"] and doc["features"][0]["geometry"]["coordinates"] == [1, 2]
 
 
 def test_evidence_and_names_take_every_row(spark, tmp_path):
@@ -181,7 +222,25 @@ def test_streams(spark, tmp_path):
     assert {(r.k, r.events) for r in run(streams.window_counts(read(), "ts", "k", "1 minute", "1 minute"), "counted", "complete")} == {(1, 2), (2, 1)}
     q = read().writeStream.foreachBatch(streams.upsert(str(tmp_path / "table"), "k", "ts")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "table" / "v0")).count() == 2
+    assert streams.current(spark, str(tmp_path / "table")).count() == 2
+    times = spark.createDataFrame([("02/01/2020 10:00 pm", "s", "DMY", "Asia/Kolkata"), ("02/01/2020", "s", None, None), ("2020-01-02T03:04:05Z", "s", None, None)], "value string, source string, date_order string, time_zone string")
+    times.write.parquet(str(tmp_path / "times"))
+    got = {r.value: r for r in run(streams.parsed_times(spark.readStream.schema(times.schema).parquet(str(tmp_path / "times")), "value"), "timed", "append")}
+    us = lambda t: spark.sql(f"SELECT unix_micros(timestamp'{t}')").first()[0]
+    assert got["02/01/2020 10:00 pm"].instant_us == us("2020-01-02 16:30:00+00:00") and got["2020-01-02T03:04:05Z"].instant_us == us("2020-01-02 03:04:05+00:00")
+    assert got["02/01/2020"].instant_us is None and got["02/01/2020"].is_ambiguous
+
+
+def test_upsert_keeps_what_lies_far_back(spark, tmp_path):
+    put = streams.upsert(str(tmp_path / "t"), "k", "n", buckets=4)
+    assert streams.current(spark, str(tmp_path / "t")) is None
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, n int, v string")
+    put(rows(("a", 1, "x"), ("b", 1, "x"), (None, 1, "x"), ("a", 2, "y")), 0)
+    put(rows(("c", 1, "x")), 7)
+    put(rows(), 8)
+    put(rows(("b", 0, "late"), ("a", 3, "z")), 20)
+    put(rows(("b", 0, "late"), ("a", 3, "z")), 20)  # the same batch again
+    assert {(r.k, r.n, r.v) for r in streams.current(spark, str(tmp_path / "t")).collect()} == {("a", 3, "z"), ("b", 1, "x"), ("c", 1, "x"), (None, 1, "x")}
 
 
 def test_queries_have_unique_names_and_sql():

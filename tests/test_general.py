@@ -108,7 +108,7 @@ def test_paths_and_descendants(spark):
     df = spark.createDataFrame(rows, NODES)
     p = hierarchy.paths(df, hierarchy.roots(df))
     assert {(r.node_id, tuple(r.path)) for r in p.collect()} == {("A", ("A",)), ("B", ("A", "B")), ("C", ("A", "C")), ("Z", ())}
-    assert {tuple(r) for r in hierarchy.descendants(p).collect()} == {("A", "B", 1), ("A", "C", 1)}
+    assert {tuple(r) for r in hierarchy.descendants(df, hierarchy.roots(df)).collect()} == {("A", "B", 1), ("A", "C", 1), ("B", "C", 1)}
 
 
 def test_descendants_through_every_parent(spark):
@@ -116,7 +116,7 @@ def test_descendants_through_every_parent(spark):
     rows = [("a", [], "c", 0), ("b", ["a"], "c", 0), ("c", ["b", "a"], "c", 0), ("z", ["z"], "c", 0), ("y", ["z", "a"], "c", 0)]
     rows += [(f"n{i:02d}", [f"n{rng.randrange(max(0, i - 4), i):02d}" for _ in range(rng.randrange(1, 4))] if i else [], "c", 0) for i in range(40)]
     df = spark.createDataFrame(rows, NODES)
-    got = hierarchy.closure(df, hierarchy.roots(df)).collect()
+    got = hierarchy.descendants(df, hierarchy.roots(df)).collect()
     parents = {n.upper(): {p.upper() for p in ps} for n, ps, *_ in rows if n not in "zy"}
     want = set()
     for n in parents:
@@ -128,7 +128,23 @@ def test_descendants_through_every_parent(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want) and {("A", "B", 1), ("A", "C", 1), ("B", "C", 1)} <= want
 
 
+def test_paths_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from landweave import session
+
+    n, written = 3000, []
+    whole = session.Stage.write
+    monkeypatch.setattr(session.Stage, "write", lambda self, df: written.append(1) or whole(self, df))
+    rows = [(f"x{i:05d}", [f"x{i - 1:05d}", f"X{i - 1:05d} "] if i else [], "c", 0) for i in range(n)] + [("side", ["x01000", "x00999"], "c", 0)]
+    df = spark.createDataFrame(rows, NODES)
+    found = hierarchy.roots(df)
+    before = len(written)
+    got = {r.node_id: r.path for r in hierarchy.paths(df, found).collect()}
+    assert len(written) - before <= 4 + 13 and len(got) == n + 1
+    assert got[f"X{n - 1:05d}"] == [f"X{i:05d}" for i in range(n)] and got["SIDE"] == [f"X{i:05d}" for i in range(1000)] + ["SIDE"]
+
+
 def test_hierarchy_of_an_empty_table(spark):
+    assert hierarchy.paths(spark.createDataFrame([], NODES), spark.createDataFrame([], "node_id string, root_id string, depth int")).count() == 0
     assert hierarchy.roots(spark.createDataFrame([], NODES)).count() == 0
 
 
