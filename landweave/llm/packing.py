@@ -8,7 +8,7 @@ where no two others fit, or no two that fit hold more than it. What remains goes
 decreasing. Both work on sizes with multiplicities, which gives the same containers as
 item by item. Items get their rank among those of their size from counts of salted groups, so a
 size that a third of all items share is ranked in many tasks, and a rank's container is read off
-a table of at most some thousand slots.
+a table with a slot for each size of each kind of container, of which there are at most as many as sizes and steps of the filling.
 """
 
 from __future__ import annotations
@@ -74,19 +74,19 @@ def _reduce(count: dict[int, int], capacity: int) -> list[Group]:
                 if fit >= 0 and sizes[fit] == s and count[s] == 1:
                     fit -= 1
                 if fit < 0:
-                    take({s: 1}, count[s] if room < s else 1)
+                    take({s: 1}, count[s] if room < s else 1)  # beside itself it would fit, but it is the last of its size
                     changed = True
                     continue
                 k = sizes[fit]
                 pair_ok = k == room or smallest(2, s) > room or (smallest(3, s) > room and best_pair(room, s) <= k)
                 if not pair_ok:
                     break
-                # Multiplicity only where the test stays true for each: an exact fill, or nothing else fits.
-                many = k == room or sizes[0] * 2 > room
+                # What is taken leaves fewer items, so sums of the least only grow and the best pair only
+                # shrinks: the test stays true for every further set of these two sizes.
                 if k == s:
-                    take({s: 2}, count[s] // 2 if many else 1)
+                    take({s: 2}, count[s] // 2)
                 else:
-                    take({s: 1, k: 1}, min(count[s], count[k]) if many else 1)
+                    take({s: 1, k: 1}, min(count[s], count[k]))
                 changed = True
     return fixed
 
