@@ -184,36 +184,44 @@ def _read_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["village", "name", "kind", "first", "middle", "last", "stem", "nick", "first_raw", "last_raw"])
 
 
-def part_links(parts: DataFrame) -> DataFrame:
-    """(village, part, other) of distinct parts of a village within the edit distance, both ways and itself.
-
-    Short parts allow one edit, parts of seven letters and more two; a swap of neighbours counts as
-    one. Pigeonhole: of ``EDITS + 1`` segments of the shorter part at least one is unharmed and stands
-    in the longer one, shifted by no more than the edits allow.
-    """
-    k = EDITS
-    p = parts.where(F.length("part") >= 4).withColumn("n", F.length("part"))
+def _segments(parts: DataFrame, k: int, least: int, most: int | None) -> DataFrame:
+    """(village, part, other) that share a segment: the shorter part, of ``least`` to ``most`` letters, is cut into k + 1, the longer one has up to k letters more."""
     seg_len = lambda i, n: F.floor((n + i) / (k + 1)).cast("int")  # noqa: E731 - later segments are the longer ones
     seg_at = lambda i, n: sum((F.floor((n + j) / (k + 1)) for j in range(i)), F.lit(0)).cast("int")
-    index = p.select(
-        "village", "part", "n",
-        F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("part", seg_at(i, F.col("n")) + 1, seg_len(i, F.col("n"))).alias("seg")) for i in range(k + 1)])),
-    )
+    fits = lambda n: (n >= least) & (n <= most) if most else n >= least
+    n = F.col("n")
+    index = parts.where(fits(n)).select(
+        "village", "part", "n", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("part", seg_at(i, n) + 1, seg_len(i, n)).alias("seg")) for i in range(k + 1)]))
+    )
     looks = []
     for d in range(k + 1):  # the longer part has d letters more
-        n = F.col("n") - d
+        m = n - d
         for i in range(k + 1):
             for shift in range(-((k - d) // 2), (k + d) // 2 + 1):
-                at = seg_at(i, n) + shift
-                ok = (n >= 4) & (at >= 0) & (at + seg_len(i, n) <= F.col("n"))
-                looks.append(F.when(ok, F.struct(F.lit(i).alias("i"), n.alias("n"), F.substring("part", at + 1, seg_len(i, n)).alias("seg"))))
-    probe = p.select("village", F.col("part").alias("other"), F.explode(F.array_compact(F.array(*looks))).alias("x")).select("village", "other", "x.*")
-    met = index.join(probe, ["village", "i", "n", "seg"]).where(F.col("part") != F.col("other")).select("village", "part", "other").distinct()
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    dist = F.levenshtein("part", "other", k)
-    short = F.least(F.length("part"), F.length("other"))
-    same = ((dist >= 0) & (dist <= 1)) | ((dist == 2) & ((short >= 7) | (letters("part") == letters("other"))))
-    near = met.where(same)
+                at = seg_at(i, m) + shift
+                ok = fits(m) & (at >= 0) & (at + seg_len(i, m) <= n)
+                looks.append(F.when(ok, F.struct(F.lit(i).alias("i"), m.alias("n"), F.substring("part", at + 1, seg_len(i, m)).alias("seg"))))
+    probe = parts.where(n >= least).select("village", F.col("part").alias("other"), F.explode(F.array_compact(F.array(*looks))).alias("x")).select("village", "other", "x.*")
+    return index.join(probe, ["village", "i", "n", "seg"]).where(F.col("part") != F.col("other")).select("village", "part", "other")
+
+
+def part_links(parts: DataFrame) -> DataFrame:
+    """(village, part, other) of distinct parts of a village within the edit distance, both ways and itself.
+
+    Parts of four letters and more allow one edit, those of seven and more ``EDITS``; the same letters
+    in another order within two edits count as one slip. Shorter parts are linked to themselves only:
+    among three letters one edit leads from most names to another. Pigeonhole: a part that allows k
+    edits is cut into k + 1 segments, of which at least one is unharmed and stands in the longer
+    part, shifted by no more than the edits allow; letters in another order meet by their sorted letters.
+    """
+    p = parts.where(F.length("part") >= 4).withColumn("n", F.length("part"))
+    letters = p.select("village", "part", F.array_join(F.array_sort(F.split("part", "")), "").alias("letters"))
+    turned = letters.join(letters.withColumnRenamed("part", "other"), ["village", "letters"]).where(F.col("part") < F.col("other")).select("village", "part", "other")
+    one = _segments(p, 1, 4, 6).withColumn("most", F.lit(1))
+    two = _segments(p, EDITS, 7, None).withColumn("most", F.lit(EDITS))
+    met = one.unionByName(two).unionByName(turned.withColumn("most", F.lit(2))).groupBy("village", "part", "other").agg(F.max("most").alias("most"))
+    dist = F.levenshtein("part", "other", EDITS)
+    near = met.where((dist >= 0) & (dist <= F.col("most"))).select("village", "part", "other")
     return near.unionByName(near.select("village", F.col("other").alias("part"), F.col("part").alias("other"))).unionByName(
         parts.select("village", "part", F.col("part").alias("other"))
     ).distinct()
@@ -230,10 +238,12 @@ def linked_names(names: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame,
     forms = r.select("village", F.inline(F.array(F.struct(F.col("first").alias("part"), F.col("first_raw").alias("raw")), F.struct(F.col("last").alias("part"), F.col("last_raw").alias("raw")))))
     forms = stage.write(forms.where(F.length("part") > 1).distinct())
     # A slip inside a doubled vowel shows in the written form, one between sounds alike in the folded form.
-    written = part_links(forms.select("village", F.col("raw").alias("part")).distinct())
+    # Both forms go through one search, told apart by a mark before the village.
+    mark = lambda m, c: forms.select(F.concat(F.lit(m), "village").alias("village"), F.col(c).alias("part"))
+    found = stage.write(part_links(mark("f", "part").unionByName(mark("w", "raw")).distinct()).select(F.substring("village", 1, 1).alias("mark"), F.expr("substring(village, 2)").alias("village"), "part", "other"))
     as_part = lambda raw, part: forms.select("village", F.col("raw").alias(raw), F.col("part").alias(part))
-    written = written.select("village", F.col("part").alias("raw"), F.col("other").alias("raw2")).join(as_part("raw", "part"), ["village", "raw"]).join(as_part("raw2", "other"), ["village", "raw2"])
-    links = stage.write(part_links(forms.select("village", "part").distinct()).unionByName(written.select("village", "part", "other")).distinct())
+    written = found.where("mark = 'w' AND part <> other").select("village", F.col("part").alias("raw"), F.col("other").alias("raw2")).join(as_part("raw", "part"), ["village", "raw"]).join(as_part("raw2", "other"), ["village", "raw2"])
+    links = stage.write(found.where("mark = 'f'").select("village", "part", "other").unionByName(written.select("village", "part", "other")).distinct())
     full = r.where((F.col("kind") == "person") & (F.length("first") > 1) & (F.col("last") != ""))
     # The expanded side tries every spelling of first and last name; the other side has its own.
     first_of = links.select("village", F.col("part").alias("first"), F.col("other").alias("first2"))
