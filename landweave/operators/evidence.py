@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 from functools import lru_cache
@@ -32,6 +33,9 @@ def canonical_text(c: Column) -> Column:
     return F.pandas_udf(run, "string")(c)
 
 
+#: What stands before the key in its PKCS 8 form (RFC 8410).
+_PKCS8 = bytes.fromhex("302e020100300506032b657004220420")
+
 # Ed25519 as RFC 8032 defines it, over the curve -x^2 + y^2 = 1 + d x^2 y^2.
 _P = 2**255 - 19
 _L = 2**252 + 27742317777372353535851937790883648493
@@ -138,6 +142,48 @@ def key_id(key: bytes) -> str:
     return hashlib.sha256(key).hexdigest()[:16]
 
 
+class Registry:
+    """Trusted public keys by name. A key registers again without effect; another key under a taken name is refused."""
+
+    def __init__(self, keys: dict[str, bytes] | None = None):
+        self.keys: dict[str, bytes] = {}
+        for name, key in (keys or {}).items():
+            self.register(name, key)
+
+    def register(self, name: str, key: bytes) -> None:
+        if len(key) != 32:
+            raise ValueError("a public key has 32 bytes")
+        if self.keys.setdefault(name, key) != key:
+            raise ValueError(f"another key is registered as {name}")
+
+    def to_json(self) -> str:
+        return json.dumps({n: k.hex() for n, k in sorted(self.keys.items())})
+
+    @classmethod
+    def from_json(cls, text: str) -> Registry:
+        return cls({n: bytes.fromhex(k) for n, k in json.loads(text).items()})
+
+
+def seed_of(pem_or_raw: bytes) -> bytes:
+    """The 32 bytes of a private key, given as such or as an unencrypted PEM of PKCS 8."""
+    if len(pem_or_raw) == 32:
+        return pem_or_raw
+    body = base64.b64decode(b"".join(x for x in pem_or_raw.strip().splitlines() if not x.startswith(b"-----")))
+    if len(body) != 48 or body[:16] != _PKCS8:
+        raise ValueError("no Ed25519 private key")
+    return body[16:]
+
+
+def pem_of(seed: bytes) -> bytes:
+    return b"-----BEGIN PRIVATE KEY-----\n" + base64.b64encode(_PKCS8 + seed) + b"\n-----END PRIVATE KEY-----\n"
+
+
+def payload(created_at_utc: Column, parcel_ids: Column, record_ids: Column, conflict_types: Column, **more: Column) -> Column:
+    """JSON of an evidence payload: ids sorted, the time of making, and further parts as they are given."""
+    parts = {"schema_version": F.lit("1"), "created_at_utc": created_at_utc, "parcel_ids": F.sort_array(parcel_ids), "source_record_ids": F.sort_array(record_ids), "conflict_types": conflict_types, **more}
+    return F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()]), {"ignoreNullFields": "false"})
+
+
 def envelope(payload: dict, seed: bytes) -> dict:
     """The payload with its hash, signature and the id of the key."""
     raw = canonical(payload)

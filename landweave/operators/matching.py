@@ -153,6 +153,7 @@ def scored(records: DataFrame, cfg: Config = DEFAULT, lineage_pairs: DataFrame |
         p, score_identifier=identifier_score([(c(f"a_{n}"), c(f"b_{n}"), c(f"a_id_{n}"), c(f"b_id_{n}")) for n in ids]) if ids else F.lit(0.0),
         score_temporal=temporal_score(c("a_capture_date"), c("b_capture_date"), cfg), _attribute=attribute_score(best, c("a__land"), c("b__land"), c("a__ward"), c("b__ward")),
     )
+    p = p.withColumn("land_use_match", F.coalesce(c("a__land") == c("b__land"), F.lit(False))).withColumn("ward_match", F.coalesce(c("a__ward") == c("b__ward"), F.lit(False)))
     rest = cfg.weight_identifier * c("score_identifier") + cfg.weight_attribute * c("_attribute") + cfg.weight_temporal * c("score_temporal") + cfg.weight_provenance * (1.0 if lineage_pairs is not None else 0.5)
     if matches_only:
         bound = _geometry_bound(cfg) if have("deg2") else geometry_score(

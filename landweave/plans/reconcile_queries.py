@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landweave.functions import planar
-from landweave.operators import components, matching, reconcile, ripple, topology
+from landweave.operators import components, matching, ml, reconcile, ripple, topology
 from landweave.plans import views
 from landweave.session import Stage
 
@@ -255,16 +255,9 @@ def temporal_span(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ml_features(spark: SparkSession, folder: str) -> DataFrame:
-    """Feature vector of matched pairs, each clipped to its range."""
+    """Feature vector of matched pairs, each feature within its range."""
     p = _matches(spark, folder)
-    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    gap = F.coalesce(F.abs(F.datediff("a_capture_date", "b_capture_date")).cast("double"), F.lit(-1.0))
-    quality = F.abs(matching.source_weight(F.col("a_source_type")) - matching.source_weight(F.col("b_source_type")))
-    return p.select(
-        *_PAIR, F.round(clip(F.col("iou")), 5).alias("iou"), F.round(clip(F.col("hausdorff_m") / 500), 6).alias("hausdorff_norm"), F.round(clip(F.col("area_diff")), 5).alias("area_ratio_diff"),
-        F.round(clip(F.col("centroid_m") / 500), 6).alias("centroid_dist_norm"), F.col("score_identifier").alias("identifier_score"), F.round(clip(gap / 3650), 6).alias("temporal_gap_norm"),
-        F.round(quality, 4).alias("source_quality_diff"), F.coalesce(F.lower("a_land_use") == F.lower("b_land_use"), F.lit(False)).cast("int").alias("land_use_match"),
-    )
+    return p.select(*_PAIR, *[F.round(v, 5 if n in ("iou", "area_ratio_diff") else 6).alias(n) for n, v in ml.features(p).items()])
 
 
 QUERIES = {f.__name__: f for f in (
@@ -398,7 +391,7 @@ ORACLE = {
     "change_summary": _V + _CHG + "SELECT change_type, severity, count(*) AS events, count(*) FILTER (is_temporal) AS temporal FROM ch GROUP BY 1, 2",
     "temporal_span": _V + "SELECT k::VARCHAR AS parcel_id, min(capture_date)::VARCHAR AS earliest, max(capture_date)::VARCHAR AS latest, count(capture_date) AS dated, (max(capture_date) - min(capture_date))::INT AS span_days FROM r GROUP BY k",
     "ml_features": _S + f"""SELECT ida AS a_record_id, idb AS b_record_id, round(greatest(0, least(1, iou)), 5) AS iou, round(greatest(0, least(1, hd / 500)), 6) AS hausdorff_norm, round(greatest(0, least(1, ad)), 5) AS area_ratio_diff,
-  round(greatest(0, least(1, cd / 500)), 6) AS centroid_dist_norm, si::DOUBLE AS identifier_score, round(greatest(0, least(1, coalesce(abs(da - db), -1) / 3650)), 6)::DOUBLE AS temporal_gap_norm,
-  round(abs(({_W.replace("source_type", "[''CADASTRAL'', ''REVENUE_ROR'', ''MUNICIPAL_GIS'', ''DRONE_ORI''][seqa % 4 + 1]".replace("''", "'"))})::DOUBLE - ({_W.replace("source_type", "['CADASTRAL', 'REVENUE_ROR', 'MUNICIPAL_GIS', 'DRONE_ORI'][seqb % 4 + 1]")})::DOUBLE), 4) AS source_quality_diff,
-  coalesce(lower(lua) = lower(lub), false)::INT AS land_use_match FROM mt""",
+  round(greatest(0, least(1, cd / 500)), 6) AS centroid_dist_norm, si::DOUBLE AS identifier_score, round(greatest(0, least(1, coalesce(abs(da - db), 0) / 3650)), 6)::DOUBLE AS temporal_gap_norm, 0.5::DOUBLE AS owner_similarity, coalesce(wa = wb, false)::INT::DOUBLE AS ward_match, 0.0::DOUBLE AS independent_lineages,
+  round(abs(({_W.replace("source_type", "[''CADASTRAL'', ''REVENUE_ROR'', ''MUNICIPAL_GIS'', ''DRONE_ORI''][seqa % 4 + 1]".replace("''", "'"))})::DOUBLE - ({_W.replace("source_type", "['CADASTRAL', 'REVENUE_ROR', 'MUNICIPAL_GIS', 'DRONE_ORI'][seqb % 4 + 1]")})::DOUBLE), 6) AS source_quality_diff,
+  coalesce(trim(lower(lua)) = trim(lower(lub)), false)::INT::DOUBLE AS land_use_match FROM mt""",
 }

@@ -244,7 +244,9 @@ def rate_limit_admission(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ml_rerank(spark: SparkSession, folder: str) -> DataFrame:
-    return ml.rerank(matching.scored(views.records(spark, folder), matches_only=True))
+    """Learned and final score of every matched pair, with its four strongest features."""
+    r = ml.rerank(matching.scored(views.records(spark, folder), matches_only=True), ml.ensured(spark))
+    return r.withColumn("strongest", F.to_json("strongest"))
 
 
 def export_geojson(spark: SparkSession, folder: str) -> DataFrame:

@@ -32,6 +32,34 @@ def feature_collection(features: DataFrame, key: str, limit: int = COLLECTION_RO
     return '{"type":"FeatureCollection","features":[' + ",".join(r[0] for r in page) + "]}"
 
 
+#: Collections that are offered, with their tables' keys, and the classes they conform to.
+COLLECTIONS = {"parcels": "canonical_id", "source-records": "record_id", "conflicts": "parcel_id"}
+CONFORMANCE = tuple(f"http://www.opengis.net/spec/ogcapi-features-1/1.0/conf/{c}" for c in ("core", "geojson"))
+#: Items of a page at most.
+PAGE_ROWS = 1000
+
+
+def collections(base: str) -> list[dict]:
+    """Descriptions of the collections with links to their items."""
+    return [{"id": n, "title": n.replace("-", " "), "itemType": "feature", "links": [{"rel": "items", "href": f"{base}/collections/{n}/items", "type": "application/geo+json"}]} for n in COLLECTIONS]
+
+
+def items(features: DataFrame, key: str, base: str, collection: str, offset: int = 0, limit: int = 100) -> dict:
+    """A page of features in order of ``key`` with the number of all, and links to itself, the next and the page before."""
+    limit, offset = max(1, min(limit, PAGE_ROWS)), max(0, offset)
+    total = features.count()
+    rows = [json.loads(r[0]) for r in features.orderBy(key).offset(offset).limit(limit).select("feature").collect()]  # at most a page
+    link = lambda rel, at: {"rel": rel, "href": f"{base}/collections/{collection}/items?offset={at}&limit={limit}", "type": "application/geo+json"}
+    links = [link("self", offset)] + ([link("next", offset + limit)] if offset + limit < total else []) + ([link("prev", max(0, offset - limit))] if offset else [])
+    return {"type": "FeatureCollection", "features": rows, "numberMatched": total, "numberReturned": len(rows), "links": links}
+
+
+def item(features: DataFrame, key: str, value: str) -> dict | None:
+    """The feature of one key, or null."""
+    found = features.where(F.col(key) == value).select("feature").head()
+    return json.loads(found[0]) if found else None
+
+
 #: Members of a package, in order, before its manifest.
 MEMBERS = ("source_manifest.json", "normalized_features.geojson", "proposal.geojson", "conflicts.json", "confidence.json", "validation.json", "decision.json", "audit.jsonl")
 

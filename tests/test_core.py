@@ -98,6 +98,39 @@ def test_ed25519_and_envelopes():
     assert evidence.check_envelope({**env, "signature": "00" * 64}, trusted) == "BAD_SIGNATURE" and evidence.check_envelope({**env, "signature": None}, trusted) == "MISSING_SIGNATURE"
 
 
+def test_keys_and_payloads(spark):
+    seed = bytes(range(32))
+    assert evidence.seed_of(seed) == seed == evidence.seed_of(evidence.pem_of(seed))
+    with pytest.raises(ValueError):
+        evidence.seed_of(b"-----BEGIN X-----\nAAAA\n-----END X-----")
+    r = evidence.Registry({"a": evidence.public_key(seed)})
+    r.register("a", evidence.public_key(seed))
+    with pytest.raises(ValueError):
+        r.register("a", bytes(32))
+    assert evidence.Registry.from_json(r.to_json()).keys == r.keys
+    df = spark.createDataFrame([(["b", "a"], ["r2", "r1"], ["GAP"], None)], "p array<string>, r array<string>, c array<string>, d string")
+    got = json.loads(df.select(evidence.payload(F.lit("2024-01-01T00:00:00Z"), F.col("p"), F.col("r"), F.col("c"), decision=F.col("d"))).first()[0])
+    assert got["parcel_ids"] == ["a", "b"] and got["source_record_ids"] == ["r1", "r2"] and got["decision"] is None and got["created_at_utc"].startswith("2024")
+
+
+def test_reranking(spark, tmp_path):
+    from landweave.operators import ml
+
+    rows = [("a", "b", 0.9, 0.95, 1.0, 0.02, 0.5, 1.0, 0.9, True, True, 2), ("c", "d", 0.5, 0.0, 450.0, 0.5, 400.0, 0.0, 0.0, False, False, 0), ("e", "f", 0.6, None, None, None, None, None, None, None, None, None)]
+    p = spark.createDataFrame(rows, "a_record_id string, b_record_id string, overall double, iou double, hausdorff_m double, area_diff double, centroid_m double, score_identifier double, owner_similarity double, land_use_match boolean, ward_match boolean, lineages int")
+    p = p.withColumn("a_capture_date", F.lit(None).cast("date")).withColumn("b_capture_date", F.current_date()).withColumn("a_source_type", F.lit("DRONE_ORI")).withColumn("b_source_type", F.lit(None).cast("string"))
+    f = {r.a_record_id: r for r in p.select("a_record_id", *[v.alias(n) for n, v in ml.features(p).items()]).collect()}
+    assert f["c"].owner_similarity == 0.5 == f["e"].owner_similarity and f["c"].hausdorff_norm == 0.9 and f["e"].iou == 0 and f["a"].independent_lineages == 2 and f["a"].source_quality_diff == pytest.approx(0.5)
+    model = ml.ensured(spark, str(tmp_path / "m"))
+    assert model.info["metrics"]["f1"] > 0.9 and set(model.info["feature_importances"]) == set(ml.FEATURES)
+    again = ml.load(spark, str(tmp_path / "m"))
+    got = {r.a_record_id: r for r in ml.rerank(p, model).collect()}
+    assert got == {r.a_record_id: r for r in ml.rerank(p, again).collect()} and ml.load(spark, str(tmp_path / "none")) is None
+    assert got["a"].learned > 0.8 > 0.3 > got["c"].learned and got["a"].calibrated > got["c"].calibrated and got["a"].final == pytest.approx(0.6 * got["a"].learned + 0.36, abs=1e-5) and len(got["a"].strongest) == 4
+    plain = {r.a_record_id: r for r in ml.rerank(p, None).collect()}
+    assert plain["c"].final == plain["c"].learned == 0.5 and plain["c"].strongest == []
+
+
 def test_formats(spark, tmp_path):
     point = {"type": "Point", "coordinates": [74.5, 11.5]}
     fc = {"type": "FeatureCollection", "features": [{"type": "Feature", "geometry": point, "properties": {"Ward": 4, "capture_date": "2020-01-02"}}, {"type": "Feature", "geometry": None, "properties": None}]}
@@ -177,6 +210,11 @@ def test_packages(spark):
         assert z.read("parcel_p/decision.json") == b'{"a":1}'
     assert q.name == "q.zip" and q.manifest_hash != p.manifest_hash
     f = sinks.geojson_features(spark.createDataFrame([("b", None, 1), ("a", '{"type":"Point","coordinates":[1,2]}', 2), ("c", "{", 3)], "id string, geometry string, n int"), "id", "geometry", ("n",))
+    first = sinks.items(f, "id", "http://x", "parcels", 0, 2)
+    assert first["numberMatched"] == 3 and first["numberReturned"] == 2 and [x["rel"] for x in first["links"]] == ["self", "next"] and first["links"][1]["href"].endswith("items?offset=2&limit=2")
+    last = sinks.items(f, "id", "http://x", "parcels", 2, 2)
+    assert [x["id"] for x in last["features"]] == ["c"] and [x["rel"] for x in last["links"]] == ["self", "prev"] and sinks.item(f, "id", "a")["properties"] == {"n": 2} and sinks.item(f, "id", "z") is None
+    assert {c["id"] for c in sinks.collections("http://x")} == set(sinks.COLLECTIONS)
     doc = json.loads(sinks.feature_collection(f, "id", 2))
     assert [x["id"] for x in doc["features"]] == ["a", "b"] and doc["features"][0]["geometry"]["coordinates"] == [1, 2]
 
