@@ -4,8 +4,8 @@ Near: both sides are hashed to cells a little wider than the distance; the obser
 to the neighbouring cells, so that one equi-join finds every pair, and the great-circle distance
 decides. Within: areas are cut into triangles by ear clipping, triangles are copied to the cells of
 a coarse grid that their boxes meet, and each cell's triangles form a bounding-volume hierarchy
-through which the cell's points descend all at once; a candidate is tested exactly against its
-polygon, and an area that two of its triangles or boundaries report counts once. A cell with many
+through which the cell's points descend all at once; candidates are tested exactly against the
+edges of their polygon in the cell's band of latitude, and an area that two of its triangles or boundaries report counts once. A cell with many
 points is salted: its points are spread over parts and its other side is copied to each, by a
 table of cell counts.
 """
@@ -20,10 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave.functions import geojson, triangles
+from landweave.functions.columns import salted
+from landweave.session import Stage
 
 EARTH_M = 6_371_008.8
 #: Rows of one side of a cell that a task takes; a fuller cell is salted.
 CELL_ROWS = 20_000
+#: Points that one exact test holds against an area's edges at once.
+TEST_POINTS = 4096
 
 
 def right_way(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -60,25 +64,6 @@ def great_circle_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Co
     return F.asin(F.sqrt(F.least(F.lit(1.0), h))) * (2 * EARTH_M)
 
 
-def _salted(points: DataFrame, other: DataFrame, cell: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides with ``salt_p`` and ``salt_o``: rows of full cells are spread over parts, and each part meets
-    every part of the other side once."""
-
-    def parts(df: DataFrame, name: str) -> DataFrame:
-        full = df.groupBy(*cell).agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name))
-        return full.where(F.col(name) > 1)
-
-    def spread(df: DataFrame, own: str, key: str, far: str) -> DataFrame:
-        return df.withColumn(f"salt_{own}", F.pmod(F.xxhash64(key), F.coalesce(f"n_{own}", F.lit(1))).cast("int")).withColumn(
-            f"salt_{far}", F.explode(F.sequence(F.lit(0), F.coalesce(f"n_{far}", F.lit(1)) - 1))
-        ).drop("n_p", "n_o")
-
-    n_p, n_o = parts(points, "n_p"), parts(other, "n_o")
-    p = points.join(n_p, cell, "left").join(n_o, cell, "left")
-    o = other.join(n_p, cell, "left").join(n_o, cell, "left")
-    return spread(p, "p", "id", "o"), spread(o, "o", "key", "p")
-
-
 def near(marks: DataFrame, points: DataFrame, metres: float) -> DataFrame:
     """(id, key, distance_m) of marks (id, lon, lat) and points (key, lon, lat) at most ``metres`` apart.
 
@@ -93,9 +78,9 @@ def near(marks: DataFrame, points: DataFrame, metres: float) -> DataFrame:
         "key", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), cx.alias("px"), cy.alias("py")
     )
     p = p.withColumn("cx", F.explode(F.sequence(F.col("px") - 1, F.col("px") + 1))).withColumn("cy", F.explode(F.sequence(F.col("py") - 1, F.col("py") + 1))).drop("px", "py")
-    m, p = _salted(m, p, ["cx", "cy"])
+    m, p = salted(m, p, ["cx", "cy"], "id", "key", CELL_ROWS)
     d = great_circle_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2"))
-    return m.join(p, ["cx", "cy", "salt_p", "salt_o"]).withColumn("distance_m", d).where(F.col("distance_m") <= metres).select("id", "key", "distance_m")
+    return m.join(p, ["cx", "cy", "salt_l", "salt_r"]).withColumn("distance_m", d).where(F.col("distance_m") <= metres).select("id", "key", "distance_m")
 
 
 def _cut(step: float):
@@ -105,45 +90,60 @@ def _cut(step: float):
             for key, area in zip(df["key"], df["area"]):
                 polygons = [[[tuple(p) for p in r] for r in poly] for poly in area]
                 cells: dict[tuple[int, int], list[float]] = {}
-                for poly in polygons:
+                bands: dict[int, list[float]] = {}
+                for k, poly in enumerate(polygons):
                     for t in triangles.triangulate(poly):
                         xs, ys = [p[0] for p in t], [p[1] for p in t]
                         flat = [v for p in t for v in p]
                         for i in range(int(np.floor(min(xs) / step)), int(np.floor(max(xs) / step)) + 1):
                             for j in range(int(np.floor(min(ys) / step)), int(np.floor(max(ys) / step)) + 1):
                                 cells.setdefault((i, j), []).extend(flat)
-                rows += [(key, i, j, flat, area) for (i, j), flat in cells.items()]
-            yield pd.DataFrame(rows, columns=["key", "cx", "cy", "flat", "area"])
+                    for ring in poly:
+                        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+                            for j in range(int(np.floor(min(y1, y2) / step)), int(np.floor(max(y1, y2) / step)) + 1):
+                                bands.setdefault(j, []).extend((k, x1, y1, x2, y2))
+                # The even-odd test of a cell's points needs the edges of its band of latitude only, however many cells the area has.
+                rows += [(key, i, j, flat, bands.get(j, [])) for (i, j), flat in cells.items()]
+            yield pd.DataFrame(rows, columns=["key", "cx", "cy", "flat", "edges"])
 
     return run
 
 
 def _descend(points: pd.DataFrame, areas: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one cell: points through the hierarchy of the cell's triangles, then the exact test."""
+    """Pairs of one cell: points through the hierarchy of the cell's triangles, then the exact test, an area at a time."""
+    none = pd.DataFrame({"id": pd.Series(dtype="int64"), "key": pd.Series(dtype="int64")})
     if not len(points) or not len(areas):
-        return pd.DataFrame({"id": pd.Series(dtype="int64"), "key": pd.Series(dtype="int64")})
+        return none
     tri = [np.asarray(f, dtype=float).reshape(-1, 3, 2) for f in areas["flat"]]
     owner = np.repeat(np.arange(len(tri)), [len(t) for t in tri])
     xy = points[["lon", "lat"]].to_numpy(float)
     p, t = triangles.Hierarchy(np.concatenate(tri)).hits(xy)
-    pairs = np.unique(np.stack([p, owner[t]], axis=1), axis=0)
-    rings = [[[[tuple(q) for q in r] for r in poly] for poly in a] for a in areas["area"]]
-    keep = np.array([triangles.inside(rings[a], *xy[i]) for i, a in pairs], dtype=bool) if len(pairs) else np.zeros(0, dtype=bool)
+    pairs = np.unique(np.stack([owner[t], p], axis=1), axis=0)
+    if not len(pairs):
+        return none
+    keep = np.zeros(len(pairs), dtype=bool)
+    starts = np.flatnonzero(np.r_[True, pairs[1:, 0] != pairs[:-1, 0]])
+    for s, e in zip(starts, np.r_[starts[1:], len(pairs)]):
+        edges = np.asarray(areas["edges"].iloc[pairs[s, 0]], dtype=float).reshape(-1, 5)
+        for at in range(s, e, TEST_POINTS):
+            upto = min(e, at + TEST_POINTS)
+            keep[at:upto] = triangles.inside_many(edges, xy[pairs[at:upto, 1]])
     pairs = pairs[keep]
-    return pd.DataFrame({"id": points["id"].to_numpy()[pairs[:, 0]], "key": areas["key"].to_numpy()[pairs[:, 1]]})
+    return pd.DataFrame({"id": points["id"].to_numpy()[pairs[:, 1]], "key": areas["key"].to_numpy()[pairs[:, 0]]})
 
 
-def within(marks: DataFrame, areas: DataFrame, cell_degrees: float = 0.002) -> DataFrame:
+def within(marks: DataFrame, areas: DataFrame, cell_degrees: float = 0.01) -> DataFrame:
     """(id, key) of marks (id, lon, lat) and the areas (key, area) that contain them, holes excluded.
 
     A mark on an outer boundary is inside; one that two areas share belongs to both, once each.
     """
     t = areas.where(F.col("area").isNotNull()).select("key", "area").mapInPandas(
-        _cut(cell_degrees), "key bigint, cx bigint, cy bigint, flat array<double>, area array<array<array<array<double>>>>"
+        _cut(cell_degrees), "key bigint, cx bigint, cy bigint, flat array<double>, edges array<double>"
     )
+    t = Stage(areas.sparkSession).write(t)  # its cells are counted first, and triangles aren't cut twice for that
     m = marks.where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(
         "id", "lon", "lat", F.floor(F.col("lon") / cell_degrees).alias("cx"), F.floor(F.col("lat") / cell_degrees).alias("cy")
     )
-    m, t = _salted(m, t, ["cx", "cy"])
-    on = ["cx", "cy", "salt_p", "salt_o"]
+    m, t = salted(m, t, ["cx", "cy"], "id", "key", CELL_ROWS)
+    on = ["cx", "cy", "salt_l", "salt_r"]
     return m.groupBy(*on).cogroup(t.groupBy(*on)).applyInPandas(_descend, "id bigint, key bigint")

@@ -177,6 +177,20 @@ def test_schema_changes(spark):
     assert schema_drift.changes(deliveries(spark, {})).count() == 0
 
 
+def test_drifting_fields_have_typed_values(spark):
+    good = {"B": True, "L": [1, "x"], "O": {"x": 1}, "D": "2020-01-02", "N": 5, "T": "text"}
+    bad = {"B": "maybe", "L": "oops", "O": "oops", "D": "soon", "N": "five", "T": "7"}
+    feeds = {("h", 1): [*[(f"a{i}", good) for i in range(3)], ("b", bad), ("c", {"B": None}), ("d", "{"), ("e", {}), ("n", None), ("y", {"B": "No", "N": " 6 "})], ("h", 2): [("a0", {**good, "B": False})]}
+    got = {(r.delivery_no, r.record_id): r for r in schema_drift.consistent(deliveries(spark, feeds)).collect()}
+    assert set(got) == {(1, "a0"), (1, "a1"), (1, "a2"), (1, "b"), (1, "c"), (1, "e"), (1, "y"), (2, "a0")}
+    a = got[1, "a0"]
+    assert a.numbers == {"N": 5.0} and a.booleans == {"B": True} and a.arrays == {"L": ["1", "x"]} and json.loads(a.objects["O"]) == {"x": "1"} and str(a.days["D"]) == "2020-01-02" and a.attributes["T"] == "text" and a.failed == []
+    b = got[1, "b"]
+    assert b.failed == ["B", "L", "N", "O"] and b.numbers == b.booleans == b.arrays == b.objects == b.days == {} and b.attributes["N"] == "five"
+    assert got[1, "c"].attributes == {} == got[1, "e"].attributes and got[1, "c"].failed == [] and got[1, "y"].booleans == {"B": False} and got[1, "y"].numbers == {"N": 6.0} and got[2, "a0"].booleans == {"B": False}
+    assert schema_drift.consistent(deliveries(spark, {})).count() == 0
+
+
 def test_points_near_and_within(spark):
     rng = random.Random(2)
     marks = [(i, 74 + rng.random() * 0.002, 11 + rng.random() * 0.002) for i in range(400)] + [(999, None, None)]
