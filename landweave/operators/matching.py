@@ -22,6 +22,8 @@ from landweave.session import Stage
 #: Rows of one side of a cell that a task takes; a fuller cell is salted.
 CELL_ROWS = 20_000
 BOUNDS = ("minx", "miny", "maxx", "maxy")
+#: Fewer metres than any degree has here.
+METRES_LEAST = 100_000
 
 
 def candidates(records: DataFrame, cfg: Config = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -47,6 +49,75 @@ def candidates(records: DataFrame, cfg: Config = DEFAULT, carry: tuple[str, ...]
     return a.join(b, ["case_id", "cx", "cy", "salt_l", "salt_r"]).where(meet & home).drop("cx", "cy", "salt_l", "salt_r")
 
 
+def _reach(cfg: Config) -> float:
+    """Degrees by which boxes may lie apart where no identifier is alike and the outlines can still be enough; at most the buffer."""
+    least = (cfg.match_at - 0.0002 - cfg.weight_attribute - cfg.weight_temporal * 0.9 - cfg.weight_provenance) / cfg.weight_geometry
+    # Apart, the shared area is none: 0.3 by the distance, 0.2 by equal areas and 0.1 by equal centres are left of ``geometry_score``.
+    return min(cfg.buffer_deg, max(0.0, 500 * (2 - least / 0.3)) / METRES_LEAST + 1e-9)
+
+
+def _meeting(a: DataFrame, b: DataFrame, reach: float, size: float) -> DataFrame:
+    """(a_id, b_id) of two lists of boxes of a case, at most ``reach`` apart, over cells of ``size``."""
+    cell = lambda c: F.floor(c / size).cast("long")
+    spread = lambda d, p, by: d.withColumn("cx", F.explode(F.sequence(cell(F.col(f"{p}minx") - by), cell(F.col(f"{p}maxx") + by)))).withColumn("cy", F.explode(F.sequence(cell(F.col(f"{p}miny") - by), cell(F.col(f"{p}maxy") + by))))
+    sides = [d.select("case_id", *[F.col(n).alias(p + n) for n in ("id", "seq", *BOUNDS)]) for d, p in ((a, "a_"), (b, "b_"))]
+    l, r = salted(spread(sides[0], "a_", reach), spread(sides[1], "b_", 0.0), ["case_id", "cx", "cy"], "a_id", "b_id", CELL_ROWS)
+    return l.join(r, ["case_id", "cx", "cy", "salt_l", "salt_r"]).where(_near(reach)).select("a_id", "a_seq", "b_id", "b_seq")
+
+
+def _near(reach: float) -> Column:
+    c = F.col
+    return (c("a_minx") - reach <= c("b_maxx")) & (c("b_minx") <= c("a_maxx") + reach) & (c("a_miny") - reach <= c("b_maxy")) & (c("b_miny") <= c("a_maxy") + reach) & (c("a_seq") != c("b_seq"))
+
+
+def _alike(records: DataFrame, names: list[str], buffer: float) -> DataFrame:
+    """(a_id, b_id) of records of a case at most ``buffer`` apart of which an identifier of one is that of the other or part of it.
+
+    The parts of each identifier, of the lengths that identifiers have, are joined with whole ones.
+    """
+    size = 4 * buffer
+    cell = lambda c: F.floor(c / size).cast("long")
+    # Without letters and figures, the text itself, marked by a sign that no other key has.
+    key = lambda n: F.coalesce(F.col(f"id_{n}"), F.when(F.col(n) != "", F.concat(F.lit("="), F.trim(n))))
+    keys = records.select("case_id", "id", "seq", *BOUNDS, F.inline(F.array(*[F.struct(F.lit(n).alias("name"), key(n).alias("key")) for n in names]))).where("key IS NOT NULL")
+    keys = Stage(records.sparkSession).write(keys)
+    lengths = sorted(r[0] for r in keys.where(~F.col("key").startswith("=")).select(F.length("key")).distinct().collect())
+    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("key"))
+    parts = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substr(F.col("key"), i, n)))))
+    sides = [keys.select("case_id", "name", "key", *[F.col(n).alias(p + n) for n in ("id", "seq", *BOUNDS)]) for p in ("a_", "b_")]
+    b = sides[1].withColumn("key", F.explode(F.when(F.col("key").startswith("="), F.array("key")).otherwise(parts)))
+    a, b = (
+        d.withColumn("cx", F.explode(F.sequence(cell(F.col(f"{p}minx") - by), cell(F.col(f"{p}maxx") + by)))).withColumn("cy", F.explode(F.sequence(cell(F.col(f"{p}miny") - by), cell(F.col(f"{p}maxy") + by))))
+        for d, p, by in ((sides[0], "a_", buffer), (b, "b_", 0.0))
+    )
+    return a.join(b, ["case_id", "name", "key", "cx", "cy"]).where(_near(buffer)).select("a_id", "a_seq", "b_id", "b_seq")
+
+
+def likely(records: DataFrame, names: list[str], cfg: Config = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Those of ``candidates`` that can match: boxes that all but meet, or identifiers alike; the same columns.
+
+    ``records`` has unique record ids, deg2 and, for each of ``names``, the letters and figures of the
+    identifier as ``id_*``. The rest of a pair's score, whole, and the geometry of boxes that lie apart
+    don't reach the threshold without an identifier. Two records without area are candidates anyway.
+    """
+    cols = ["record_id", "seq", *BOUNDS, *carry]
+    buffer = max(cfg.buffer_deg, 1e-6)
+    r = records.withColumn("id", F.col("record_id"))
+    slim = r.select("case_id", "id", "seq", *BOUNDS, F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")).alias("_size"), (F.coalesce("deg2", F.lit(0.0)) == 0).alias("_flat"))
+    slim = Stage(records.sparkSession).write(slim)
+    reach, wide = _reach(cfg), buffer / 2
+    small, large, flat = slim.where(F.col("_size") <= wide), slim.where(F.col("_size") > wide), slim.where("_flat")
+    found = _meeting(small, small, reach, buffer / 10).unionByName(_meeting(large, slim, reach, buffer)).unionByName(_meeting(flat, flat, buffer, buffer))
+    if names:
+        found = found.unionByName(_alike(r, names, buffer + 1e-9))
+    first = F.col("a_seq") < F.col("b_seq")
+    pairs = found.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("a_record_id"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("b_record_id")).distinct()
+    a, b = (records.select(*(["case_id"] if p == "a_" else []), *[F.col(c).alias(p + c) for c in cols]) for p in ("a_", "b_"))
+    c = F.col
+    meet = (c("a_minx") - buffer <= c("b_maxx")) & (c("b_minx") <= c("a_maxx") + buffer) & (c("a_miny") - buffer <= c("b_maxy")) & (c("b_miny") <= c("a_maxy") + buffer)
+    return pairs.join(a, "a_record_id").join(b, "b_record_id").where(meet)
+
+
 def near_boxes(records: DataFrame, probes: DataFrame, metres: float) -> DataFrame:
     """(probe_id, record_id): records of the case whose box meets a probe's box widened by ``metres``."""
     d = metres / 111_000.0
@@ -125,7 +196,7 @@ def _geometry_bound(cfg: Config) -> Column:
     small, large = F.least("a_deg2", "b_deg2"), F.greatest("a_deg2", "b_deg2")
     iou = F.coalesce(F.least(if_boxes, small) / F.nullif(large, F.lit(0.0)), F.lit(1.0))
     # The outline that reaches farther has a corner at least as far from the other.
-    apart = F.greatest(*[F.abs(c(f"a_{n}") - c(f"b_{n}")) for n in BOUNDS]) * 100_000  # fewer metres than any degree has here
+    apart = F.greatest(*[F.abs(c(f"a_{n}") - c(f"b_{n}")) for n in BOUNDS]) * METRES_LEAST
     area = F.coalesce(1 - small / F.nullif(large, F.lit(0.0)), F.lit(0.0))
     return geometry_score(iou, apart, area, F.lit(0.0))
 
@@ -144,7 +215,7 @@ def scored(records: DataFrame, cfg: Config = DEFAULT, lineage_pairs: DataFrame |
     carry = ["source_type", "land_use", "capture_date", "_land", "_ward", *ids, *[f"id_{n}" for n in ids], *[n for n in ("owner_reference", "geometry", "deg2") if have(n)]]
     if lineage_pairs is not None:
         carry.append("provenance_node_id")
-    p = candidates(r, cfg, tuple(carry))
+    p = likely(r, ids, cfg, tuple(carry)) if matches_only and have("deg2") else candidates(r, cfg, tuple(carry))
     c = F.col
     owners = have("owner_reference")
     known_owners = (F.coalesce(F.trim("a_owner_reference"), F.lit("")) != "") & (F.coalesce(F.trim("b_owner_reference"), F.lit("")) != "") if owners else F.lit(False)
@@ -154,15 +225,20 @@ def scored(records: DataFrame, cfg: Config = DEFAULT, lineage_pairs: DataFrame |
         score_temporal=temporal_score(c("a_capture_date"), c("b_capture_date"), cfg), _attribute=attribute_score(best, c("a__land"), c("b__land"), c("a__ward"), c("b__ward")),
     )
     p = p.withColumn("land_use_match", F.coalesce(c("a__land") == c("b__land"), F.lit(False))).withColumn("ward_match", F.coalesce(c("a__ward") == c("b__ward"), F.lit(False)))
-    rest = cfg.weight_identifier * c("score_identifier") + cfg.weight_attribute * c("_attribute") + cfg.weight_temporal * c("score_temporal") + cfg.weight_provenance * (1.0 if lineage_pairs is not None else 0.5)
+    # Lineages are unknown, and count a half, unless both records name a node.
+    told = F.when(c("a_provenance_node_id").isNotNull() & c("b_provenance_node_id").isNotNull(), 1.0).otherwise(0.5) if lineage_pairs is not None else F.lit(0.5)
+    rest = cfg.weight_identifier * c("score_identifier") + cfg.weight_attribute * c("_attribute") + cfg.weight_temporal * c("score_temporal") + cfg.weight_provenance * told
     if matches_only:
         bound = _geometry_bound(cfg) if have("deg2") else geometry_score(
             F.when((c("a_minx") <= c("b_maxx")) & (c("b_minx") <= c("a_maxx")) & (c("a_miny") <= c("b_maxy")) & (c("b_miny") <= c("a_maxy")), 1.0).otherwise(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
-        p = p.where(cfg.weight_geometry * bound + rest >= cfg.match_at - 0.0002)
-    p = measured(p)
+        enough = cfg.weight_geometry * bound + rest >= cfg.match_at - 0.0002
+        p = p.where(enough)
     if owners:
         p = p.withColumn("owner_similarity", F.when(known_owners, token_set_ratio_col(c("a_owner_reference"), c("b_owner_reference")) / 100))
         p = step(p, _attribute2=attribute_score(c("owner_similarity"), c("a__land"), c("b__land"), c("a__ward"), c("b__ward"))).drop("_attribute").withColumnRenamed("_attribute2", "_attribute")
+        if matches_only:
+            p = p.where(enough)  # once more with the owners' likeness, before outlines are compared
+    p = measured(p)
     if lineage_pairs is not None:
         p = p.withColumnsRenamed({"a_provenance_node_id": "a_node", "b_provenance_node_id": "b_node"})
         p = lineage.pair_independence(Stage(p.sparkSession).write(p), lineage_pairs)

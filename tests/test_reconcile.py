@@ -147,6 +147,30 @@ def test_scores_over_outlines_with_all_five_signals(spark):
     assert matching.scored(r.limit(0), lineage_pairs=pairs).count() == 0
 
 
+def test_only_pairs_that_can_match_are_compared(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(7)
+    refs = [None, "", " ", "na", "NA", "12", "112/3", "K-1123", "k 1123", "१२", " १२ ", "z"]
+    rows = []
+    for i in range(240):
+        x, y = 74 + rnd.randrange(24) * 1e-3 + rnd.random() * 1e-4, 11 + rnd.randrange(24) * 1e-3 + rnd.random() * 1e-4
+        w = 0.0 if i % 12 == 0 else 0.03 if i % 40 == 1 else 4e-4 + rnd.random() * 1e-4
+        g = json.dumps({"type": "Point", "coordinates": [x, y]}) if w == 0 else box(x, y, w, w)
+        rows.append((f"c{i % 2}", f"r{i:03d}", (i * 97) % 240, "D", "CADASTRAL", x, y, x + w, y + w, rnd.choice(refs), None, rnd.choice(refs), rnd.choice(["Res", None]), rnd.choice(["4", "5", None]), rnd.choice(["Asha Rao", "Bob Li", None]), None, g, w * w, rnd.choice(["n1", "n2", None])))
+    r = spark.createDataFrame(rows, RECORDS).cache()
+    pairs = lineage.origin_pairs(spark.createDataFrame([("O1", "origin", [], "c", ""), ("O2", "origin", [], "c", ""), ("n1", "record", ["O1"], "c", ""), ("n2", "record", ["O2"], "c", "")], NODES))
+    want = {(x.a_record_id, x.b_record_id): (x.overall, x.lineages, x.owner_similarity) for x in matching.scored(r, lineage_pairs=pairs).where("is_match").collect()}
+    compared = []
+    real = matching.measured
+    monkeypatch.setattr(matching, "measured", lambda p, *a: compared.append(p.count()) or real(p, *a))
+    got = {(x.a_record_id, x.b_record_id): (x.overall, x.lineages, x.owner_similarity) for x in matching.scored(r, lineage_pairs=pairs, matches_only=True).collect()}
+    assert got == want and len(want) > 20
+    ids = r.select("*", *[F.nullif(F.regexp_replace(F.lower(n), "[^a-z0-9]", ""), F.lit("")).alias(f"id_{n}") for n in matching.IDENTIFIERS])
+    looked, near = matching.likely(ids, list(matching.IDENTIFIERS)).count(), matching.candidates(r).count()
+    assert looked < near / 2 and compared[0] < near / 5, (looked, compared, near)
+
+
 def test_full_cells_of_candidates_are_salted(spark, monkeypatch):
     rows = [("c", f"r{i:02d}", i, "D", "CADASTRAL", 74.0, 11.0, 74.0001, 11.0001) for i in range(30)] + [(None, "n", 99, "D", None, None, None, None, None)]
     r = spark.createDataFrame(rows, RECORDS[: RECORDS.index(", parcel_reference")])
