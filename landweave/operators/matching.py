@@ -90,7 +90,8 @@ def _alike(records: DataFrame, names: list[str], buffer: float) -> DataFrame:
         d.withColumn("cx", F.explode(F.sequence(cell(F.col(f"{p}minx") - by), cell(F.col(f"{p}maxx") + by)))).withColumn("cy", F.explode(F.sequence(cell(F.col(f"{p}miny") - by), cell(F.col(f"{p}maxy") + by))))
         for d, p, by in ((sides[0], "a_", buffer), (b, "b_", 0.0))
     )
-    return a.join(b, ["case_id", "name", "key", "cx", "cy"]).where(_near(buffer)).select("a_id", "a_seq", "b_id", "b_seq")
+    # Sizes are estimated before the parts and cells are made, so no broadcast.
+    return a.hint("merge").join(b, ["case_id", "name", "key", "cx", "cy"]).where(_near(buffer)).select("a_id", "a_seq", "b_id", "b_seq")
 
 
 def likely(records: DataFrame, names: list[str], cfg: Config = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -128,7 +129,10 @@ def near_boxes(records: DataFrame, probes: DataFrame, metres: float) -> DataFram
     p = p.withColumn("cx", cells(F.col("p_minx") - d, F.col("p_maxx") + d)).withColumn("cy", cells(F.col("p_miny") - d, F.col("p_maxy") + d))
     r = r.withColumn("cx", cells(F.col("minx"), F.col("maxx"))).withColumn("cy", cells(F.col("miny"), F.col("maxy")))
     meet = (F.col("p_minx") - d <= F.col("maxx")) & (F.col("minx") <= F.col("p_maxx") + d) & (F.col("p_miny") - d <= F.col("maxy")) & (F.col("miny") <= F.col("p_maxy") + d)
-    return p.join(r, ["case_id", "cx", "cy"]).where(meet & (F.col("probe_id") != F.col("record_id"))).select("probe_id", "record_id").distinct()
+    # Of the cells that both meet, that of the lower corner of what they share.
+    home = (F.col("cx") == F.floor(F.greatest(F.col("p_minx") - d, "minx") / step)) & (F.col("cy") == F.floor(F.greatest(F.col("p_miny") - d, "miny") / step))
+    # Sizes are estimated before boxes are copied to their cells, so a broadcast would take many times what it seems to.
+    return p.hint("merge").join(r, ["case_id", "cx", "cy"]).where(meet & home & (F.col("probe_id") != F.col("record_id"))).select("probe_id", "record_id").distinct()
 
 
 def geometry_score(iou: Column, hausdorff_m: Column, area_diff: Column, centroid_m: Column) -> Column:

@@ -171,6 +171,16 @@ def test_only_pairs_that_can_match_are_compared(spark, monkeypatch):
     assert looked < near / 2 and compared[0] < near / 5, (looked, compared, near)
 
 
+def test_boxes_near_probes_are_never_broadcast(spark):
+    rows = [("c", f"r{i}", 74 + i % 7 * 4e-3, 11 + i // 7 * 4e-3, 74 + i % 7 * 4e-3 + (0.02 if i == 3 else 5e-4), 11 + i // 7 * 4e-3 + 5e-4) for i in range(42)]
+    r = spark.createDataFrame(rows + rows[:3], "case_id string, record_id string, minx double, miny double, maxx double, maxy double")
+    near = matching.near_boxes(r, r.where("record_id IN ('r3', 'r20', 'r41')"), 900.0)
+    d = 900 / 111_000
+    want = {(p[1], q[1]) for p in rows if p[1] in ("r3", "r20", "r41") for q in rows if p[1] != q[1] and p[2] - d <= q[4] and q[2] <= p[4] + d and p[3] - d <= q[5] and q[3] <= p[5] + d}
+    got = [tuple(x) for x in near.collect()]
+    assert sorted(got) == sorted(want) and "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_full_cells_of_candidates_are_salted(spark, monkeypatch):
     rows = [("c", f"r{i:02d}", i, "D", "CADASTRAL", 74.0, 11.0, 74.0001, 11.0001) for i in range(30)] + [(None, "n", 99, "D", None, None, None, None, None)]
     r = spark.createDataFrame(rows, RECORDS[: RECORDS.index(", parcel_reference")])
