@@ -15,19 +15,22 @@ from landweave.session import Stage
 FIELDS = ("parcel_reference", "ulpin", "survey_number", "owner_reference", "land_use", "ward")
 
 
-def ingested(rows: DataFrame, cfg: Config = DEFAULT, reproject: bool = False) -> DataFrame:
+def ingested(rows: DataFrame, cfg: Config = DEFAULT, reproject: bool = False, beside: DataFrame | None = None) -> DataFrame:
     """Delivered rows with checks, canonical attributes and ``reject`` (null for those taken).
 
     ``rows`` has ingest_seq (unique), record_id, source_type, dataset_id, case_id, geometry,
-    source_crs, attributes, captured (a date or null) and provenance_node_id. Rejected rows keep their
+    source_crs, attributes and provenance_node_id; other columns, as captured (a date or null), pass through. ``beside`` has more of them, by ingest_seq. Rejected rows keep their
     reason and nothing else is derived from them. An empty table gives no rows.
     """
     c = F.col
     names = [f.split()[0] for f in ingest.CHECKED.split(", ")]
-    r = rows.withColumnRenamed("geometry", "_raw").select("*", F.inline(F.array(ingest.checked(c("_raw"), c("attributes"), c("source_crs"), reproject)))).drop("_raw")
+    # Attributes are read several times, so they come before the checks: rows behind a generator are not pruned, and each reading would check all outlines again.
+    r = ingest.canonical(rows, "ingest_seq", "attributes", cfg.fuzzy_field_at)
+    if beside is not None:
+        r = r.join(beside, "ingest_seq", "left")  # before the checks, after which the layout by ingest_seq isn't known
+    r = r.withColumnRenamed("geometry", "_raw").select("*", F.inline(F.array(ingest.checked(c("_raw"), c("attributes"), c("source_crs"), reproject)))).drop("_raw")
     assert set(names) <= set(r.columns)
     r = r.withColumn("reject", ingest.reject_reason())
-    r = ingest.canonical(r, "ingest_seq", "attributes", cfg.fuzzy_field_at)
     return r.select("*", *[F.element_at("canonical", f).alias(f) for f in FIELDS])
 
 

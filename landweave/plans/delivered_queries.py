@@ -17,12 +17,14 @@ def _once(spark: SparkSession, folder: str, key: str, make) -> DataFrame:  # noq
 
 def _ingested(spark: SparkSession, folder: str) -> DataFrame:
     def make() -> DataFrame:
-        r = table(spark, folder, "source_record").withColumnRenamed("source_dataset_id", "dataset_id")
+        # A small file is one task otherwise, and what follows works on each row.
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        r = table(spark, folder, "source_record").withColumnRenamed("source_dataset_id", "dataset_id").repartition(parts, "ingest_seq")
         dated = timestamps.with_office(r.select("ingest_seq", "dataset_id", F.col("capture_timestamp").alias("value")), "dataset_id", table(spark, folder, "dataset_profile"), table(spark, folder, "survey_office"))
         days = timestamps.instants(dated, "value").select("ingest_seq", F.to_date(F.timestamp_micros("instant_us")).alias("captured"))
         # Years before 1800 and times to come are no times of capture.
         days = days.withColumn("captured", F.when(F.year("captured").between(1800, F.year(F.current_date())), F.col("captured")))
-        return pipeline.ingested(r.join(days, "ingest_seq", "left"))
+        return pipeline.ingested(r, beside=days)
 
     return _once(spark, folder, "ingested", make)
 

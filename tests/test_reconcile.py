@@ -235,6 +235,15 @@ def test_ingest(spark):
     assert pipeline.ingested(df.limit(0)).count() == 0
 
 
+def test_outlines_are_checked_once_and_not_moved_afterwards(spark):
+    rows = [(i, f"r{i}", "CADASTRAL", "D", "c", box(74, 11, 1e-3, 1e-3), None, json.dumps({"Khasra_No": str(i), "Pattadar": "Rao"}), None, None, "z") for i in range(6)]
+    days = spark.createDataFrame([(1, "2020-01-02"), (9, "2021-01-02")], "ingest_seq bigint, day string")
+    df = pipeline.ingested(spark.createDataFrame(rows, ROWS).repartition(3, "ingest_seq"), beside=days)
+    assert {r.ingest_seq: (r.day, r.owner_reference) for r in df.collect()} == {i: ("2020-01-02" if i == 1 else None, "Rao") for i in range(6)}
+    # Once for the rows themselves, and not again for their properties' names.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython [run(_raw") == 1
+
+
 def test_inverse_projections():
     # The northing of latitude 18 on the central meridian, by the meridian arc of the ellipsoid.
     e2 = projections.FLATTENING * (2 - projections.FLATTENING)
