@@ -28,7 +28,9 @@ def origin_pairs(nodes: DataFrame) -> DataFrame:
     )
     named = cut.select(F.explode("parent_ids").alias("p")).select(hierarchy.key(F.col("p")).alias("node_id")).where("node_id <> ''").distinct()
     missing = named.join(is_origin, "node_id", "left_anti").select("node_id", F.lit(None).cast("array<string>").alias("parent_ids"), F.lit("").alias("case_id"))
-    found = hierarchy.roots(cut.select("node_id", "parent_ids", "case_id").unionByName(missing))
+    # Read for the nodes and for the edges, so written.
+    rows = Stage(nodes.sparkSession).write(cut.select("node_id", "parent_ids", "case_id").unionByName(missing))
+    found = hierarchy.roots(rows)
     told = found.join(is_origin.withColumnRenamed("node_id", "root_id"), "root_id", "left").join(is_origin.select("node_id"), "node_id", "left_semi")
     told = Stage(nodes.sparkSession).write(told.select("node_id", "root_id", F.coalesce("o", F.lit(0)).alias("o")))
     unsound = told.where("o = 0").select("node_id").distinct()

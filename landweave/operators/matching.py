@@ -6,8 +6,10 @@ attributes; ``seq`` is the order of arrival, on which pair orientation and ties
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from landweave.session import Stage
 
 #: Rows of one side of a cell that a task takes; a fuller cell is salted.
 CELL_ROWS = 20_000
+#: Shapes of identifiers, of all names together, by which parts are chosen; with more of them, by length only.
+SHAPES = 2_000
 BOUNDS = ("minx", "miny", "maxx", "maxy")
 #: Fewer metres than any degree has here.
 METRES_LEAST = 100_000
@@ -56,13 +60,17 @@ def _reach(cfg: Config) -> float:
     return min(cfg.buffer_deg, max(0.0, 500 * (2 - least / 0.3)) / METRES_LEAST + 1e-9)
 
 
-def _meeting(a: DataFrame, b: DataFrame, reach: float, size: float) -> DataFrame:
-    """(a_id, b_id) of two lists of boxes of a case, at most ``reach`` apart, over cells of ``size``."""
+def _meeting(a: DataFrame, b: DataFrame, reach: float, size: float, enough: Column | None = None, brief: tuple[str, ...] = ()) -> DataFrame:
+    """(a_id, b_id) of two lists of boxes of a case, at most ``reach`` apart, over cells of ``size``; of one list with itself, by ``seq``.
+
+    With ``enough``, a condition on the columns ``brief`` and the boxes of both, pairs that don't meet it are left out where they are found.
+    """
     cell = lambda c: F.floor(c / size).cast("long")
     spread = lambda d, p, by: d.withColumn("cx", F.explode(F.sequence(cell(F.col(f"{p}minx") - by), cell(F.col(f"{p}maxx") + by)))).withColumn("cy", F.explode(F.sequence(cell(F.col(f"{p}miny") - by), cell(F.col(f"{p}maxy") + by))))
-    sides = [d.select("case_id", *[F.col(n).alias(p + n) for n in ("id", "seq", *BOUNDS)]) for d, p in ((a, "a_"), (b, "b_"))]
+    sides = [d.select("case_id", *[F.col(n).alias(p + n) for n in ("id", "seq", *BOUNDS, *brief)]) for d, p in ((a, "a_"), (b, "b_"))]
+    met = _near(reach) & ((F.col("a_seq") < F.col("b_seq")) if a is b else F.lit(True))
     l, r = salted(spread(sides[0], "a_", reach), spread(sides[1], "b_", 0.0), ["case_id", "cx", "cy"], "a_id", "b_id", CELL_ROWS)
-    return l.join(r, ["case_id", "cx", "cy", "salt_l", "salt_r"]).where(_near(reach)).select("a_id", "a_seq", "b_id", "b_seq")
+    return l.join(r, ["case_id", "cx", "cy", "salt_l", "salt_r"]).where(met if enough is None else met & enough).select("a_id", "a_seq", "b_id", "b_seq")
 
 
 def _near(reach: float) -> Column:
@@ -70,10 +78,33 @@ def _near(reach: float) -> Column:
     return (c("a_minx") - reach <= c("b_maxx")) & (c("b_minx") <= c("a_maxx") + reach) & (c("a_miny") - reach <= c("b_maxy")) & (c("b_miny") <= c("a_maxy") + reach) & (c("a_seq") != c("b_seq"))
 
 
+def _shape(key: Column) -> Column:
+    """Letters as a, figures as 0."""
+    return F.translate(key, "bcdefghijklmnopqrstuvwxyz123456789", "a" * 25 + "0" * 9)
+
+
+def _parts(known: frozenset[tuple]) -> Callable[[Column, Column], Column]:
+    """array of the distinct parts of a key whose shape, or else length, is among ``known`` (name, shape or length)."""
+    plain = str.maketrans("bcdefghijklmnopqrstuvwxyz123456789", "a" * 25 + "0" * 9)
+    shapes = {x for _, x in known}
+    sizes = sorted({len(x) if isinstance(x, str) else x for x in shapes})
+    by_shape = any(isinstance(x, str) for x in shapes)
+
+    def run(names: pa.Array, keys: pa.Array) -> pa.Array:
+        @cache
+        def spans(name: str, shape: str) -> list[tuple[int, int]]:
+            return [(i, i + n) for n in sizes for i in range(len(shape) - n + 1) if (name, shape[i : i + n] if by_shape else n) in known]
+
+        found = [list(dict.fromkeys(k[i:j] for i, j in spans(n, k.translate(plain)))) if n and k else [] for n, k in zip(names.to_pylist(), keys.to_pylist())]
+        return pa.array(found, pa.list_(pa.string()))
+
+    return lambda name, key: F.arrow_udf(run, "array<string>")(name, key)
+
+
 def _alike(records: DataFrame, names: list[str], buffer: float) -> DataFrame:
     """(a_id, b_id) of records of a case at most ``buffer`` apart of which an identifier of one is that of the other or part of it.
 
-    The parts of each identifier, of the lengths that identifiers have, are joined with whole ones.
+    The parts of each identifier, of the lengths and order of letters and figures that whole ones have, are joined with these.
     """
     size = 4 * buffer
     cell = lambda c: F.floor(c / size).cast("long")
@@ -81,9 +112,12 @@ def _alike(records: DataFrame, names: list[str], buffer: float) -> DataFrame:
     key = lambda n: F.coalesce(F.col(f"id_{n}"), F.when(F.col(n) != "", F.concat(F.lit("="), F.trim(n))))
     keys = records.select("case_id", "id", "seq", *BOUNDS, F.inline(F.array(*[F.struct(F.lit(n).alias("name"), key(n).alias("key")) for n in names]))).where("key IS NOT NULL")
     keys = Stage(records.sparkSession).write(keys)
-    lengths = sorted(r[0] for r in keys.where(~F.col("key").startswith("=")).select(F.length("key")).distinct().collect())
-    sizes = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("key"))
-    parts = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substr(F.col("key"), i, n)))))
+    whole = keys.where(~F.col("key").startswith("="))
+    shapes = whole.select("name", _shape(F.col("key")).alias("shape")).distinct().limit(SHAPES + 1).collect()
+    known = frozenset((r["name"], r["shape"]) for r in shapes)
+    if len(known) > SHAPES:
+        known = frozenset((r["name"], r["n"]) for r in whole.select("name", F.length("key").alias("n")).distinct().collect())
+    parts = _parts(known)(F.col("name"), F.col("key"))
     sides = [keys.select("case_id", "name", "key", *[F.col(n).alias(p + n) for n in ("id", "seq", *BOUNDS)]) for p in ("a_", "b_")]
     b = sides[1].withColumn("key", F.explode(F.when(F.col("key").startswith("="), F.array("key")).otherwise(parts)))
     a, b = (
@@ -94,21 +128,24 @@ def _alike(records: DataFrame, names: list[str], buffer: float) -> DataFrame:
     return a.hint("merge").join(b, ["case_id", "name", "key", "cx", "cy"]).where(_near(buffer)).select("a_id", "a_seq", "b_id", "b_seq")
 
 
-def likely(records: DataFrame, names: list[str], cfg: Config = DEFAULT, carry: tuple[str, ...] = ()) -> DataFrame:
+def likely(records: DataFrame, names: list[str], cfg: Config = DEFAULT, carry: tuple[str, ...] = (), enough: Column | None = None, brief: dict[str, Column] | None = None) -> DataFrame:
     """Those of ``candidates`` that can match: boxes that all but meet, or identifiers alike; the same columns.
 
     ``records`` has unique record ids, deg2 and, for each of ``names``, the letters and figures of the
     identifier as ``id_*``. The rest of a pair's score, whole, and the geometry of boxes that lie apart
     don't reach the threshold without an identifier. Two records without area are candidates anyway.
+    ``enough`` tells of a pair without an identifier alike, by its boxes and the columns ``brief`` of
+    both, whether it can match; most pairs end there, before whole records are joined to them.
     """
     cols = ["record_id", "seq", *BOUNDS, *carry]
     buffer = max(cfg.buffer_deg, 1e-6)
     r = records.withColumn("id", F.col("record_id"))
-    slim = r.select("case_id", "id", "seq", *BOUNDS, F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")).alias("_size"), (F.coalesce("deg2", F.lit(0.0)) == 0).alias("_flat"))
+    slim = r.select("case_id", "id", "seq", *BOUNDS, F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")).alias("_size"), (F.coalesce("deg2", F.lit(0.0)) == 0).alias("_flat"), *[x.alias(n) for n, x in (brief or {}).items()])
     slim = Stage(records.sparkSession).write(slim)
     reach, wide = _reach(cfg), buffer / 2
     small, large, flat = slim.where(F.col("_size") <= wide), slim.where(F.col("_size") > wide), slim.where("_flat")
-    found = _meeting(small, small, reach, buffer / 10).unionByName(_meeting(large, slim, reach, buffer)).unionByName(_meeting(flat, flat, buffer, buffer))
+    met = lambda a, b, by, size: _meeting(a, b, by, size, enough, tuple(brief or ()))
+    found = met(small, small, reach, buffer / 10).unionByName(met(large, slim, reach, buffer)).unionByName(met(flat, flat, buffer, buffer))
     if names:
         found = found.unionByName(_alike(r, names, buffer + 1e-9))
     first = F.col("a_seq") < F.col("b_seq")
@@ -219,18 +256,29 @@ def scored(records: DataFrame, cfg: Config = DEFAULT, lineage_pairs: DataFrame |
     carry = ["source_type", "land_use", "capture_date", "_land", "_ward", *ids, *[f"id_{n}" for n in ids], *[n for n in ("owner_reference", "geometry", "deg2") if have(n)]]
     if lineage_pairs is not None:
         carry.append("provenance_node_id")
-    p = likely(r, ids, cfg, tuple(carry)) if matches_only and have("deg2") else candidates(r, cfg, tuple(carry))
     c = F.col
     owners = have("owner_reference")
     known_owners = (F.coalesce(F.trim("a_owner_reference"), F.lit("")) != "") & (F.coalesce(F.trim("b_owner_reference"), F.lit("")) != "") if owners else F.lit(False)
     best = F.when(known_owners, 1.0) if owners else None
+    attribute, temporal = attribute_score(best, c("a__land"), c("b__land"), c("a__ward"), c("b__ward")), temporal_score(c("a_capture_date"), c("b_capture_date"), cfg)
+    # Lineages are unknown, and count a half, unless both records name a node.
+    told = F.when(c("a_provenance_node_id").isNotNull() & c("b_provenance_node_id").isNotNull(), 1.0).otherwise(0.5) if lineage_pairs is not None else F.lit(0.5)
+    if matches_only and have("deg2"):
+        # Texts that only need to be equal or there, by a number or a sign: alike where the texts are, so the bound holds.
+        brief = {"deg2": c("deg2"), "capture_date": c("capture_date"), **{n: F.when(c(n).isNotNull(), F.xxhash64(n)) for n in ("_land", "_ward")}}
+        if owners:
+            brief["owner_reference"] = F.when(F.trim("owner_reference") != "", "x")
+        if lineage_pairs is not None:
+            brief["provenance_node_id"] = F.when(c("provenance_node_id").isNotNull(), "x")
+        most = cfg.weight_geometry * _geometry_bound(cfg) + cfg.weight_attribute * attribute + cfg.weight_temporal * temporal + cfg.weight_provenance * told
+        p = likely(r, ids, cfg, tuple(carry), most >= cfg.match_at - 0.0002, brief)
+    else:
+        p = candidates(r, cfg, tuple(carry))
     p = step(
         p, score_identifier=identifier_score([(c(f"a_{n}"), c(f"b_{n}"), c(f"a_id_{n}"), c(f"b_id_{n}")) for n in ids]) if ids else F.lit(0.0),
-        score_temporal=temporal_score(c("a_capture_date"), c("b_capture_date"), cfg), _attribute=attribute_score(best, c("a__land"), c("b__land"), c("a__ward"), c("b__ward")),
+        score_temporal=temporal, _attribute=attribute,
     )
     p = p.withColumn("land_use_match", F.coalesce(c("a__land") == c("b__land"), F.lit(False))).withColumn("ward_match", F.coalesce(c("a__ward") == c("b__ward"), F.lit(False)))
-    # Lineages are unknown, and count a half, unless both records name a node.
-    told = F.when(c("a_provenance_node_id").isNotNull() & c("b_provenance_node_id").isNotNull(), 1.0).otherwise(0.5) if lineage_pairs is not None else F.lit(0.5)
     rest = cfg.weight_identifier * c("score_identifier") + cfg.weight_attribute * c("_attribute") + cfg.weight_temporal * c("score_temporal") + cfg.weight_provenance * told
     if matches_only:
         bound = _geometry_bound(cfg) if have("deg2") else geometry_score(

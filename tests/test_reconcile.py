@@ -278,3 +278,26 @@ def test_crosses_itself():
     assert planar.convex([[(0, 0), (0, 2), (2, 2), (2, 0)]]) and planar.convex([[(0, 0), (2, 2), (2, 0), (0, 2)]]) is None
     star = [(math.sin(math.radians(144 * i)), math.cos(math.radians(144 * i))) for i in range(5)]
     assert planar.convex([star]) is None and ingest.crs_is_degrees("wgs84") and not ingest.crs_is_degrees("EPSG:32643")
+
+
+def test_pairs_end_where_they_are_found(spark):
+    # Forty outlines in one place, no two with an identifier, ward or land use in common: none can match, so none is joined to whole records.
+    rows = [("c", f"r{i:02d}", i, "D", "CADASTRAL", 74 + i * 2e-4, 11.0, 74 + i * 2e-4 + 3e-4, 11.0003, None, None, None, f"use {i}", str(i), None, None, box(74 + i * 2e-4, 11.0, 3e-4, 3e-4), 9e-8, None) for i in range(40)]
+    r = matching.step(spark.createDataFrame(rows, RECORDS), id_ulpin=F.lit(None).cast("string"))
+    found = matching.likely(r, ["ulpin"])
+    never = matching.likely(r, ["ulpin"], enough=F.col("a_land_use") == F.col("b_land_use"), brief={"land_use": F.col("land_use")})
+    assert found.count() == 39 and never.count() == 0
+    assert matching.likely(r, ["ulpin"], enough=F.col("a_land_use") != F.col("b_land_use"), brief={"land_use": F.col("land_use")}).count() == 39
+
+
+def test_parts_of_identifiers_have_the_shape_of_whole_ones():
+    import pyarrow as pa
+
+    parts = lambda known, name, key: _run(matching._parts(frozenset(known)), name, key)
+
+    def _run(made, name, key):
+        run = next(c.cell_contents for c in made.__closure__ if callable(c.cell_contents))
+        return run(pa.array([name]), pa.array([key])).to_pylist()[0]
+
+    assert set(parts([("n", "a00"), ("n", "00"), ("m", "0")], "n", "ab1234")) == {"b12", "12", "23", "34"}
+    assert set(parts([("n", 2)], "n", "abc")) == {"ab", "bc"} and parts([("n", 2)], "m", "abc") == []
