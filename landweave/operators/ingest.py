@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landweave import config
 from landweave.functions import geojson, planar, projections
 from landweave.functions.columns import step
-from landweave.functions.text import field_name, indel_ratio_col
+from landweave.functions.text import field_name, indel_ratio, indel_ratio_col
 
 
 def _pairs(d: dict) -> Column:
@@ -118,28 +121,52 @@ def canonical(rows: DataFrame, key: str, attributes: str, at: float = config.DEF
     stated area is read from alias properties only, in the unit that the row states. Unreadable
     attributes give empty maps.
     """
-    entries = F.transform(
-        F.map_entries(F.from_json(F.col(attributes), "map<string,string>")),
-        lambda e, i: F.struct(i.alias("i"), e["key"].alias("name"), e["value"].alias("value"), canonical_field(e["key"]).alias("field")),
-    )
-    r = step(rows, _entries=F.coalesce(entries, F.array().cast("array<struct<i:int,name:string,value:string,field:string>>")))
-    loose = r.select(F.col(key).alias("_k"), F.inline(F.filter("_entries", lambda e: e["field"].isNull()))).select("_k", "i", "name", "value")
-    like = fuzzy_fields(loose.select("name").distinct(), "name", at)
-    near = loose.join(like, "name").groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("i", "name", "value", "canonical"))).alias("_near"))
-    r = r.join(near, r[key] == near["_k"], "left").drop("_k")
-    none = F.array().cast("array<struct<i:int,name:string,value:string,canonical:string>>")
-    r = r.withColumn("_near", F.coalesce("_near", none))
-    given = F.filter("_entries", lambda e: e["field"].isNotNull() & e["value"].isNotNull())
-    loosely = F.filter("_near", lambda e: e["value"].isNotNull())
-    r = step(r, _given=given, _loosely=loosely)
-    exact = F.transform(F.array_distinct(F.transform("_given", lambda e: e["field"])), lambda f: F.struct(f.alias("key"), F.element_at(F.filter("_given", lambda e: e["field"] == f), -1)["value"].alias("value")))
-    fuzzy_names = F.array_except(F.array_distinct(F.transform("_loosely", lambda e: e["canonical"])), F.transform("_given", lambda e: e["field"]))
-    fuzzy = F.transform(fuzzy_names, lambda f: F.struct(f.alias("key"), F.element_at(F.filter("_loosely", lambda e: e["canonical"] == f), 1)["value"].alias("value")))
-    method = F.transform("_entries", lambda e: F.struct(e["name"].alias("key"), F.when(e["field"].isNotNull(), "ALIAS").when(F.exists("_near", lambda n: n["name"] == e["name"]), "FUZZY").otherwise("UNMAPPED").alias("value")))
-    one = F.array_distinct(method)
-    r = step(r, canonical=F.map_from_entries(F.concat(exact, fuzzy)), methods=F.map_from_entries(one), _exact=F.map_from_entries(exact))
-    r = r.withColumn("area_sqm", area_sqm(F.element_at("_exact", "area"), F.element_at("_exact", "area_unit")))
-    return r.drop("_entries", "_near", "_given", "_loosely", "_exact")
+    r = step(rows, _attributes=F.from_json(F.col(attributes), "map<string,string>"))
+    r = r.select("*", F.inline(F.array(_mapped(F.map_keys("_attributes"), F.map_values("_attributes"), at))))
+    return r.withColumn("area_sqm", area_sqm(F.col("_area"), F.col("_unit"))).drop("_attributes", "_area", "_unit")
+
+
+MAPPED = "canonical map<string,string>, methods map<string,string>, _area string, _unit string"
+
+
+@lru_cache(maxsize=100_000)
+def _field_of(name: str, at: float) -> tuple[str | None, str | None]:
+    """(field by alias, else field by likeness) of a property name, as ``canonical_field`` and ``fuzzy_fields`` give them."""
+    plain = re.sub("[^a-z0-9_]", "_", name.strip(" ").lower())
+    if plain in config.ALIASES:
+        return config.ALIASES[plain], None
+    best, field = at, None
+    for alias, f in config.ALIASES.items():
+        score = indel_ratio(plain, alias)
+        if score > best or (field is None and score == best):
+            best, field = score, f
+    return None, field
+
+
+def _map(names: list[str], values: list[str | None], at: float) -> tuple[list, list, str | None, str | None]:
+    """One row of ``MAPPED`` from the properties of a row, in their order."""
+    exact: dict[str, str] = {}
+    loose: dict[str, str] = {}
+    methods: dict[str, str] = {}
+    for name, value in zip(names, values):
+        field, near = _field_of(name, at)
+        methods[name] = "ALIAS" if field else "FUZZY" if near else "UNMAPPED"
+        if value is not None and field:
+            exact[field] = value
+        elif value is not None and near:
+            loose.setdefault(near, value)
+    return list((exact | {f: v for f, v in loose.items() if f not in exact}).items()), list(methods.items()), exact.get("area"), exact.get("area_unit")
+
+
+def _mapped(names: Column, values: Column, at: float) -> Column:
+    """struct of ``MAPPED`` of the names and values of a row's properties; empty maps for none."""
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        rows = [_map(n or [], v or [], at) for n, v in zip(x.to_pylist(), y.to_pylist())]
+        kinds = (pa.map_(pa.string(), pa.string()),) * 2 + (pa.string(),) * 2
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [c.split()[0] for c in MAPPED.split(", ")])
+
+    return F.arrow_udf(run, MAPPED)(names, values)
 
 
 def range_reject(max_abs: Column, max_abs_y: Column) -> Column:

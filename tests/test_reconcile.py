@@ -301,3 +301,26 @@ def test_parts_of_identifiers_have_the_shape_of_whole_ones():
 
     assert set(parts([("n", "a00"), ("n", "00"), ("m", "0")], "n", "ab1234")) == {"b12", "12", "23", "34"}
     assert set(parts([("n", 2)], "n", "abc")) == {"ab", "bc"} and parts([("n", 2)], "m", "abc") == []
+
+
+def test_attributes_are_mapped_without_a_shuffle_as_by_columns(spark):
+    texts = ['{"Owner": null, "owner": "B", "Ownr": "C", "zzz": "1"}', '{"Ownr": "C", "ownerr": "D", "Area": "1,200.5", "Unit": "sqft"}', "{", None, '{"zzz": null}', '{"X": {"a": [1, 2.50]}, "WARD_NO": 7.10}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "ingest_seq long, attributes string")
+    got = ingest.canonical(rows, "ingest_seq", "attributes")
+    out = {r.ingest_seq: r for r in got.collect()}
+    names = spark.createDataFrame([(n,) for n in ("Owner", "Ownr", "ownerr", "zzz", "Area", "Unit", "X", "WARD_NO")], "name string")
+    alias = {r.name: r.f for r in names.select("name", ingest.canonical_field(F.col("name")).alias("f")).collect()}
+    like = {r.name: r.canonical for r in ingest.fuzzy_fields(names, "name").collect()}
+    for n in alias:
+        field, near = ingest._field_of(n, ingest.config.DEFAULT.fuzzy_field_at)
+        assert field == alias[n] and (field is not None or near == like.get(n)), n
+    assert out[0].canonical == {"owner_reference": "B"} and out[0].methods["zzz"] == "UNMAPPED" and out[2].canonical == out[3].methods == {} == out[4].canonical
+    assert out[1].area_sqm == pytest.approx(1200.5 * 0.0929) and out[5].canonical["ward"] == "7.1"
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_convex_rings_do_not_cross_themselves():
+    star = [(math.sin(2 * math.pi * 2 * i / 5), math.cos(2 * math.pi * 2 * i / 5)) for i in range(5)]
+    pent = [(math.sin(2 * math.pi * i / 5), math.cos(2 * math.pi * i / 5)) for i in range(5)]
+    assert planar.crosses_itself([star]) and not planar._plainly_convex(star) and planar._plainly_convex(pent) and planar._plainly_convex(pent[::-1])
+    assert not planar.crosses_itself([pent]) and planar.crosses_itself([[(0, 0), (1, 1), (1, 0), (0, 1)]]) and not planar._plainly_convex([(0, 0), (1, 0), (2, 0), (2, 1)])
