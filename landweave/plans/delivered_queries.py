@@ -41,6 +41,12 @@ def _reconciled(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         return kept
 
     out = {n: _once(spark, folder, f"delivered {n}", lambda n=n: all_three()[n]) for n in ("pairs", "members", "origins")}
+    return out
+
+
+def _compared(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """``_reconciled`` with the measures of each parcel's pairs of outlines and what is told of its lineages."""
+    out = _reconciled(spark, folder)
     out["measured"] = _once(spark, folder, "delivered measured", lambda: reconcile.measured_pairs(out["members"]).drop("a_geometry", "b_geometry"))
     out["told"] = _once(spark, folder, "delivered told", lambda: lineage.independence(out["members"].select(F.col("parcel_id").alias("group_id"), "record_id", F.col("provenance_node_id").alias("node_id")), out["origins"]))
     return out
@@ -75,16 +81,16 @@ def delivered_parcels(spark: SparkSession, folder: str) -> DataFrame:
 
 def delivered_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     """All conflicts of the delivered records."""
-    return _found(_reconciled(spark, folder))
+    return _found(_compared(spark, folder))
 
 
 def delivered_conflict_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Conflicts by type and severity over all parcels resolved from the deliveries."""
-    return _found(_reconciled(spark, folder)).groupBy("conflict_type", "severity").agg(F.count("*").alias("conflicts"), F.count_distinct("parcel_id").alias("parcels"))
+    return _found(_compared(spark, folder)).groupBy("conflict_type", "severity").agg(F.count("*").alias("conflicts"), F.count_distinct("parcel_id").alias("parcels"))
 
 
 def _proposed(spark: SparkSession, folder: str) -> DataFrame:
-    r = _reconciled(spark, folder)
+    r = _compared(spark, folder)
     return _once(spark, folder, "delivered proposals", lambda: pipeline.proposals(r["members"], r["pairs"], r["measured"], r["told"], _found(r)))
 
 
@@ -120,7 +126,7 @@ def delivered_review_queue(spark: SparkSession, folder: str) -> DataFrame:
 
 def delivered_topology(spark: SparkSession, folder: str) -> DataFrame:
     """Corrections of conflicting pairs of outlines, by kind of conflict."""
-    r = _reconciled(spark, folder)
+    r = _compared(spark, folder)
     c = reconcile.geometry_conflicts(r["measured"]).where("conflict_type IN ('OVERLAP', 'GAP', 'BOUNDARY_OFFSET')")
     return topology.corrections(c, r["members"]).select("parcel_id", "a_record_id", "b_record_id", "conflict_type", "outcome", F.round("amount", 2).alias("amount"), "a_after", "b_after")
 
@@ -132,7 +138,7 @@ def delivered_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 def delivered_packages(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence packages of the parcels with several records, all eight members and the manifest."""
-    r, proposed = _reconciled(spark, folder), _proposed(spark, folder)
+    r, proposed = _compared(spark, folder), _proposed(spark, folder)
     several = proposed.where("records > 1").withColumn("failed", F.array_join("failed", "; "))
     text = lambda *cols: F.to_json(F.struct(*cols))
     lines = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")

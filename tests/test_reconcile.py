@@ -324,3 +324,17 @@ def test_convex_rings_do_not_cross_themselves():
     pent = [(math.sin(2 * math.pi * i / 5), math.cos(2 * math.pi * i / 5)) for i in range(5)]
     assert planar.crosses_itself([star]) and not planar._plainly_convex(star) and planar._plainly_convex(pent) and planar._plainly_convex(pent[::-1])
     assert not planar.crosses_itself([pent]) and planar.crosses_itself([[(0, 0), (1, 1), (1, 0), (0, 1)]]) and not planar._plainly_convex([(0, 0), (1, 0), (2, 0), (2, 1)])
+
+
+def test_parcels_do_not_wait_for_measures(spark, tmp_path):
+    import shutil
+    from pathlib import Path
+
+    from landweave import session
+    from landweave.plans import delivered_queries
+
+    folder = tmp_path / "t"
+    shutil.copytree(Path("/root/testdata/sf0.001"), folder)
+    assert delivered_queries.delivered_parcels(spark, str(folder)).count() > 0
+    kept = {k[1] for k in session._kept if str(folder) in k[2]}
+    assert "delivered members" in kept and not {"delivered measured", "delivered told"} & kept
