@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Prefix of a private folder below the shared one; removed when the driver ends.
 _RUN = f"landweave-{uuid.uuid4().hex}"
+#: Removes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: set[str] = set()
 _kept: dict[tuple, DataFrame] = {}
 
@@ -104,7 +106,13 @@ class Stage:
     def write(self, df: DataFrame) -> DataFrame:
         """Write the rows of ``df`` and return the written table."""
         path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        # The shuffle files of a written table serve nothing more; otherwise they stay until the driver happens to collect its garbage.
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._landweave_path = path
         return out
@@ -115,7 +123,8 @@ class Stage:
         at = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop)
         k = (self.root, key, path, at.getModificationTime(), at.getLen())
         if k not in _kept:
-            _kept[k] = self.write(make())
+            made = make()
+            _kept[k] = made if getattr(made, "_landweave_path", None) else self.write(made)
         return _kept[k]
 
     def drop(self, *tables: DataFrame | None) -> None:

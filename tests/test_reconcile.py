@@ -338,3 +338,14 @@ def test_parcels_do_not_wait_for_measures(spark, tmp_path):
     assert delivered_queries.delivered_parcels(spark, str(folder)).count() > 0
     kept = {k[1] for k in session._kept if str(folder) in k[2]}
     assert "delivered members" in kept and not {"delivered measured", "delivered told"} & kept
+
+
+def test_written_tables_leave_no_shuffle_files_and_are_kept_once(spark, tmp_path):
+    from landweave.session import Stage
+
+    stage = Stage(spark)
+    removed = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    kept = stage.once("once", str(tmp_path), lambda: stage.write(spark.range(100).repartition(4)))
+    assert kept.count() == 100 and len(kept.inputFiles()) == 4 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == removed
+    first = stage.write(spark.range(5))
+    assert stage.once("again", str(tmp_path), lambda: first) is first
