@@ -150,10 +150,11 @@ def likely(records: DataFrame, names: list[str], cfg: Config = DEFAULT, carry: t
         found = found.unionByName(_alike(r, names, buffer + 1e-9))
     first = F.col("a_seq") < F.col("b_seq")
     pairs = found.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("a_record_id"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("b_record_id")).distinct()
-    a, b = (records.select(*(["case_id"] if p == "a_" else []), *[F.col(c).alias(p + c) for c in cols]) for p in ("a_", "b_"))
+    # Both sides with the same columns, so that one layout of the records serves both.
+    a, b = (records.select(F.col("case_id").alias(case), *[F.col(c).alias(p + c) for c in cols]) for p, case in (("a_", "case_id"), ("b_", "_case")))
     c = F.col
-    meet = (c("a_minx") - buffer <= c("b_maxx")) & (c("b_minx") <= c("a_maxx") + buffer) & (c("a_miny") - buffer <= c("b_maxy")) & (c("b_miny") <= c("a_maxy") + buffer)
-    return pairs.join(a, "a_record_id").join(b, "b_record_id").where(meet)
+    meet = (c("case_id") == c("_case")) & (c("a_minx") - buffer <= c("b_maxx")) & (c("b_minx") <= c("a_maxx") + buffer) & (c("a_miny") - buffer <= c("b_maxy")) & (c("b_miny") <= c("a_maxy") + buffer)
+    return pairs.join(a, "a_record_id").join(b, "b_record_id").where(meet).drop("_case")
 
 
 def near_boxes(records: DataFrame, probes: DataFrame, metres: float) -> DataFrame:

@@ -19,14 +19,15 @@ def _ingested(spark: SparkSession, folder: str) -> DataFrame:
     def make() -> DataFrame:
         # A small file is one task otherwise, and what follows works on each row.
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-        r = table(spark, folder, "source_record").withColumnRenamed("source_dataset_id", "dataset_id").repartition(parts, "ingest_seq")
+        r = table(spark, folder, "source_record").drop("ingest_timestamp", "quality_level").withColumnRenamed("source_dataset_id", "dataset_id").repartition(parts, "ingest_seq")
         dated = timestamps.with_office(r.select("ingest_seq", "dataset_id", F.col("capture_timestamp").alias("value")), "dataset_id", table(spark, folder, "dataset_profile"), table(spark, folder, "survey_office"))
         # Read twice, for the mixtures and for the days, so written.
         parsed = Stage(spark).write(timestamps.readings(dated, "value"))
         days = timestamps.resolve(parsed, timestamps.mixtures(parsed)).select("ingest_seq", F.to_date(F.timestamp_micros("instant_us")).alias("captured"))
         # Years before 1800 and times to come are no times of capture.
         days = days.withColumn("captured", F.when(F.year("captured").between(1800, F.year(F.current_date())), F.col("captured")))
-        return pipeline.ingested(r, beside=days)
+        # What was read from them is kept, the texts are in the source.
+        return pipeline.ingested(r.drop("capture_timestamp"), beside=days).drop("attributes")
 
     return _once(spark, folder, "ingested", make)
 
