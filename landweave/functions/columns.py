@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a narrow table that are sent to all executors.
+FEW = 250_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """``df``, a written table or cheap to count, with a broadcast hint if it has at most ``most`` rows, so that wide rows joined to it stay where they are."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def step(df: DataFrame, **columns: Column) -> DataFrame:
     """Adds columns behind a generator, so that later steps refer to values and don't repeat them.
 

@@ -34,9 +34,9 @@ CHECKED = (
 )
 
 
-def _check(geometry: str | None, attributes: str | None, crs: str | None, reproject: bool) -> tuple:
+def _check(geometry: str | None, attributes: str | None, crs: str | None, reproject: bool, hashed: bool = True) -> tuple:
     """One row of ``CHECKED``."""
-    digest = canonical_hash(geometry, attributes, crs)
+    digest = canonical_hash(geometry, attributes, crs) if hashed else None
     outcome, kind, parts = geojson.parsed(geometry)
     if outcome != "OK":
         return (outcome, kind, *(None,) * 10, digest)
@@ -89,16 +89,33 @@ def canonical_hash(geometry: str | None, attributes: str | None, crs: str | None
     return hashlib.sha256(json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def checked(geometry: Column, attributes: Column, crs: Column, reproject: bool = False) -> Column:
+def hashed_col(geometry: Column, attributes: Column, crs: Column) -> Column:
+    """``canonical_hash`` over columns."""
+
+    def run(g: pd.Series, a: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([canonical_hash(*row) for row in zip(g, a, c)], dtype="object")
+
+    return F.pandas_udf(run, "string")(geometry, attributes, crs)
+
+
+def checked(geometry: Column, attributes: Column, crs: Column, reproject: bool = False, hashed: bool = True) -> Column:
     """struct of ``CHECKED``: validity, repair, bounds, centre and area of a geometry, and the hash of its row's content.
 
     An outline that crosses itself is REPAIRED: its area by the even-odd rule, as trapezoids.
-    ``reproject`` turns declared UTM and web Mercator systems into degrees first.
+    ``reproject`` turns declared UTM and web Mercator systems into degrees first. Without ``hashed``
+    there is no hash, nearly half the work, and attributes aren't read.
     """
+    names = [f.split()[0] for f in CHECKED.split(", ")]
+    if not hashed:
+
+        def plain(g: pd.Series, c: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([_check(x, None, z, reproject, False) for x, z in zip(g, c)], columns=names)
+
+        return F.pandas_udf(plain, CHECKED)(geometry, crs)
 
     def run(g: pd.Series, a: pd.Series, c: pd.Series) -> pd.DataFrame:
         rows = [_check(x, y, z, reproject) for x, y, z in zip(g, a, c)]
-        return pd.DataFrame(rows, columns=[f.split()[0] for f in CHECKED.split(", ")])
+        return pd.DataFrame(rows, columns=names)
 
     return F.pandas_udf(run, CHECKED)(geometry, attributes, crs)
 

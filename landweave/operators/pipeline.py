@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from landweave import config
 from landweave.config import DEFAULT, Config
-from landweave.functions.columns import step
+from landweave.functions.columns import few, step
 from landweave.operators import components, ingest, lineage, matching, reconcile
 from landweave.session import Stage
 
@@ -15,44 +15,76 @@ from landweave.session import Stage
 FIELDS = ("parcel_reference", "ulpin", "survey_number", "owner_reference", "land_use", "ward")
 
 
-def ingested(rows: DataFrame, cfg: Config = DEFAULT, reproject: bool = False, beside: DataFrame | None = None) -> DataFrame:
+def ingested(rows: DataFrame, cfg: Config = DEFAULT, reproject: bool = False, beside: DataFrame | None = None, hashed: bool = True) -> DataFrame:
     """Delivered rows with checks, canonical attributes and ``reject`` (null for those taken).
 
     ``rows`` has ingest_seq (unique), record_id, source_type, dataset_id, case_id, geometry,
     source_crs, attributes and provenance_node_id; other columns, as captured (a date or null), pass through. ``beside`` has more of them, by ingest_seq. Rejected rows keep their
-    reason and nothing else is derived from them. An empty table gives no rows.
+    reason and nothing else is derived from them. An empty table gives no rows. Without ``hashed`` the hash of a row's content is null.
     """
     c = F.col
     names = [f.split()[0] for f in ingest.CHECKED.split(", ")]
     # Attributes are read several times, so they come before the checks: rows behind a generator are not pruned, and each reading would check all outlines again.
-    r = ingest.canonical(rows, "ingest_seq", "attributes", cfg.fuzzy_field_at)
     if beside is not None:
-        r = r.join(beside, "ingest_seq", "left")  # before the checks, after which the layout by ingest_seq isn't known
-    r = r.withColumnRenamed("geometry", "_raw").select("*", F.inline(F.array(ingest.checked(c("_raw"), c("attributes"), c("source_crs"), reproject)))).drop("_raw")
+        rows = rows.join(beside, "ingest_seq", "left")  # before Python's batches, after which the layout by ingest_seq isn't known
+    r = ingest.canonical(rows, "ingest_seq", "attributes", cfg.fuzzy_field_at)
+    r = r.withColumnRenamed("geometry", "_raw").select("*", F.inline(F.array(ingest.checked(c("_raw"), c("attributes"), c("source_crs"), reproject, hashed)))).drop("_raw")
     assert set(names) <= set(r.columns)
     r = r.withColumn("reject", ingest.reject_reason())
     return r.select("*", *[F.element_at("canonical", f).alias(f) for f in FIELDS])
 
 
-def accepted(rows: DataFrame) -> DataFrame:
-    """The latest delivery of each record that was taken, as records for matching; ``seq`` is its number."""
-    r = rows.where("reject IS NULL AND record_id IS NOT NULL AND record_id <> ''")
+def _taken(rows: DataFrame) -> DataFrame:
+    return rows.where("reject IS NULL AND record_id IS NOT NULL AND record_id <> ''")
+
+
+def replaced(rows: DataFrame) -> DataFrame:
+    """(record_id, ingest_seq) of deliveries that were taken and of which a later one was too; few, and written."""
+    r = _taken(rows)
+    last = r.groupBy("record_id").agg(F.max("ingest_seq").alias("_last"), F.count("*").alias("_n")).where("_n > 1")
+    return Stage(rows.sparkSession).write(r.select("record_id", "ingest_seq").join(last, "record_id").where("ingest_seq < _last").select("record_id", "ingest_seq"))
+
+
+def accepted(rows: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """The latest delivery of each record that was taken, as records for matching; ``seq`` is its number.
+
+    ``earlier`` is the result of ``replaced``; these being few, the rows needn't be laid out by record.
+    """
+    r = _taken(rows)
     keep = [
-        "case_id", "dataset_id", "source_type", "geometry", *matching.BOUNDS, "centroid_lon", "centroid_lat", "deg2", *FIELDS, "area_sqm", F.col("captured").alias("capture_date"), "provenance_node_id", "content_hash", "canonical",
+        "case_id", "dataset_id", "source_type", "geometry", *matching.BOUNDS, "centroid_lon", "centroid_lat", "deg2", *FIELDS, "area_sqm", F.col("captured").alias("capture_date"), "provenance_node_id", *(["content_hash"] if "content_hash" in rows.columns else []), "canonical",
     ]
-    latest = r.groupBy("record_id").agg(F.max("ingest_seq").alias("ingest_seq"))
-    return r.join(latest, ["record_id", "ingest_seq"], "left_semi").select("record_id", F.col("ingest_seq").alias("seq"), *keep)
+    earlier = replaced(rows) if earlier is None else earlier
+    return r.join(few(earlier), ["record_id", "ingest_seq"], "left_anti").select("record_id", F.col("ingest_seq").alias("seq"), *keep)
 
 
 def matched(records: DataFrame, nodes: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, members, origins): matched pairs of the source types that make parcels, their records with ``parcel_id``, and the result of ``lineage.origin_pairs``."""
+    """(pairs, groups, origins): matched pairs of the source types that make parcels, (record_id, parcel_id) of their records, and the result of ``lineage.origin_pairs``."""
     stage = Stage(records.sparkSession)
     r = records.where(F.col("source_type").isin(*config.PARCEL_TYPES))
     origins = stage.write(lineage.origin_pairs(nodes))
     slim = r.select("case_id", "record_id", "seq", "dataset_id", "source_type", "geometry", *matching.BOUNDS, "deg2", *FIELDS, "capture_date", "provenance_node_id")
     pairs = stage.write(matching.scored(slim, cfg, origins, matches_only=True).drop("a_geometry", "b_geometry"))
-    groups = components.components(r.select(F.col("record_id").alias("node")), pairs.select(F.col("a_record_id").alias("u"), F.col("b_record_id").alias("v")))
-    return pairs, stage.write(r.join(groups.select(F.col("node").alias("record_id"), F.col("label").alias("parcel_id")), "record_id")), origins
+    ends = pairs.select(F.col("a_record_id").alias("u"), F.col("b_record_id").alias("v"))
+    groups = components.components(ends.select(F.explode(F.array("u", "v")).alias("node")), ends)
+    return pairs, stage.write(groups.select(F.col("node").alias("record_id"), F.col("label").alias("parcel_id"))), origins
+
+
+def several(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """Records with ``parcel_id`` of the parcels that have several, by the groups of ``matched``."""
+    return records.join(few(groups), "record_id")
+
+
+def lone(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """Records that are a parcel of their own, most of them; nothing that compares a parcel's records has to look at these."""
+    r = records.where(F.col("source_type").isin(*config.PARCEL_TYPES))
+    return r.join(few(groups.select("record_id")), "record_id", "left_anti").withColumn("parcel_id", F.col("record_id"))
+
+
+def members(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """All records of the source types that make parcels with ``parcel_id``: ``several`` and ``lone`` in one."""
+    r = records.where(F.col("source_type").isin(*config.PARCEL_TYPES))
+    return r.join(few(groups), "record_id", "left").withColumn("parcel_id", F.coalesce("parcel_id", "record_id"))
 
 
 def conflicts(members: DataFrame, measured: DataFrame, told: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -86,8 +118,21 @@ def proposals(members: DataFrame, pairs: DataFrame, measured: DataFrame, told: D
     p = p.withColumn("proposed_geometry", reconcile.moved(F.col("geometry"), F.col("dlon"), F.col("dlat")))
     return p.select(
         "parcel_id", "records", "reference_id", "reference_source", "proposed_geometry", F.round("shift_m", 3).alias("shift_m"), F.round("moved_m", 3).alias("moved_m"), F.round("max_offset_m", 2).alias("max_offset_m"),
-        "area_change", "confidence", "lineages", "conflicts", "critical", "unresolved", "points", "failed", "status",
+        *_JUDGED,
+    )
+
+
+_JUDGED = ("area_change", "confidence", "lineages", "conflicts", "critical", "unresolved", "points", "failed", "status")
+
+
+def lone_proposals(members: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``proposals`` of parcels with a single record, row by row: its outline as it is, no evidence and no conflicts."""
+    none, zero = F.lit(0).cast("long"), F.lit(0.0)
+    p = members.select(
+        "parcel_id", F.lit(1).cast("long").alias("records"), F.col("record_id").alias("reference_id"), F.col("source_type").alias("reference_source"), F.col("geometry").alias("proposed_geometry"),
+        *[zero.alias(n) for n in ("shift_m", "moved_m", "max_offset_m", "area_change", "confidence")], F.lit(1).cast("long").alias("lineages"), *[none.alias(n) for n in ("conflicts", "critical", "unresolved", "points")],
     )
+    return reconcile.gates(p, cfg)
 
 
 def source_geometries(members: DataFrame, proposed: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from landweave.functions.columns import few
 from landweave.operators import ingest, lineage, pipeline, reconcile, ripple, timestamps, topology
 from landweave.session import Stage
 from landweave.sources import sinks
@@ -27,34 +28,48 @@ def _ingested(spark: SparkSession, folder: str) -> DataFrame:
         # Years before 1800 and times to come are no times of capture.
         days = days.withColumn("captured", F.when(F.year("captured").between(1800, F.year(F.current_date())), F.col("captured")))
         # What was read from them is kept, the texts are in the source.
-        return pipeline.ingested(r.drop("capture_timestamp"), beside=days).drop("attributes")
+        return pipeline.ingested(r.drop("capture_timestamp"), beside=days, hashed=False).drop("attributes", "content_hash")
 
     return _once(spark, folder, "ingested", make)
 
 
 def _reconciled(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """records, pairs, origins and groups as ``pipeline.matched`` gives them, and members."""
     kept: dict[str, DataFrame] = {}
+    replaced = _once(spark, folder, "replaced", lambda: pipeline.replaced(_ingested(spark, folder)))
+    out = {"records": pipeline.accepted(_ingested(spark, folder), replaced)}
 
     def all_three() -> dict[str, DataFrame]:
         if not kept:
-            records = _once(spark, folder, "records", lambda: pipeline.accepted(_ingested(spark, folder)))
-            kept["pairs"], kept["members"], kept["origins"] = pipeline.matched(records, table(spark, folder, "provenance_graph"))
+            kept["pairs"], kept["members"], kept["origins"] = pipeline.matched(out["records"], table(spark, folder, "provenance_graph"))
         return kept
 
-    out = {n: _once(spark, folder, f"delivered {n}", lambda n=n: all_three()[n]) for n in ("pairs", "members", "origins")}
-    return out
+    # Of the members, which are read off the deliveries, only the parcels of paired records are kept.
+    out |= {to: _once(spark, folder, f"delivered {n}", lambda n=n: all_three()[n]) for to, n in (("pairs", "pairs"), ("groups", "members"), ("origins", "origins"))}
+    return out | {"members": pipeline.members(out["records"], out["groups"]), "lone": pipeline.lone(out["records"], out["groups"])}
 
 
-def _compared(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """``_reconciled`` with the measures of each parcel's pairs of outlines and what is told of its lineages."""
+def _several(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """``_reconciled`` with the records of the parcels that have several."""
     out = _reconciled(spark, folder)
-    out["measured"] = _once(spark, folder, "delivered measured", lambda: reconcile.measured_pairs(out["members"]).drop("a_geometry", "b_geometry"))
-    out["told"] = _once(spark, folder, "delivered told", lambda: lineage.independence(out["members"].select(F.col("parcel_id").alias("group_id"), "record_id", F.col("provenance_node_id").alias("node_id")), out["origins"]))
-    return out
+    return out | {"several": _once(spark, folder, "delivered several", lambda: pipeline.several(out["records"], out["groups"]))}
+
+
+def _measured(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """``_several`` with the measures of each parcel's pairs of outlines."""
+    out = _several(spark, folder)
+    return out | {"measured": _once(spark, folder, "delivered measured", lambda: reconcile.measured_pairs(out["several"]).drop("a_geometry", "b_geometry"))}
+
+
+def _compared(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """``_measured`` with what is told of the lineages of parcels with several records; a single record has no verdict that counts."""
+    out = _measured(spark, folder)
+    nodes = out["several"].select(F.col("parcel_id").alias("group_id"), "record_id", F.col("provenance_node_id").alias("node_id"))
+    return out | {"told": _once(spark, folder, "delivered told", lambda: lineage.independence(nodes, out["origins"]))}
 
 
 def _found(r: dict[str, DataFrame]) -> DataFrame:
-    return pipeline.conflicts(r["members"], r["measured"], r["told"])
+    return pipeline.conflicts(r["several"], r["measured"], r["told"])
 
 
 def delivered_rejects(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,14 +105,19 @@ def delivered_conflict_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _found(_compared(spark, folder)).groupBy("conflict_type", "severity").agg(F.count("*").alias("conflicts"), F.count_distinct("parcel_id").alias("parcels"))
 
 
-def _proposed(spark: SparkSession, folder: str) -> DataFrame:
+def _proposed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """``_compared`` with the proposals of the parcels with several records."""
     r = _compared(spark, folder)
-    return _once(spark, folder, "delivered proposals", lambda: pipeline.proposals(r["members"], r["pairs"], r["measured"], r["told"], _found(r)))
+    return r | {"proposed": _once(spark, folder, "delivered proposals", lambda: pipeline.proposals(r["several"], r["pairs"], r["measured"], r["told"], _found(r)))}
+
+
+def _all_proposed(r: dict[str, DataFrame]) -> DataFrame:
+    return r["proposed"].unionByName(pipeline.lone_proposals(r["lone"]))
 
 
 def delivered_proposals(spark: SparkSession, folder: str) -> DataFrame:
     """One proposal a parcel with its moved outline, gates and status."""
-    return _proposed(spark, folder).withColumn("failed", F.array_join("failed", ","))
+    return _all_proposed(_proposed(spark, folder)).withColumn("failed", F.array_join("failed", ","))
 
 
 def delivered_attributes(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,21 +127,24 @@ def delivered_attributes(spark: SparkSession, folder: str) -> DataFrame:
 
 def delivered_geometries(spark: SparkSession, folder: str) -> DataFrame:
     """The outlines behind each proposal with their weights."""
-    return pipeline.source_geometries(_reconciled(spark, folder)["members"], _proposed(spark, folder))
+    r = _proposed(spark, folder)
+    return pipeline.source_geometries(r["members"], _all_proposed(r))
 
 
-def _lines(spark: SparkSession, folder: str) -> DataFrame:
+def _lines(spark: SparkSession, folder: str, r: dict[str, DataFrame]) -> DataFrame:
     """Issues of proposed outlines with the observed lines of their case, taken as boundaries."""
     lines = table(spark, folder, "gt_observation").select(F.col("ingest_seq").alias("key"), "case_id", F.col("geometry_geojson").alias("line"))
-    m = _reconciled(spark, folder)["members"].groupBy("parcel_id").agg(F.first("case_id").alias("case_id"))
-    areas = _proposed(spark, folder).join(m, "parcel_id").select(F.col("parcel_id").alias("area_key"), "case_id", F.col("proposed_geometry").alias("area"))
+    m = r["several"].groupBy("parcel_id").agg(F.first("case_id").alias("case_id"))
+    areas = r["proposed"].join(m, "parcel_id").select(F.col("parcel_id").alias("area_key"), "case_id", F.col("proposed_geometry").alias("area"))
+    areas = areas.unionByName(r["lone"].select(F.col("parcel_id").alias("area_key"), "case_id", F.col("geometry").alias("area")))
     met = topology.lines_on_areas(lines, areas).withColumn("feature_id", F.col("key").cast("string"))
     return ripple.found(met, "area_key", "feature_id", ripple.boundary(F.round("inside_m", 3)))
 
 
 def delivered_review_queue(spark: SparkSession, folder: str) -> DataFrame:
     """The hundred most urgent proposals, ripple issues with observed lines counted."""
-    p = ripple.override(_proposed(spark, folder), _lines(spark, folder))
+    r = _proposed(spark, folder)
+    p = ripple.override(_all_proposed(r), _lines(spark, folder, r))
     return pipeline.queue(p.drop("blocking", "gravest")).orderBy(F.desc("priority"), "parcel_id").limit(100)
 
 
@@ -129,7 +152,7 @@ def delivered_topology(spark: SparkSession, folder: str) -> DataFrame:
     """Corrections of conflicting pairs of outlines, by kind of conflict."""
     r = _compared(spark, folder)
     c = reconcile.geometry_conflicts(r["measured"]).where("conflict_type IN ('OVERLAP', 'GAP', 'BOUNDARY_OFFSET')")
-    return topology.corrections(c, r["members"]).select("parcel_id", "a_record_id", "b_record_id", "conflict_type", "outcome", F.round("amount", 2).alias("amount"), "a_after", "b_after")
+    return topology.corrections(c, r["several"]).select("parcel_id", "a_record_id", "b_record_id", "conflict_type", "outcome", F.round("amount", 2).alias("amount"), "a_after", "b_after")
 
 
 def delivered_changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,14 +160,21 @@ def delivered_changes(spark: SparkSession, folder: str) -> DataFrame:
     return reconcile.change_events(_reconciled(spark, folder)["members"])
 
 
+def _hashed(spark: SparkSession, folder: str, records: DataFrame) -> DataFrame:
+    """Records with the hash of their delivery's content, worked out for these only."""
+    raw = table(spark, folder, "source_record").select(F.col("ingest_seq").alias("seq"), F.col("geometry").alias("_raw"), "attributes", "source_crs")
+    raw = raw.join(few(records.select("seq")), "seq", "left_semi")
+    return records.join(raw.select("seq", ingest.hashed_col(F.col("_raw"), F.col("attributes"), F.col("source_crs")).alias("content_hash")), "seq")
+
+
 def delivered_packages(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence packages of the parcels with several records, all eight members and the manifest."""
-    r, proposed = _compared(spark, folder), _proposed(spark, folder)
-    several = proposed.where("records > 1").withColumn("failed", F.array_join("failed", "; "))
+    r = _proposed(spark, folder)
+    several = r["proposed"].withColumn("failed", F.array_join("failed", "; "))
     text = lambda *cols: F.to_json(F.struct(*cols))
     lines = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
     # One parcel's records and conflicts, as few as the sources that describe it.
-    m = r["members"].join(several.select("parcel_id"), "parcel_id", "left_semi").groupBy("parcel_id").agg(
+    m = _hashed(spark, folder, r["several"]).groupBy("parcel_id").agg(
         lines(text("record_id", "source_type", "dataset_id", "content_hash", "canonical")).alias("sources"),
         lines(F.to_json(F.struct(F.lit("Feature").alias("type"), F.try_parse_json("geometry").alias("geometry"), F.struct("record_id", "source_type").alias("properties")))).alias("features"),
     )
