@@ -184,18 +184,24 @@ def corrections(conflicts: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _line_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, case_id, part, cx, cy) of each cell that a part of a line may meet; a part is at most a cell long."""
+    """(key, case_id, part, cx, cy) of each cell that a part of a line may meet, with the part's box; a piece is at most a cell long."""
     for df in frames:
         rows = set()
         for key, case, text in zip(df["key"], df["case_id"], df["line"]):
             for k, part in enumerate(line_parts(text)):
                 line = json.dumps([list(p) for p in part])
+                box = _box(part)
                 for a, b in zip(part, part[1:]):
                     n = max(1, math.ceil(max(abs(b[0] - a[0]), abs(b[1] - a[1])) / CELL_DEG))
                     ts = [(a[0] + (b[0] - a[0]) * i / n, a[1] + (b[1] - a[1]) * i / n) for i in range(n + 1)]
                     for (x0, y0), (x1, y1) in zip(ts, ts[1:]):
-                        rows |= {(key, case, k, line, i, j) for i in _span(x0, x1) for j in _span(y0, y1)}
-        yield pd.DataFrame(sorted(rows, key=repr), columns=["key", "case_id", "part", "line", "cx", "cy"])
+                        rows |= {(key, case, k, line, i, j, *box) for i in _span(x0, x1) for j in _span(y0, y1)}
+        yield pd.DataFrame(sorted(rows, key=repr), columns=["key", "case_id", "part", "line", "cx", "cy", "lx0", "ly0", "lx1", "ly1"])
+
+
+def _box(positions: list[tuple[float, float]]) -> tuple[float, float, float, float]:
+    xs, ys = [p[0] for p in positions], [p[1] for p in positions]
+    return min(xs), min(ys), max(xs), max(ys)
 
 
 def _span(a: float, b: float) -> range:
@@ -208,9 +214,9 @@ def _area_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, case, text in zip(df["area_key"], df["case_id"], df["area"]):
             s = geojson.shape(text)
             if s and s[0] == "area":
-                xs, ys = zip(*[v for poly in s[1] for r in poly for v in r])
-                rows += [(key, case, text, i, j) for i in _span(min(xs), max(xs)) for j in _span(min(ys), max(ys))]
-        yield pd.DataFrame(rows, columns=["area_key", "case_id", "area", "cx", "cy"])
+                x0, y0, x1, y1 = _box([v for poly in s[1] for r in poly for v in r])
+                rows += [(key, case, text, i, j, x0, y0, x1, y1) for i in _span(x0, x1) for j in _span(y0, y1)]
+        yield pd.DataFrame(rows, columns=["area_key", "case_id", "area", "cx", "cy", "ax0", "ay0", "ax1", "ay1"])
 
 
 def line_parts(text: str | None) -> list[list[tuple[float, float]]]:
@@ -226,15 +232,20 @@ def line_parts(text: str | None) -> list[list[tuple[float, float]]]:
     return [] if any(p is None for line in parts for p in line) else [line for line in parts if len(line) > 1]  # type: ignore[misc]
 
 
-def lines_on_areas(lines: DataFrame, areas: DataFrame) -> DataFrame:
+def lines_on_areas(lines: DataFrame, areas: DataFrame, apart: bool = True) -> DataFrame:
     """(key, area_key, inside_m, on_outline_m) of lines (key, case_id, line) and areas (area_key, case_id, area) of one case that may meet.
 
     Every cell that a line's pieces cross is joined with every cell of an area's box; keys are unique.
+    Without ``apart``, a part and an area whose boxes don't meet, which would have no length, are left out before they are measured.
     """
     types = lambda df, k: df.schema[k].dataType.simpleString()
-    left = lines.mapInPandas(_line_rows, f"key {types(lines, 'key')}, case_id string, part int, line string, cx bigint, cy bigint")
-    right = areas.mapInPandas(_area_rows, f"area_key {types(areas, 'area_key')}, case_id string, area string, cx bigint, cy bigint")
-    meet = left.drop("line").join(right.drop("area"), ["case_id", "cx", "cy"]).select("key", "part", "area_key").distinct()
+    left = lines.mapInPandas(_line_rows, f"key {types(lines, 'key')}, case_id string, part int, line string, cx bigint, cy bigint, lx0 double, ly0 double, lx1 double, ly1 double")
+    right = areas.mapInPandas(_area_rows, f"area_key {types(areas, 'area_key')}, case_id string, area string, cx bigint, cy bigint, ax0 double, ay0 double, ax1 double, ay1 double")
+    meet = left.drop("line").join(right.drop("area"), ["case_id", "cx", "cy"])
+    if not apart:
+        c = F.col
+        meet = meet.where((c("lx0") <= c("ax1") + 1e-9) & (c("ax0") <= c("lx1") + 1e-9) & (c("ly0") <= c("ay1") + 1e-9) & (c("ay0") <= c("ly1") + 1e-9))
+    meet = meet.select("key", "part", "area_key").distinct()
     whole = meet.join(left.select("key", "part", "line").distinct(), ["key", "part"]).join(areas.select("area_key", "area"), "area_key")
     m = whole.select("key", "area_key", F.inline(F.array(line_measures(F.col("line"), F.col("area")))))
     return m.groupBy("key", "area_key").agg(F.sum("inside_m").alias("inside_m"), F.sum("on_outline_m").alias("on_outline_m"))

@@ -137,7 +137,7 @@ def _lines(spark: SparkSession, folder: str, r: dict[str, DataFrame]) -> DataFra
     m = r["several"].groupBy("parcel_id").agg(F.first("case_id").alias("case_id"))
     areas = r["proposed"].join(m, "parcel_id").select(F.col("parcel_id").alias("area_key"), "case_id", F.col("proposed_geometry").alias("area"))
     areas = areas.unionByName(r["lone"].select(F.col("parcel_id").alias("area_key"), "case_id", F.col("geometry").alias("area")))
-    met = topology.lines_on_areas(lines, areas).withColumn("feature_id", F.col("key").cast("string"))
+    met = topology.lines_on_areas(lines, areas, apart=False).withColumn("feature_id", F.col("key").cast("string"))
     return ripple.found(met, "area_key", "feature_id", ripple.boundary(F.round("inside_m", 3)))
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landweave import session
-from landweave.operators import ingest, lineage, pipeline, reconcile
+from landweave.operators import ingest, lineage, pipeline, reconcile, topology
 from landweave.plans import delivered_queries as q
 from landweave.tables import table
 
@@ -46,3 +46,14 @@ def test_packages_hash_only_what_they_hold(spark, folder):
     assert len(got) == r["several"].count() > 0 and all(want[s] == h for s, h in got.items())
     n, packages = q._proposed(spark, folder)["proposed"].count(), q.delivered_packages(spark, folder).collect()
     assert len(packages) == n and all(len(p.manifest_hash) == 64 for p in packages)
+
+
+def test_lines_apart_from_outlines_are_not_measured(spark, monkeypatch):
+    box = lambda x, y, d: json.dumps({"type": "Polygon", "coordinates": [[[x, y], [x + d, y], [x + d, y + d], [x, y + d], [x, y]]]})
+    line = lambda *p: json.dumps({"type": "LineString", "coordinates": p})
+    areas = spark.createDataFrame([("in", "c", box(74.0001, 11.0001, 2e-4)), ("beside", "c", box(74.0006, 11.0006, 2e-4)), ("other", "d", box(74.0001, 11.0001, 2e-4))], "area_key string, case_id string, area string")
+    lines = spark.createDataFrame([(1, "c", line([74.0, 11.0002], [74.0004, 11.0002])), (2, "c", line([11.0002, 74.0], [11.0002, 74.0004])), (3, "c", "{")], "key bigint, case_id string, line string")
+    all_, near = topology.lines_on_areas(lines, areas), topology.lines_on_areas(lines, areas, apart=False)
+    some = lambda df: sorted((r.key, r.area_key, round(r.inside_m, 6)) for r in df.where("inside_m > 0 OR on_outline_m > 0").collect())
+    assert some(all_) == some(near) and [x[:2] for x in some(near)] == [(1, "in"), (2, "in")]
+    assert all_.count() == 4 and near.count() == 2
