@@ -135,10 +135,10 @@ def lone_proposals(members: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return reconcile.gates(p, cfg)
 
 
-def source_geometries(members: DataFrame, proposed: DataFrame) -> DataFrame:
-    """Each parcel's outlines beside the proposed one: record, source, weight, whether it is the reference, and the metres between their centres."""
-    ref = proposed.select("parcel_id", "reference_id")
-    m = members.join(ref, "parcel_id").withColumn("weight", matching.source_weight(F.col("source_type"))).withColumn("is_reference", F.col("record_id") == F.col("reference_id"))
+def source_geometries(members: DataFrame, proposed: DataFrame | None = None) -> DataFrame:
+    """Each parcel's outlines beside the proposed one: record, source, weight, whether it is the reference; without ``proposed``, of parcels with a single record."""
+    m = members.withColumn("reference_id", F.col("record_id")) if proposed is None else members.join(proposed.select("parcel_id", "reference_id"), "parcel_id")
+    m = m.withColumn("weight", matching.source_weight(F.col("source_type"))).withColumn("is_reference", F.col("record_id") == F.col("reference_id"))
     return m.select("parcel_id", "record_id", "source_type", "geometry", "weight", "is_reference")
 
 

@@ -127,8 +127,8 @@ def delivered_attributes(spark: SparkSession, folder: str) -> DataFrame:
 
 def delivered_geometries(spark: SparkSession, folder: str) -> DataFrame:
     """The outlines behind each proposal with their weights."""
-    r = _proposed(spark, folder)
-    return pipeline.source_geometries(r["members"], _all_proposed(r))
+    r = _several(spark, folder)
+    return pipeline.source_geometries(r["several"], reconcile.centroid_consensus(r["several"])).unionByName(pipeline.source_geometries(r["lone"]))
 
 
 def _lines(spark: SparkSession, folder: str, r: dict[str, DataFrame]) -> DataFrame:

@@ -24,6 +24,15 @@ def kept(folder):
     return {k[1] for k in session._kept if folder in k[2]}
 
 
+def test_geometries_do_not_wait_for_proposals(spark, folder):
+    got = q.delivered_geometries(spark, folder)
+    assert not {"delivered measured", "delivered told", "delivered proposals"} & kept(folder)
+    rows = got.collect()
+    m = {r.record_id: (r.parcel_id, r.geometry) for r in q._reconciled(spark, folder)["members"].collect()}
+    assert len(rows) == len(m) and all(m[r.record_id] == (r.parcel_id, r.geometry) for r in rows)
+    assert sorted(r.parcel_id for r in rows if r.is_reference) == sorted({p for p, _ in m.values()})
+
+
 def test_lone_records_give_the_same_proposals_without_grouping(spark, folder):
     r = q._proposed(spark, folder)
     m = r["members"]
