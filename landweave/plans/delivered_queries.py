@@ -150,7 +150,7 @@ def delivered_review_queue(spark: SparkSession, folder: str) -> DataFrame:
 
 def delivered_topology(spark: SparkSession, folder: str) -> DataFrame:
     """Corrections of conflicting pairs of outlines, by kind of conflict."""
-    r = _compared(spark, folder)
+    r = _measured(spark, folder)
     c = reconcile.geometry_conflicts(r["measured"]).where("conflict_type IN ('OVERLAP', 'GAP', 'BOUNDARY_OFFSET')")
     return topology.corrections(c, r["several"]).select("parcel_id", "a_record_id", "b_record_id", "conflict_type", "outcome", F.round("amount", 2).alias("amount"), "a_after", "b_after")
 

@@ -33,6 +33,11 @@ def test_geometries_do_not_wait_for_proposals(spark, folder):
     assert sorted(r.parcel_id for r in rows if r.is_reference) == sorted({p for p, _ in m.values()})
 
 
+def test_topology_does_not_wait_for_lineages(spark, folder):
+    assert q.delivered_topology(spark, folder).count() > 0
+    assert "delivered measured" in kept(folder) and not {"delivered told", "delivered proposals"} & kept(folder)
+
+
 def test_lone_records_give_the_same_proposals_without_grouping(spark, folder):
     r = q._proposed(spark, folder)
     m = r["members"]
