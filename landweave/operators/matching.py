@@ -150,6 +150,8 @@ def likely(records: DataFrame, names: list[str], cfg: Config = DEFAULT, carry: t
         found = found.unionByName(_alike(r, names, buffer + 1e-9))
     first = F.col("a_seq") < F.col("b_seq")
     pairs = found.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("a_record_id"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("b_record_id")).distinct()
+    # Written, so that the layouts by cells and keys are gone before whole records are laid out.
+    pairs = Stage(records.sparkSession).write(pairs)
     # Both sides with the same columns, so that one layout of the records serves both.
     a, b = (records.select(F.col("case_id").alias(case), *[F.col(c).alias(p + c) for c in cols]) for p, case in (("a_", "case_id"), ("b_", "_case")))
     c = F.col
