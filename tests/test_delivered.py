@@ -71,3 +71,12 @@ def test_lines_apart_from_outlines_are_not_measured(spark, monkeypatch):
     some = lambda df: sorted((r.key, r.area_key, round(r.inside_m, 6)) for r in df.where("inside_m > 0 OR on_outline_m > 0").collect())
     assert some(all_) == some(near) and [x[:2] for x in some(near)] == [(1, "in"), (2, "in")]
     assert all_.count() == 4 and near.count() == 2
+
+
+def test_found_pairs_are_written_before_records_are_joined(spark, folder, monkeypatch):
+    from landweave.operators import matching
+
+    written, write = [], session.Stage.write
+    monkeypatch.setattr(session.Stage, "write", lambda self, df: written.append(df.columns) or write(self, df))
+    matching.likely(q._reconciled(spark, folder)["records"].limit(0).withColumn("id_ulpin", F.col("ulpin")), ["ulpin"])
+    assert ["a_record_id", "b_record_id"] in written
